@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bpe, packing, quantiles
+from paperloom.llm import bpe, packing, pii, quantiles
 from paperloom.session import table
 
 
@@ -20,6 +20,25 @@ def p1_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_contents(table(spark, d, "tb_document_contents")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of personal data in each record and field."""
+    return pii.find_personal_data(table(spark, d, "trace_record"), table(spark, d, "tb_query_feedback"))
+
+
+def p2_masked_requests(spark: SparkSession, d: str) -> DataFrame:
+    """trace_record.request with typed, format-preserving placeholders."""
+    traces, feedback = table(spark, d, "trace_record"), table(spark, d, "tb_query_feedback")
+    syllables = pii.learn_syllables(pii.user_texts(traces, feedback))
+    return pii.mask_traces(traces.select("dt", "line_no", "trace_id", "request"), syllables)
+
+
+def p2_masked_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """tb_query_feedback.free_text with typed, format-preserving placeholders."""
+    traces, feedback = table(spark, d, "trace_record"), table(spark, d, "tb_query_feedback")
+    syllables = pii.learn_syllables(pii.user_texts(traces, feedback))
+    return pii.mask_feedback(feedback, syllables)
+
+
 def p3_daily_sketches(spark: SparkSession, d: str) -> DataFrame:
     """Bucket counts of every day, endpoint and span."""
     return quantiles.daily_sketches(table(spark, d, "trace_record"))
@@ -40,6 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_daily_sketches": p3_daily_sketches,
     "p1_contexts": p1_contexts,
     "p1_fill": p1_fill,
+    "p2_found": p2_found,
+    "p2_masked_requests": p2_masked_requests,
+    "p2_masked_feedback": p2_masked_feedback,
     "p6_ids": p6_ids,
 }
 
