@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bpe, packing, pii, quantiles
+from paperloom.llm import bpe, leakage, packing, pii, quantiles
 from paperloom.session import table
 
 
@@ -54,15 +54,27 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold evaluation items, whole or half."""
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items and documents per suite and language."""
+    return leakage.leak_report(p7_found(spark, d), table(spark, d, "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_percentiles": p3_percentiles,
-    "p3_daily_sketches": p3_daily_sketches,
     "p1_contexts": p1_contexts,
     "p1_fill": p1_fill,
     "p2_found": p2_found,
     "p2_masked_requests": p2_masked_requests,
     "p2_masked_feedback": p2_masked_feedback,
+    "p3_daily_sketches": p3_daily_sketches,
+    "p3_percentiles": p3_percentiles,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
 }
 
 _SPANS = """
