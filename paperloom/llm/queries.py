@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bpe, leakage, packing, pii, quantiles
+from paperloom.llm import bpe, leakage, packing, pii, quantiles, subjects
 from paperloom.session import table
 
 
@@ -64,6 +64,21 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(p7_found(spark, d), table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of every document."""
+    return subjects.assign_subjects(table(spark, d, "documents"), table(spark, d, "doc_subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The mined rules after pruning."""
+    return subjects.mine_rules(subjects.labelled_sentences(table(spark, d, "documents"), table(spark, d, "doc_subject_labels")))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Corpus by subject and language."""
+    return subjects.composition(table(spark, d, "documents"), p8_found(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_contexts": p1_contexts,
     "p1_fill": p1_fill,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_rules": p8_rules,
+    "p8_composition": p8_composition,
 }
 
 _SPANS = """
