@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bpe, leakage, packing, pii, quantiles, subjects
+from paperloom.llm import bpe, leakage, ocr_repair, packing, pii, quantiles, subjects
 from paperloom.session import table
 
 
@@ -49,6 +49,16 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.latency_percentiles(table(spark, d, "trace_record"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Noisy lines of scanned texts and the kinds of their noise."""
+    return ocr_repair.find_noise(table(spark, d, "tb_document_extract"), table(spark, d, "tb_document_chunks"))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned texts repaired into continuous paragraphs."""
+    return ocr_repair.repair(table(spark, d, "tb_document_extract"), table(spark, d, "tb_document_chunks"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """byte_bpe_50k ids of every document."""
     return bpe.encode_corpus(table(spark, d, "documents"))
@@ -87,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_masked_feedback": p2_masked_feedback,
     "p3_daily_sketches": p3_daily_sketches,
     "p3_percentiles": p3_percentiles,
+    "p4_found": p4_found,
+    "p4_repaired": p4_repaired,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_report": p7_report,
