@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.operators import orphans
-from paperloom.session import table
+from paperloom.functions import facts, guards, layout, routing
+from paperloom.operators import chunking, context, health, lines, orphans, retrieval, traces, verify
+from paperloom.session import table, work_folder
+from paperloom.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,3 +62,578 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references per table, field and day."""
     return orphans.orphan_report(*_reference_sides(spark, d))
+
+
+# --- guards and routing -------------------------------------------------------------------------------------------
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "trace_record").select("dt", "line_no", "request")
+
+
+_EDGE_L, _EDGE_R = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+
+
+def _sql_mask(column: str) -> list[str]:
+    """SQL of the masked text after each pattern, for an engine whose word bounds know Latin letters only."""
+    steps = [f"coalesce({column}, '')"]
+    bodies = {
+        "RRN": r"\d{6}[-\s]?[1-8]\d{6}", "CARD": r"\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{1,7}", "ACCOUNT": r"\d{3}[-\s]\d{2,6}[-\s]\d{6,}",
+        "PHONE": r"01[016-9][-\s]?\d{3,4}[-\s]?\d{4}", "EMAIL": r"[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]",
+    }
+    for kind, body in bodies.items():
+        sql = steps[-1]
+        for _ in range(2):  # twice, as two matches may share the character between them
+            sql = f"regexp_replace({sql}, '{_EDGE_L}{body}{_EDGE_R}', '\\1[{kind}_MASKED]\\2', 'g')"
+        steps.append(sql)
+    return steps
+
+
+@query(f"SELECT id, {_sql_mask('free_text')[-1]} AS masked FROM tb_query_feedback")
+def guard_pii_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Feedback texts with the guard's patterns masked."""
+    return table(spark, d, "tb_query_feedback").select("id", guards.mask_pii(F.col("free_text"))["masked"].alias("masked"))
+
+
+@query(f"SELECT dt, line_no, list_transform(coalesce(request.include_keywords, []), lambda x: {_sql_mask('x')[-1]}) AS masked FROM trace_record")
+def guard_pii_mask_list(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword lists of requests with every element masked."""
+    return _requests(spark, d).select("dt", "line_no", guards.mask_pii_list(F.col("request.include_keywords"))["masked"].alias("masked"))
+
+
+def _sql_flag(column: str, patterns) -> str:
+    return ", ".join(f"CASE WHEN regexp_matches({column}, '(?{flags or 's'}){p}') THEN 1 ELSE 0 END AS t{i}" for i, (p, flags) in enumerate(patterns))
+
+
+@query(f"""SELECT dt, line_no, {_sql_flag("coalesce(request.query, '')", guards.INJECTION_PATTERNS)},
+  regexp_replace(coalesce(request.query, ''), '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{FEFF}}\\x{{2060}}\\x{{180E}}]', '', 'g') AS cleaned FROM trace_record""")
+def guard_injection(spark: SparkSession, d: str) -> DataFrame:
+    """Injection patterns (t0, t1, ...) met by each request's query, and the query without invisible characters."""
+    safe = guards.sanitize_input(F.col("request.query"))
+    flags = [F.array_contains(F.col("s.threats"), f"injection:{p[:40]}").cast("int").alias(f"t{i}") for i, (p, _) in enumerate(guards.INJECTION_PATTERNS)]
+    return _requests(spark, d).select("dt", "line_no", safe.alias("s")).select("dt", "line_no", *flags, F.col("s.cleaned").alias("cleaned"))
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '(?i)(시발|씨발|개새끼|병신|좆|fuck|shit)') AS profane,
+  length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<\|im_(start|end)\|>', '', 'g'), '\[INST\]|\[/INST\]', '', 'g'), '<\|endoftext\|>', '', 'g'), '(?im)^\s*(system|assistant)\s*:\s*', '', 'g')) AS cleaned_chars
+  FROM documents WHERE text IS NOT NULL""")
+def guard_output(spark: SparkSession, d: str) -> DataFrame:
+    """Documents taken as answers: role tokens removed, profanity flagged."""
+    out = guards.sanitize_output(F.col("text"))
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", out.alias("o"))
+    return rows.select("doc_id", F.exists("o.threats", lambda t: t.startswith("profanity:")).alias("profane"), F.length("o.cleaned").alias("cleaned_chars"))
+
+
+def _sql_has(p: str) -> str:
+    return f"regexp_matches(coalesce(request.query, ''), '{p}')"
+
+
+@query(f"""WITH m AS (SELECT dt, line_no, {_sql_has(routing.STRUCTURED)} AS r, {_sql_has(routing.PROCEDURE)} AS p, {_sql_has(routing.COMPARISON)} AS c, {_sql_has(routing.INTERPRETATION)} AS i FROM trace_record)
+  SELECT dt, line_no,
+    CASE WHEN r AND NOT (p OR c OR i) THEN 'bm25_heavy' WHEN r THEN 'hybrid' WHEN p OR c OR i THEN 'dense_heavy' ELSE 'hybrid' END AS strategy,
+    CASE WHEN r AND NOT (p OR c OR i) THEN 'structured_lookup' WHEN r AND p THEN 'procedure' WHEN r AND c THEN 'comparison' WHEN r THEN 'interpretation'
+      WHEN c THEN 'comparison' WHEN p THEN 'procedure' WHEN i THEN 'interpretation' ELSE 'simple_fact' END AS query_type,
+    CASE WHEN r AND NOT (p OR c OR i) THEN 3 WHEN r OR NOT (p OR c OR i) THEN 6 ELSE 8 END AS dense_factor,
+    CASE WHEN r AND NOT (p OR c OR i) THEN 8 WHEN r OR NOT (p OR c OR i) THEN 6 ELSE 3 END AS bm25_factor FROM m""")
+def route_classify(spark: SparkSession, d: str) -> DataFrame:
+    """Route of every request's query."""
+    return _requests(spark, d).select("dt", "line_no", routing.classify(F.col("request.query")).alias("r")).select("dt", "line_no", "r.*")
+
+
+@query(f"""WITH q AS (SELECT dt, line_no, request.query AS q FROM trace_record WHERE request.query IS NOT NULL),
+  m AS (SELECT *, greatest(regexp_extract(q, '{routing.PAIR}', 1), regexp_extract(q, '{routing.PAIR}', 3)) AS a, greatest(regexp_extract(q, '{routing.PAIR}', 2), regexp_extract(q, '{routing.PAIR}', 4)) AS b,
+    regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(q, '{routing.COMPARISON}', '', 'g'), '{routing.PAIR}', '', 'g')), '^[의가은는이를을에서]\\s*', ''), '\\s*[가이은는을를의에서?？]+$', '') AS rest FROM q)
+  SELECT dt, line_no, trim(a || ' ' || rest) AS first, trim(b || ' ' || rest) AS second FROM m WHERE a <> '' AND b <> ''""")
+def decompose_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Subqueries of requests that name two things to compare."""
+    parts = _requests(spark, d).where("request.query is not null").select("dt", "line_no", routing.decompose(F.col("request.query")).alias("p"))
+    return parts.where("p is not null").select("dt", "line_no", F.get("p", F.lit(0)).alias("first"), F.get("p", F.lit(1)).alias("second"))
+
+
+# --- traces and feedback ------------------------------------------------------------------------------------------
+
+
+@query("SELECT coalesce(endpoint, '?') AS endpoint, count(*) AS requests, count(error) AS errors FROM trace_record GROUP BY 1")
+def trace_volume(spark: SparkSession, d: str) -> DataFrame:
+    """Requests and errors per endpoint."""
+    return traces.volume(table(spark, d, "trace_record"))
+
+
+@query("""WITH r AS (SELECT coalesce(route.strategy, '?') AS s, coalesce(route.query_type, '?') AS t FROM trace_record WHERE route IS NOT NULL)
+  SELECT 'strategy' AS dimension, s AS name, count(*) AS n FROM r GROUP BY s UNION ALL SELECT 'query_type', t, count(*) FROM r GROUP BY t""")
+def trace_route(spark: SparkSession, d: str) -> DataFrame:
+    """Routed requests per strategy and type."""
+    return traces.routes(table(spark, d, "trace_record"))
+
+
+@query("SELECT coalesce(decomposition.method, 'none') AS method, count(*) AS n FROM trace_record WHERE route.query_type = 'comparison' GROUP BY 1")
+def trace_decomposition(spark: SparkSession, d: str) -> DataFrame:
+    """Comparison requests per method."""
+    return traces.decomposition(table(spark, d, "trace_record"))
+
+
+_SCORES = "SELECT retrieval.rerank_scores[1] AS score FROM trace_record WHERE retrieval.rerank_scores[1] IS NOT NULL"
+
+
+@query(f"SELECT count(*) AS n, {', '.join(f'round(quantile_cont(score, {p / 100}), 4) AS p{p}' for p in traces.PERCENTS)} FROM ({_SCORES})")
+def trace_rerank_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of the first rerank score."""
+    return traces.grouped_percentiles(traces.top_scores(table(spark, d, "trace_record")), [], "score")
+
+
+@query(f"""WITH s AS ({_SCORES}), c AS (SELECT least(greatest(floor(score / 0.1::double), 0), 9)::int AS bin, count(*) AS n FROM s GROUP BY 1)
+  SELECT b::int AS bin, coalesce(n, 0) AS n FROM range(10) t(b) LEFT JOIN c ON c.bin = b""")
+def trace_rerank_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Histogram of the first rerank score."""
+    return traces.histogram(traces.top_scores(table(spark, d, "trace_record")), "score")
+
+
+@query("""SELECT count(*) AS answers, count(*) FILTER (crag.retries > 0) AS triggered, count(*) FILTER (crag.retries > 0 AND crag.score_after > crag.score_before) AS improved,
+  round(avg(crag.score_after - crag.score_before) FILTER (crag.retries > 0), 4) AS mean_change, count(*) FILTER (crag.retries > 0 AND coalesce(crag.score_after, 0) < 0.3) AS still_below
+  FROM trace_record WHERE endpoint = 'answer' AND crag IS NOT NULL""")
+def trace_retry(spark: SparkSession, d: str) -> DataFrame:
+    """Effect of rewriting queries."""
+    return traces.retries(table(spark, d, "trace_record"))
+
+
+@query("""SELECT coalesce(verification.risk_level, '?') AS risk_level, count(*) AS n, sum(verification.claims_count)::bigint AS claims, round(avg(verification.groundedness), 3) AS groundedness
+  FROM trace_record WHERE verification IS NOT NULL GROUP BY 1""")
+def trace_verification(spark: SparkSession, d: str) -> DataFrame:
+    """Verified answers per risk level."""
+    return traces.risks(table(spark, d, "trace_record"))
+
+
+@query("""WITH v AS (SELECT round(verification.groundedness, 4) AS g FROM trace_record WHERE verification.groundedness IS NOT NULL), s AS (SELECT list_sort(list(g)) AS l, count(*) AS n, round(avg(g), 3) AS mean, min(g) AS least FROM v)
+  SELECT n, mean, least, l[n // 2 + 1] AS p50, l[least(n - 1, floor(0.95 * n)::bigint) + 1] AS p95 FROM s""")
+def trace_groundedness(spark: SparkSession, d: str) -> DataFrame:
+    """Spread of groundedness."""
+    return traces.groundedness(table(spark, d, "trace_record"))
+
+
+@query(f"""WITH s AS (SELECT unnest(map_keys(timing_ms)) AS span, unnest(map_values(timing_ms)) AS ms FROM trace_record)
+  SELECT span, count(ms) AS n, round(quantile_cont(ms, 0.5), 4) AS p50, round(quantile_cont(ms, 0.95), 4) AS p95 FROM s WHERE span IN {traces.SPANS} AND ms IS NOT NULL GROUP BY span HAVING count(ms) >= 100""")
+def trace_latency(spark: SparkSession, d: str) -> DataFrame:
+    """p50 and p95 of each span."""
+    return traces.latencies(table(spark, d, "trace_record"))
+
+
+@query("SELECT coalesce(error.type, '?') AS type, count(*) AS n FROM trace_record WHERE error IS NOT NULL GROUP BY 1")
+def trace_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Requests per error type."""
+    return traces.errors(table(spark, d, "trace_record"))
+
+
+@query("SELECT coalesce(critic.failure_type, 'none') AS failure_type, coalesce(critic.action_taken, 'none') AS action_taken, count(*) AS n FROM trace_record WHERE critic.invoked GROUP BY 1, 2")
+def trace_critic(spark: SparkSession, d: str) -> DataFrame:
+    """Second opinions by failure and action."""
+    return traces.critic(table(spark, d, "trace_record"))
+
+
+@query("SELECT count(verification) AS verified, count(*) FILTER (critic.invoked) AS invoked, round(count(*) FILTER (critic.invoked) / count(verification)::double, 4) AS rate FROM trace_record")
+def trace_critic_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of second opinions."""
+    return traces.critic_rate(table(spark, d, "trace_record"))
+
+
+@query("""WITH g AS (SELECT input_guard AS g FROM trace_record WHERE input_guard IS NOT NULL)
+  SELECT kind, count(*) AS n, (SELECT count(*) FROM g) AS guarded, (SELECT count(*) FROM g WHERE g.pii_count > 0) AS flagged FROM (SELECT unnest(g.pii_found) AS kind FROM g WHERE g.pii_count > 0) GROUP BY kind""")
+def trace_input_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data that the input guard found."""
+    return traces.input_guards(table(spark, d, "trace_record"))
+
+
+@query("""SELECT CASE WHEN t LIKE 'output_leak:%' THEN 'leak' WHEN t LIKE 'profanity:%' THEN 'profanity' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT unnest(output_guard.threats) AS t FROM trace_record) GROUP BY 1""")
+def trace_output_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Threats in answers."""
+    return traces.output_guards(table(spark, d, "trace_record"))
+
+
+_ONE = "SELECT * FROM trace_record WHERE trim(trace_id) <> '' QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY dt, line_no DESC) = 1"
+
+
+@query(f"""WITH t AS ({_ONE}), f AS (SELECT trace_id, signal FROM tb_query_feedback WHERE signal IN {traces.SIGNALS})
+  SELECT signal, count(*) AS total, count(t.trace_id) AS matched, round(avg(retrieval.rerank_scores[1]), 4) AS mean_score, count(*) FILTER (verification.risk_level = 'hard_fail') AS hard_fail,
+    round(count(t.trace_id) / count(*)::double, 3) AS match_rate FROM f LEFT JOIN t USING (trace_id) GROUP BY signal""")
+def feedback_join(spark: SparkSession, d: str) -> DataFrame:
+    """Feedback joined with its traces, per signal."""
+    return traces.feedback_signals(table(spark, d, "tb_query_feedback"), table(spark, d, "trace_record"))
+
+
+@query(f"""WITH t AS ({_ONE}), f AS (SELECT trace_id, signal FROM tb_query_feedback WHERE signal IN {traces.SIGNALS})
+  SELECT coalesce(verification.risk_level, 'none') AS risk_level, count(*) FILTER (signal = 'up') AS up, count(*) FILTER (signal = 'down') AS down, count(*) FILTER (signal = 'reformulated') AS reformulated
+  FROM f JOIN t USING (trace_id) GROUP BY 1""")
+def feedback_risk_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """Matched feedback by risk level and signal."""
+    return traces.signal_risks(table(spark, d, "tb_query_feedback"), table(spark, d, "trace_record"))
+
+
+# --- index, tables and joins --------------------------------------------------------------------------------------
+
+
+@query("""SELECT s.service_code, c.service_name, count(*) AS documents, max(s.updated_at) AS newest FROM tb_document_status s LEFT JOIN tb_service_code c USING (service_code) GROUP BY ALL""")
+def service_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per service with the service's name."""
+    s, c = table(spark, d, "tb_document_status"), table(spark, d, "tb_service_code")
+    counts = s.groupBy("service_code").agg(F.count("*").alias("documents"), F.max("updated_at").alias("newest"))
+    return counts.join(c.select("service_code", "service_name"), "service_code", "left").select("service_code", "service_name", "documents", "newest")
+
+
+@query("""SELECT service_code, document_id, arg_max(status_code, (updated_at IS NOT NULL, coalesce(updated_at, created_at), id)) AS status_code FROM tb_document_status GROUP BY 1, 2""")
+def status_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Newest status of each document."""
+    s = table(spark, d, "tb_document_status").withColumn("_known", F.col("updated_at").isNotNull()).withColumn("_at", F.coalesce("updated_at", "created_at"))
+    return s.groupBy("service_code", "document_id").agg(F.max_by("status_code", F.struct("_known", "_at", "id")).alias("status_code"))
+
+
+@query("SELECT c.id FROM tb_document_chunks c WHERE NOT EXISTS (SELECT 1 FROM tb_document_contents t WHERE t.chunk_id = c.id)")
+def unembedded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that the serving table lacks."""
+    chunks, contents = table(spark, d, "tb_document_chunks"), table(spark, d, "tb_document_contents")
+    return chunks.select("id").join(contents.select(F.col("chunk_id").alias("id")), "id", "left_anti")
+
+
+@query("""SELECT coalesce(document_id, 'unknown') AS document_id, count(*) AS n, round(100.0::double * count(*) / sum(count(*)) OVER (), 4) AS percent FROM tb_document_contents GROUP BY 1""")
+def doc_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Contents per document and their share."""
+    return health.document_distribution(table(spark, d, "tb_document_contents"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+  p AS (SELECT list_dot_product(a.e, b.e) AS c FROM u a JOIN u b ON a.vec_id < b.vec_id)
+  SELECT (SELECT count(*) FROM u) AS vectors, count(*) AS pairs, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS stddev, CASE WHEN avg(c) >= 0.85 THEN 'warning' ELSE 'ok' END AS status FROM p""")
+def index_dispersion(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of all pairs of vectors."""
+    return health.dispersion(table(spark, d, "embeddings"))
+
+
+_NEAR = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+  p AS (SELECT q.vec_id AS query_id, r.vec_id AS row_id, q.label AS asked, r.label AS got, round(list_dot_product(q.e, r.e), 9) AS score FROM u q JOIN u r ON q.vec_id % 50 = 0)"""
+
+
+@query(_NEAR + " SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id)::int AS rank FROM p QUALIFY rank <= 10")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest vectors of every vector whose id is divisible by 50, among all."""
+    v = table(spark, d, "embeddings")
+    return retrieval.dense_topk(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, 10)
+
+
+@query(_NEAR + """, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS k FROM p WHERE query_id <> row_id QUALIFY k <= 5)
+  SELECT count(*) AS results, count(*) FILTER (asked <> got) AS wrong, round(count(*) FILTER (asked <> got) / count(*)::double, 4) AS rate, CASE WHEN count(*) FILTER (asked <> got) / count(*)::double >= 0.15 THEN 'warning' ELSE 'ok' END AS status FROM t""")
+def index_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours with another label."""
+    v = table(spark, d, "embeddings")
+    return health.confusion(v.where("vec_id % 50 = 0"), v)
+
+
+def _title_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of the documents whose id is divisible by 50, as queries."""
+    return table(spark, d, "documents").where("doc_id % 50 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+
+
+_BM25 = r"""WITH w AS (SELECT doc_id AS row_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+  s AS (SELECT count(*) AS docs, greatest(avg(len(t)), 1e-9) AS mean FROM w), e AS (SELECT row_id, len(t) AS n, unnest(t) AS term FROM w), i AS (SELECT term, row_id, n, count(*) AS tf FROM e GROUP BY ALL),
+  f AS (SELECT term, count(*) AS df FROM i GROUP BY term),
+  q AS (SELECT doc_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS term FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL),
+  b AS (SELECT query_id, row_id, round(sum(ln((docs - df + 0.5::double) / (df + 0.5::double) + 1) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * n / mean))), 6) AS score FROM q JOIN i USING (term) JOIN f USING (term), s GROUP BY 1, 2)"""
+
+
+@query(_BM25 + " SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id)::int AS rank FROM b QUALIFY rank <= 10")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that fit a title's words best."""
+    return retrieval.bm25_topk(_title_queries(spark, d), table(spark, d, "documents"), 10, "doc_id", "text")
+
+
+def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+_DENSE30 = """, v AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+  dn AS (SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM (SELECT q.vec_id AS query_id, r.vec_id AS row_id, round(list_dot_product(q.e, r.e), 9) AS score FROM u q JOIN u r ON q.vec_id % 50 = 0) QUALIFY rank <= 30),
+  bm AS (SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM b QUALIFY rank <= 30),
+  rr AS (SELECT query_id, row_id, round(sum(1.0::double / (60 + rank)), 9) AS score FROM (SELECT * FROM dn UNION ALL SELECT * FROM bm) GROUP BY 1, 2)"""
+
+
+@query(_BM25 + _DENSE30 + " SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id)::int AS rank FROM rr QUALIFY rank <= 10")
+def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
+    """Vector and word lists of the same ids fused by reciprocal ranks."""
+    dense = retrieval.dense_topk(_vector_queries(spark, d), table(spark, d, "embeddings"), 30)
+    sparse = retrieval.bm25_topk(_title_queries(spark, d), table(spark, d, "documents"), 30, "doc_id", "text")
+    return retrieval.fuse([dense, sparse], 10)
+
+
+@query()
+def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """Fused lists reranked by word overlap: the whole way from a query to its hits."""
+    documents = table(spark, d, "documents")
+    dense = retrieval.dense_topk(_vector_queries(spark, d), table(spark, d, "embeddings"), 24)
+    sparse = retrieval.bm25_topk(_title_queries(spark, d), documents, 24, "doc_id", "text")
+    return retrieval.rerank(retrieval.fuse([dense, sparse], 24), _title_queries(spark, d), documents, 8, "doc_id", "text")
+
+
+@query("""WITH h AS (SELECT id AS query_id, * FROM tb_document_chunks WHERE id % 50 = 0),
+  m AS (SELECT query_id, service_code, document_id, heading_path, coalesce(part_index, 1) AS p, coalesce(part_total, 1) AS t FROM h WHERE coalesce(heading_path, '') <> '' AND coalesce(part_total, 1) > 1),
+  f AS (SELECT m.query_id, c.id AS chunk_id FROM m JOIN tb_document_chunks c USING (service_code, document_id, heading_path) WHERE c.part_index BETWEEN greatest(1, p - 2) AND least(t, p + 2))
+  SELECT DISTINCT query_id, chunk_id FROM (SELECT * FROM f UNION ALL SELECT query_id, id FROM h WHERE coalesce(heading_path, '') = '' OR coalesce(part_total, 1) <= 1)""")
+def sibling_window(spark: SparkSession, d: str) -> DataFrame:
+    """Parts around every chunk whose id is divisible by 50."""
+    chunks = table(spark, d, "tb_document_chunks")
+    hits = chunks.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("chunk_id"), F.lit(1).alias("rank"), "service_code", "document_id", "heading_path", "part_index", "part_total", "content")
+    return context.sibling_window(hits, chunks).select("query_id", "chunk_id")
+
+
+@query()
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Grouped sections of those parts, cut to a budget of 600 tokens."""
+    chunks = table(spark, d, "tb_document_chunks")
+    hits = chunks.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("chunk_id"), F.lit(1).alias("rank"), "service_code", "document_id", "heading_path", "part_index", "part_total", "content")
+    grouped = context.group_sections(context.sibling_window(hits, chunks))
+    cut = context.fit_budget(F.col("context"), context.token_count(F.col("context")), F.lit(600))
+    return grouped.select("query_id", cut.alias("c")).select("query_id", F.length("c.text").alias("chars"), "c.truncated")
+
+
+@query("SELECT id FROM tb_document_contents WHERE start_page >= 2 AND end_page <= 6 AND contains(content, '한다') AND NOT contains(content, '통지서')")
+def filter_build(spark: SparkSession, d: str) -> DataFrame:
+    """Contents on pages 2 to 6 with one word and without another."""
+    return table(spark, d, "tb_document_contents").where(retrieval.build_filter(start_page=2, end_page=6, include=["한다"], exclude=["통지서"])).select("id")
+
+
+# --- text, lines and chunks ---------------------------------------------------------------------------------------
+
+_MD = "SELECT id, raw_markdown AS t FROM tb_document_extract WHERE raw_markdown IS NOT NULL"
+_LINES = f"l AS (SELECT id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM ({_MD}))"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines.split_lines(table(spark, d, "tb_document_extract"), "id", "raw_markdown")
+
+
+@query(r"""WITH p AS (SELECT id, list_concat([1], list_transform(regexp_extract_all(t, '<!--\s*page:(\d+)\s*-->', 1), lambda x: x::int)) AS n, string_split_regex(t, '<!--\s*page:(\d+)\s*-->') AS c FROM (""" + _MD + r""")),
+  e AS (SELECT id, unnest(n) AS page, trim(unnest(c), ' ' || chr(10) || chr(9) || chr(13)) AS content FROM p) SELECT id, page, length(content) AS chars FROM e WHERE content <> ''""")
+def markdown_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of extracted texts."""
+    return lines.pages(table(spark, d, "tb_document_extract"), "id", "raw_markdown").select("id", "page", F.length("content").alias("chars"))
+
+
+@query(r"WITH " + _LINES + r""", h AS (SELECT *, trim(line) AS s FROM l)
+  SELECT id, pos FROM h WHERE s <> '' AND (regexp_matches(s, '^!\[image\s+\d+\]') OR contains(s, '·····') OR contains(s, '………') OR regexp_matches(s, '^[-–—]\s*\d+\s*[-–—]$') OR regexp_matches(s, '^\d+\s*[-–—]$')
+    OR regexp_matches(s, '(?i)^(page\s+)?\d+\s*/\s*\d+$') OR regexp_matches(s, '(?i)^page\s+\d+\s+of\s+\d+$') OR (length(s) <= 2 AND NOT regexp_matches(s, '[가-힣a-zA-Z0-9]')))""")
+def noise_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that cleaning drops."""
+    return _lines(spark, d).where(layout.is_noise_line(F.col("line"))).select("id", "pos")
+
+
+@query(r"WITH " + _LINES + r""", a AS (SELECT *, starts_with(trim(line), '|') AND ends_with(trim(line), '|') AS is_table FROM l),
+  b AS (SELECT *, sum(c) OVER (PARTITION BY id ORDER BY pos) AS block FROM (SELECT *, CASE WHEN is_table = lag(is_table) OVER (PARTITION BY id ORDER BY pos) THEN 0 ELSE 1 END AS c FROM a))
+  SELECT id, block, count(*) AS rows, NOT max(NOT regexp_matches(trim(trim(line), '|'), '^[\s\-:]+$') AND contains(trim(trim(line), '|'), '|')) AS is_junk FROM b WHERE is_table GROUP BY id, block""")
+def table_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of extracted texts and whether they have one column only."""
+    return lines.table_blocks(_lines(spark, d), "id").where("is_table").groupBy("id", "block").agg(F.count("*").alias("rows"), F.max("is_junk").alias("is_junk"))
+
+
+_H = ", ".join(f"max(CASE WHEN level = {k} THEN pos END) OVER w AS p{k}" for k in range(1, 7))
+_PATH = ", ".join(
+    f"CASE WHEN p{k} > greatest({', '.join([f'coalesce(p{j}, -1)' for j in range(1, k)] + ['-1'])}) THEN p{k} END" for k in range(1, 7)
+)
+
+
+@query(r"WITH " + _LINES + rf""", a AS (SELECT *, nullif(length(regexp_extract(trim(line), '^(#{{1,6}})\s+(.+)$', 1)), 0) AS level FROM l),
+  b AS (SELECT *, {_H} FROM a WINDOW w AS (PARTITION BY id ORDER BY pos))
+  SELECT id, pos, list_transform(list_filter([{_PATH}], lambda x: x IS NOT NULL), lambda x: x::int) AS path FROM b WHERE level IS NOT NULL""")
+def heading_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the headings above each heading, itself included."""
+    rows = lines.heading_paths(_lines(spark, d).withColumn("line", F.regexp_replace("line", r"(?U)^(\s*#{1,6}\s+).+$", F.concat(F.lit("$1"), F.col("pos").cast("string")))), "id")
+    return rows.where("level is not null").select("id", "pos", F.col("heading_path").cast("array<int>").alias("path"))
+
+
+@query()
+def heading_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Heading path and page of every line."""
+    return lines.heading_paths(_lines(spark, d), "id").select("id", "pos", "level", "heading_path", "page")
+
+
+@query()
+def normalize(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in the form that is indexed."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", layout.normalize_text(F.col("text")).alias("text"))
+
+
+@query()
+def remove_toc(spark: SparkSession, d: str) -> DataFrame:
+    """Extracted texts without tables of contents."""
+    return lines.join_lines(lines.without_contents(_lines(spark, d), "id"), "id")
+
+
+@query()
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    """Extracted texts without noise lines, page marks and one-column tables."""
+    return chunking.cleaned_texts(table(spark, d, "tb_document_extract"), "id", "raw_markdown")
+
+
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE text IS NOT NULL),
+  step AS (SELECT doc_id, 0 AS st, CASE WHEN n <= 800 THEN n ELSE CASE WHEN length(regexp_extract(substr(t, 1, 800), '(?s)^.*[\n .]')) - 1 > 400 THEN length(regexp_extract(substr(t, 1, 800), '(?s)^.*[\n .]')) ELSE 800 END END AS en FROM d
+    UNION ALL SELECT doc_id, s, CASE WHEN s + 800 < n AND length(regexp_extract(substr(t, s + 1, 800), '(?s)^.*[\n .]')) - 1 > 400 THEN s + length(regexp_extract(substr(t, s + 1, 800), '(?s)^.*[\n .]')) ELSE s + 800 END
+      FROM (SELECT doc_id, t, n, en - 150 AS s FROM step JOIN d USING (doc_id) WHERE n > 800 AND en - 150 < n)),
+  c AS (SELECT doc_id, st, regexp_replace(substr(t, st + 1, en - st), '^[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+|[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+$', '', 'g') AS content FROM step JOIN d USING (doc_id))
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st)::int AS part_index, st::int AS start, length(content) AS chars FROM c WHERE content <> ''""")
+def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """Windows over every document."""
+    return chunking.fixed_chunks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "part_index", "start", F.length("content").cast("long").alias("chars"))
+
+
+@query()
+def chunk_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of extracted texts by heading."""
+    rows = table(spark, d, "tb_document_extract").select("id", layout.normalize_text(F.col("raw_markdown")).alias("text"))
+    return chunking.adaptive_chunks(rows, "id", "text")
+
+
+@query("""SELECT id, CASE WHEN coalesce(heading_path, '') = '' THEN 1 ELSE row_number() OVER (PARTITION BY service_code, document_id, heading_path ORDER BY seq, id) END::int AS part_index,
+  CASE WHEN coalesce(heading_path, '') = '' THEN 1 ELSE count(*) OVER (PARTITION BY service_code, document_id, heading_path) END::int AS part_total FROM tb_document_chunks""")
+def rechunk_indices(spark: SparkSession, d: str) -> DataFrame:
+    """Part numbers of chunks anew within their heading path."""
+    return chunking.renumber_parts(table(spark, d, "tb_document_chunks"), ["service_code", "document_id"], ["seq", "id"]).select("id", "part_index", "part_total")
+
+
+@query(r"""WITH t AS (SELECT service_code, document_id, unnest(image_ocr_texts) AS x FROM tb_document_chunks), s AS (SELECT *, regexp_replace(coalesce(x, ''), '^\s+|\s+$', '', 'g') AS s FROM t),
+  v AS (SELECT *, regexp_replace(s, '\s', '', 'g') AS solid FROM s)
+  SELECT service_code, document_id, CASE WHEN s = '' THEN 'empty' WHEN length(s) < 10 THEN 'too_short' WHEN NOT regexp_matches(s, '[가-힣a-zA-Z0-9]') THEN 'special_only'
+    WHEN regexp_matches(s, '^[0-9\s+\-*/=().,^{}\\]+$') THEN 'math_noise' WHEN length(regexp_replace(solid, '[^가-힣a-zA-Z]', '', 'g')) < 0.3::double * length(solid) THEN 'low_lang_ratio' ELSE 'passed' END AS verdict,
+    count(*) AS n, sum(length(coalesce(x, '')))::bigint AS chars FROM v GROUP BY ALL""")
+def ocr_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Recognised texts per document and verdict."""
+    return health.recognised_texts(table(spark, d, "tb_document_chunks"))
+
+
+# --- facts and verification ---------------------------------------------------------------------------------------
+
+
+_ART = facts.ARTICLE.replace(r"\d", r"\p{Nd}").replace(r"\s", r"[\s\p{Z}]")  # SQL's \d knows ASCII digits only
+_AMT = facts.AMOUNT.replace(r"\d", r"\p{Nd}").replace(r"\s", r"[\s\p{Z}]")
+_DAY = facts.DATE.replace(r"\d", r"\p{Nd}")
+
+
+def _digits(sql: str) -> str:
+    return f"translate({sql}, '０１２３４５６７８９', '0123456789')"
+
+
+@query(rf"""WITH m AS (SELECT doc_id, {_digits("unnest(regexp_extract_all(text, '" + _ART + "'))")} AS m FROM documents)
+  SELECT doc_id, regexp_extract(m, '{_ART}', 1)::int AS article, nullif(regexp_extract(m, '{_ART}', 2), '')::int AS paragraph, count(*) AS n FROM m GROUP BY ALL""")
+def fact_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles that documents refer to."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(facts.article_refs(F.col("text"))).alias("r"))
+    return rows.groupBy("doc_id", F.col("r.article").alias("article"), F.col("r.paragraph").alias("paragraph")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH m AS (SELECT doc_id, {_digits("unnest(regexp_extract_all(text, '" + _AMT + "'))")} AS m FROM documents),
+  u AS (SELECT doc_id, replace(regexp_extract(m, '{_AMT}', 1), ',', '')::double AS a, regexp_replace(regexp_extract(m, '{_AMT}', 2), '\s', '', 'g') AS u FROM m)
+  SELECT doc_id, CASE WHEN u IN ('만원', '억원', '원') THEN 'KRW' WHEN u IN ('%', '퍼센트') THEN 'PERCENT' WHEN u IN ('일', '개월') THEN 'DAYS' WHEN u = '년' THEN 'YEARS' WHEN u IN ('세', '살') THEN 'AGE' ELSE 'COUNT' END AS unit,
+    count(*) AS n, sum(a * CASE u WHEN '만원' THEN 1e4 WHEN '억원' THEN 1e8 WHEN '개월' THEN 30 ELSE 1 END)::double AS total FROM u GROUP BY ALL
+  UNION ALL SELECT doc_id, 'DATE', count(*), 0.0 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_DAY}')) AS m FROM documents) GROUP BY doc_id""")
+def fact_numeric(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts that documents state, by unit."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(facts.numeric_facts(F.col("text"))).alias("f"))
+    return rows.groupBy("doc_id", F.col("f.unit").alias("unit")).agg(F.count("*").alias("n"), F.sum("f.value").alias("total"))
+
+
+@query(r"""WITH c AS (SELECT id, unnest(string_split(regexp_replace(regexp_replace(content, '([.!?다요음])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS c FROM tb_document_contents WHERE content IS NOT NULL)
+  SELECT id, count(*) AS n FROM c WHERE trim(c, ' ' || chr(10) || chr(9)) <> '' GROUP BY id""")
+def claims_split(spark: SparkSession, d: str) -> DataFrame:
+    """Statements of every content."""
+    rows = table(spark, d, "tb_document_contents").select("id", F.size(facts.claims(F.col("content"))).cast("long").alias("n"))
+    return rows.where("n > 0")
+
+
+def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Serving contents as answers, and the other chunks of their documents as sources."""
+    answers = table(spark, d, "tb_document_contents").select("id", F.col("chunk_id").alias("own"), "service_code", "document_id", "content")
+    return answers, table(spark, d, "tb_document_chunks").select("id", "service_code", "document_id", "content")
+
+
+def _unsupported(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    answers, sources = _answers(spark, d)
+    return answers, sources, verify.unsupported(answers, sources, ["service_code", "document_id"], "id", "id", own="own")
+
+
+_NAMES = _digits(f"unnest(regexp_extract_all(content, '{_ART}'))")
+_CANON = (
+    rf"'제' || regexp_extract(m, '{_ART}', 1)::int || '조' || CASE WHEN regexp_extract(m, '{_ART}', 2) IN ('', '0') THEN '' ELSE ' 제' || regexp_extract(m, '{_ART}', 2)::int || '항' END"
+    rf" || CASE WHEN regexp_extract(m, '{_ART}', 3) IN ('', '0') THEN '' ELSE ' 제' || regexp_extract(m, '{_ART}', 3)::int || '호' END"
+)
+
+
+@query(f"""WITH a AS (SELECT id, chunk_id, service_code, document_id, {_NAMES} AS m FROM tb_document_contents), s AS (SELECT id, service_code, document_id, {_NAMES} AS m FROM tb_document_chunks),
+  an AS (SELECT DISTINCT id, chunk_id, service_code, document_id, {_CANON} AS name FROM a), sn AS (SELECT DISTINCT id, service_code, document_id, {_CANON} AS name FROM s)
+  SELECT id AS answer_id, name FROM an WHERE NOT EXISTS (SELECT 1 FROM sn WHERE sn.service_code = an.service_code AND sn.document_id = an.document_id AND sn.name = an.name AND sn.id IS DISTINCT FROM an.chunk_id)""")
+def provenance(spark: SparkSession, d: str) -> DataFrame:
+    """Articles named in a content that no other chunk of its document names."""
+    return _unsupported(spark, d)[2].where("kind = 'reference' and name like '제%조%'").select("answer_id", "name")
+
+
+@query()
+def claim_records(spark: SparkSession, d: str) -> DataFrame:
+    """Statements with references and the chunks that have one of them."""
+    answers, sources = _answers(spark, d)
+    return verify.claim_records(answers, sources, ["service_code", "document_id"], "id", "id")
+
+
+@query()
+def risk_level(spark: SparkSession, d: str) -> DataFrame:
+    """Risk of every content, were it an answer from the other chunks of its document."""
+    answers, _, wrong = _unsupported(spark, d)
+    return verify.verdicts(answers, wrong, "id").select("answer_id", F.size("missing_references").alias("missing"), F.size("wrong_numbers").alias("wrong"), "risk_level")
+
+
+@query()
+def failure_class(spark: SparkSession, d: str) -> DataFrame:
+    """What kind of failure each unsupported content is, against the first chunk of its document, and the hint for a second try."""
+    answers, sources, wrong = _unsupported(spark, d)
+    bad = verify.verdicts(answers, wrong, "id").where("risk_level in ('hard_fail', 'soft_fail')")
+    first = sources.groupBy("service_code", "document_id").agg(F.min_by("content", "id").alias("context"))
+    rows = bad.join(answers.select(F.col("id").alias("answer_id"), "service_code", "document_id"), "answer_id").join(first, ["service_code", "document_id"])
+    rows = rows.withColumn("failure_type", verify.failure_type(F.col("missing_references"), F.col("wrong_numbers"), F.col("context")))
+    return rows.select("answer_id", "risk_level", "failure_type", verify.hint(F.col("failure_type"), F.col("missing_references"), F.col("wrong_numbers"), F.col("context")).alias("hint"))
+
+
+# --- streams ------------------------------------------------------------------------------------------------------
+
+
+def _run(spark: SparkSession, df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    return windows.run_available(df, work_folder(spark, name), work_folder(spark, f"{name}-progress"), mode)
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2""")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    """Events per hour and type, as a stream."""
+    out = _run(spark, windows.tumbling(windows.read_stream(spark, d, "events"), "ts", "1 hour", ["event_type"], "value"), "tumbling")
+    return out.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"), "least", "most")
+
+
+@query("""WITH w AS (SELECT unnest([time_bucket(INTERVAL '15 minutes', ts), time_bucket(INTERVAL '15 minutes', ts) - INTERVAL '15 minutes', time_bucket(INTERVAL '15 minutes', ts) - INTERVAL '30 minutes', time_bucket(INTERVAL '15 minutes', ts) - INTERVAL '45 minutes']) AS start, event_type FROM events)
+  SELECT start, event_type, count(*) AS n FROM w GROUP BY 1, 2""")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Events per hour that begins every quarter, as a stream."""
+    out = _run(spark, windows.sliding(windows.read_stream(spark, d, "events"), "ts", "1 hour", "15 minutes", ["event_type"]), "sliding")
+    return out.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS c FROM events),
+  b AS (SELECT user_id, ts, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of users with a gap of half an hour, as a stream."""
+    out = _run(spark, windows.sessions(windows.read_stream(spark, d, "events"), "ts", "30 minutes", ["user_id"]), "sessions")
+    return out.select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+@query("SELECT DISTINCT event_id FROM events")
+def stream_once(spark: SparkSession, d: str) -> DataFrame:
+    """Events once each, as a stream."""
+    return _run(spark, windows.once(windows.read_stream(spark, d, "events").select("event_id", "ts"), "ts", ["event_id"], "40 days"), "once", "append").select("event_id")
+
+
+@query("""SELECT time_bucket(INTERVAL '1 day', trace_ts) AS day, coalesce(endpoint, '?') AS endpoint, count(*) AS requests, count(error) AS errors FROM trace_record WHERE trace_ts IS NOT NULL GROUP BY 1, 2""")
+def stream_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Requests and errors per day and endpoint, as a stream of trace files."""
+    stream = windows.read_stream(spark, d, "trace_record").select(F.col("trace_ts").cast("timestamp").alias("at"), F.coalesce("endpoint", F.lit("?")).alias("endpoint"), "error")
+    w = stream.withWatermark("at", windows.WATERMARK).groupBy(F.window("at", "1 day"), "endpoint").agg(F.count("*").alias("requests"), F.count("error").alias("errors"))
+    return _run(spark, w, "traces").select(F.col("window.start").alias("day"), "endpoint", "requests", "errors")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, limit_rows: int) -> bool:
-    """True when ``df`` holds at most ``limit_rows`` rows (reads no more than that)."""
-    return df.limit(limit_rows + 1).count() <= limit_rows
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written tables and streaming progress, in the shared folder that the cluster names."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
