@@ -107,11 +107,17 @@ def may_be_header(line: str) -> bool:
     return 2 <= len(s) <= 70 and s[-1] not in ".?!,:;。" and s[-1] not in HYPHENS and len(s.split()) <= 10
 
 
-def at_edge(kinds: list[str], i: int) -> bool:
-    """Whether a line stands at the edge of a page: beside a page number, a page mark or an end of the text."""
-    before = next((k for k in reversed(kinds[:i]) if k != "blank"), "end")
-    after = next((k for k in kinds[i + 1 :] if k != "blank"), "end")
-    return before in ("end", "mark", "page_no") or after in ("end", "mark", "page_no")
+def edges(kinds: list[str]) -> list[bool]:
+    """Whether each line stands at the edge of a page: beside a page number, a page mark or an end of the text."""
+    near = []
+    for order in (range(len(kinds)), range(len(kinds) - 1, -1, -1)):
+        last, side = "end", [False] * len(kinds)
+        for i in order:
+            side[i] = last in ("end", "mark", "page_no")
+            if kinds[i] != "blank":
+                last = kinds[i]
+        near.append(side)
+    return [a or b for a, b in zip(*near)]
 
 
 def repeated_headers(lines: list[str], kinds: list[str]) -> set[int]:
@@ -120,7 +126,8 @@ def repeated_headers(lines: list[str], kinds: list[str]) -> set[int]:
     for i, (line, kind) in enumerate(zip(lines, kinds)):
         if kind == "text" and may_be_header(line):
             seen.setdefault(header_key(line), []).append(i)
-    return {i for key, at in seen.items() if len(key) >= 4 and len(at) >= 2 and sum(at_edge(kinds, i) for i in at) * 2 > len(at) for i in at}
+    edge = edges(kinds)
+    return {i for key, at in seen.items() if len(key) >= 4 and len(at) >= 2 and sum(edge[i] for i in at) * 2 > len(at) for i in at}
 
 
 def flow(lines: list[str], kinds: list[str]) -> list[tuple[str, int, int]]:
@@ -412,7 +419,8 @@ def corrections(found: DataFrame, counts: DataFrame) -> DataFrame:
     words = found.where("word is not null")
     near = cut(variants(counts))
     certain = near.where((F.length("word") >= 3) & ~F.col("particle")).groupBy("difference").agg(F.sum("n").alias("times"))
-    usual = certain.crossJoin(certain.agg(F.sum("times").alias("all_times"))).where(F.col("times") >= F.greatest(F.lit(2), USUAL * F.col("all_times"))).select("difference")
+    whole = certain.agg(F.sum("times").alias("n")).first()["n"] or 0
+    usual = certain.where(F.col("times") >= max(2, USUAL * whole)).select("difference")  # at most the pairs of letters
     possible = words.join(near.join(F.broadcast(usual), "difference", "left_semi"), "word")
     pairs = counts.where("kind = 'pair'").select("a", "b", "n")
     left = pairs.select(F.col("a").alias("before"), F.col("b").alias("variant"), F.col("n").alias("n_left"))

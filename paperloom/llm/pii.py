@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+AROUND = 200  # characters on each side of a bracketed phrase that may hold the halves of a broken value
 KINDS = ("EMAIL", "ID_NUMBER", "PHONE", "ADDRESS", "NAME")
 DEFAULT_KEY = "rotate-me"
 
@@ -46,8 +47,8 @@ NO_PERSON = r"(?:문서 ?번호|접수 ?번호|티켓|주문 ?번호|ticket|ref(
 
 _D = "[-.·/]"
 EMAIL = re.compile(
-    r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9_])?(?: ?@ ?| ?[(\[] ?at ?[)\]] ?| ?골뱅이 ?)"
-    r"[A-Za-z0-9\-]+(?:(?:\.| ?[(\[] ?dot ?[)\]] ?| ?점 ?)[A-Za-z0-9\-]+)+",
+    r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_])?(?: ?@ ?| ?[(\[] ?at ?[)\]] ?| ?골뱅이 ?)"
+    r"[A-Za-z0-9\-]{1,63}(?:(?:\.| ?[(\[] ?dot ?[)\]] ?| ?점 ?)[A-Za-z0-9\-]{1,63})+",
     re.I,
 )
 RESIDENT = re.compile(r"(?<![\d-])(\d{6})( ?- ?| )?([0-9]\d{6})(?![\d-])")
@@ -75,7 +76,7 @@ ADDRESSES = (
     re.compile(r"(?:(?:Flat|Apt|Unit|Apartment|Suite|Room)\.? \w+,?\s)?(?<![\w.,])\d{1,5}[A-Z]?\s(?:[A-Za-z][A-Za-z'\-]*\s){1,3}(?:" + ROADS + r")\b(?! (?:policy|rules?|form|manual|guide|handbook|plan|project)\b)(?:,?\s(?!and\b|or\b|if\b|in\b|is\b|to\b|for\b)(?-i:[A-Z][A-Za-z\-]{2,}))?(?:,?\s\d{5}(?!\d))?", re.I),
     re.compile(r"(?:\d+(?:-\d+)?,?\s)?[A-Za-z][A-Za-z]+-(?:daero|ro|gil)(?:\s\d+(?:beon)?-gil)?(?:\s\d+)?(?:,\s[A-Za-z]+-(?:dong|eup|myeon|gu|gun|si|do))+", re.I),
 )
-_EN = r"(?-i:[A-Z][a-z]+(?:-[A-Z][a-z]+)?|[A-Z]{2,}(?:-[A-Z]{2,})?)"
+_EN = r"(?-i:[A-Z][a-z]{1,30}(?:-[A-Z][a-z]{1,30})?|[A-Z]{2,30}(?:-[A-Z]{2,30})?)"
 _EN_NAME = rf"(?:{_EN}, ?{_EN}|(?-i:[A-Z])\. ?{_EN}|{_EN} {_EN})"
 EN_CONTEXT = re.compile(rf"(?:\bmy name is |\bname: ?|\b(?:regards|sincerely|thanks),? |\bsigned |\battn:? |\bholder,? |\bclaim of |(?:^|[\s(])- |\bthis is |\b(?:{TITLES})\.? )(?:(?:{TITLES})\.? )?({_EN_NAME})", re.I)
 EN_TITLE = re.compile(rf"\b(?:{TITLES})\.? ({_EN_NAME}|{_EN})")
@@ -117,42 +118,49 @@ class Detector:
         flat = text.translate(_WIDE)
         found = self._flat(flat)
         for inner in re.finditer(r" ?\([^()]{6,120}\)", flat):
-            cut, size = inner.start(), inner.end() - inner.start()
-            if not any(cut <= a and b <= inner.end() for a, b, _ in found):
+            cut, end = inner.span()
+            if not any(cut <= a and b <= end for a, b, _ in found):
                 continue
-            outer = flat[:cut] + flat[inner.end() :]
+            low = max(0, cut - AROUND)
+            outer, size, at = flat[low:cut] + flat[end : end + AROUND], end - cut, cut - low
             for a, b, kind in self._flat(outer):
-                if a < cut < b:  # broken by the phrase
-                    found = [x for x in found if not (a <= x[0] < cut or cut + size <= x[1] <= b + size and x[0] >= cut + size)]
-                    rest = cut + size + len(outer[cut:b]) - len(outer[cut:b].lstrip())
-                    found += [(a, cut, kind), (rest, b + size, kind)]
+                if a < at < b:  # broken by the phrase
+                    rest = at + len(outer[at:b]) - len(outer[at:b].lstrip())
+                    a, b, rest = a + low, b + low + size, rest + low + size
+                    found = [x for x in found if not (a <= x[0] < cut or end <= x[0] and x[1] <= b)]
+                    found += [(a, cut, kind), (rest, b, kind)]
         return sorted(found)
 
     def _flat(self, text: str) -> list[tuple[int, int, str]]:
         taken: list[tuple[int, int, str]] = []
+        busy = bytearray(len(text))
 
         def take(a: int, b: int, kind: str) -> None:
             while a < b and text[a].isspace():
                 a += 1
-            if a < b and not any(a < y and x < b for x, y, _ in taken):
+            if a < b and 1 not in busy[a:b]:
+                busy[a:b] = b"\1" * (b - a)
                 taken.append((a, b, kind))
 
+        def numbered(at: int) -> bool:  # a word for a document or ticket stands before
+            return bool(_NOT_PERSON.search(text[max(0, at - 40) : at]))
+
         for m in EMAIL.finditer(text):
             take(*m.span(), "EMAIL")
         if any(c.isdigit() for c in text):
             for m in RESIDENT.finditer(text):
-                if valid_date(m[1]) and "1" <= m[3][0] <= "8" and not _NOT_PERSON.search(text[: m.start()]):
+                if valid_date(m[1]) and "1" <= m[3][0] <= "8" and not numbered(m.start()):
                     take(*m.span(), "ID_NUMBER")
             for rx in IDS:
                 for m in rx.finditer(text):
-                    if not _NOT_PERSON.search(text[: m.start()]):
+                    if not numbered(m.start()):
                         take(*m.span(m.lastindex or 0), "ID_NUMBER")
             for rx in ADDRESSES:
                 for m in rx.finditer(text):
                     take(*m.span(), "ADDRESS")
         for rx in PHONES:
             for m in rx.finditer(text):
-                if not _NOT_PERSON.search(text[: m.start()]):
+                if not numbered(m.start()):
                     take(*m.span(), "PHONE")
         for m in KO_CONTEXT.finditer(text):
             k = 1 if m[1] else 2
@@ -246,7 +254,7 @@ def mask(text: str, spans: list[tuple[int, int, str]], key: bytes) -> str:
     return "".join([*out, text[at:]])
 
 
-def learn_syllables(texts: DataFrame, column: str = "text", least: int = 3) -> tuple[str, str]:
+def learn_syllables(texts: DataFrame, column: str = "text", least: int = 1) -> tuple[str, str]:
     """First and second syllables of given names that stand beside a title or phrase, over all texts.
 
     A syllable counts if it occurs ``least`` times and in a hundredth of the

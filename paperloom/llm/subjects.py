@@ -151,6 +151,8 @@ def mine_rules(rows: DataFrame) -> DataFrame:
         .select(F.concat("words", F.transform("subjects", lambda s: F.concat(F.lit("\0"), s))).alias("items"))
     )
     kept = items.count()
+    if not kept:
+        return rows.sparkSession.createDataFrame([], "words array<string>, subject string, support long, confidence double")
     growth = FPGrowth(itemsCol="items", minSupport=min(1.0, (LEAST_SUPPORT - 0.5) / max(kept, 1)), minConfidence=1.0)
     sets = growth.fit(items).freqItemsets
     head = F.filter("items", lambda x: x.startswith("\0"))
