@@ -36,7 +36,7 @@ def read_traces(spark: SparkSession, path: str, first_day: str | None = None, la
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """Whole text files below a folder: path, text."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def first_text(*texts: Column) -> Column:
