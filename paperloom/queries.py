@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import facts, guards, layout, routing
 from paperloom.operators import chunking, context, health, lines, orphans, retrieval, traces, verify
-from paperloom.session import table, work_folder
+from paperloom.session import spread, table, work_folder
 from paperloom.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,7 +340,7 @@ _BM25 = r"""WITH w AS (SELECT doc_id AS row_id, list_filter(regexp_split_to_arra
 @query(_BM25 + " SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id)::int AS rank FROM b QUALIFY rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Documents that fit a title's words best."""
-    return retrieval.bm25_topk(_title_queries(spark, d), table(spark, d, "documents"), 10, "doc_id", "text")
+    return retrieval.bm25_topk(_title_queries(spark, d), _texts(spark, d), 10, "doc_id", "text")
 
 
 def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -358,14 +358,14 @@ _DENSE30 = """, v AS (SELECT vec_id, list_transform(embedding, lambda x: x::doub
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     """Vector and word lists of the same ids fused by reciprocal ranks."""
     dense = retrieval.dense_topk(_vector_queries(spark, d), table(spark, d, "embeddings"), 30)
-    sparse = retrieval.bm25_topk(_title_queries(spark, d), table(spark, d, "documents"), 30, "doc_id", "text")
+    sparse = retrieval.bm25_topk(_title_queries(spark, d), _texts(spark, d), 30, "doc_id", "text")
     return retrieval.fuse([dense, sparse], 10)
 
 
 @query()
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Fused lists reranked by word overlap: the whole way from a query to its hits."""
-    documents = table(spark, d, "documents")
+    documents = _texts(spark, d)
     dense = retrieval.dense_topk(_vector_queries(spark, d), table(spark, d, "embeddings"), 24)
     sparse = retrieval.bm25_topk(_title_queries(spark, d), documents, 24, "doc_id", "text")
     return retrieval.rerank(retrieval.fuse([dense, sparse], 24), _title_queries(spark, d), documents, 8, "doc_id", "text")
@@ -404,8 +404,16 @@ _MD = "SELECT id, raw_markdown AS t FROM tb_document_extract WHERE raw_markdown
 _LINES = f"l AS (SELECT id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM ({_MD}))"
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _extracts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "tb_document_extract").select("id", "raw_markdown"))
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return lines.split_lines(table(spark, d, "tb_document_extract"), "id", "raw_markdown")
+    return lines.split_lines(_extracts(spark, d), "id", "raw_markdown")
 
 
 @query(r"""WITH p AS (SELECT id, list_concat([1], list_transform(regexp_extract_all(t, '<!--\s*page:(\d+)\s*-->', 1), lambda x: x::int)) AS n, string_split_regex(t, '<!--\s*page:(\d+)\s*-->') AS c FROM (""" + _MD + r""")),
@@ -455,7 +463,7 @@ def heading_paths(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def normalize(spark: SparkSession, d: str) -> DataFrame:
     """Documents in the form that is indexed."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", layout.normalize_text(F.col("text")).alias("text"))
+    return _texts(spark, d).where("text is not null").select("doc_id", layout.normalize_text(F.col("text")).alias("text"))
 
 
 @query()
@@ -467,7 +475,7 @@ def remove_toc(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     """Extracted texts without noise lines, page marks and one-column tables."""
-    return chunking.cleaned_texts(table(spark, d, "tb_document_extract"), "id", "raw_markdown")
+    return chunking.cleaned_texts(_extracts(spark, d), "id", "raw_markdown")
 
 
 @query(r"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE text IS NOT NULL),
@@ -478,13 +486,13 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st)::int AS part_index, st::int AS start, length(content) AS chars FROM c WHERE content <> ''""")
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     """Windows over every document."""
-    return chunking.fixed_chunks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "part_index", "start", F.length("content").cast("long").alias("chars"))
+    return chunking.fixed_chunks(_texts(spark, d), "doc_id", "text").select("doc_id", "part_index", "start", F.length("content").cast("long").alias("chars"))
 
 
 @query()
 def chunk_adaptive(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of extracted texts by heading."""
-    rows = table(spark, d, "tb_document_extract").select("id", layout.normalize_text(F.col("raw_markdown")).alias("text"))
+    rows = _extracts(spark, d).select("id", layout.normalize_text(F.col("raw_markdown")).alias("text"))
     return chunking.adaptive_chunks(rows, "id", "text")
 
 
@@ -521,7 +529,7 @@ def _digits(sql: str) -> str:
   SELECT doc_id, regexp_extract(m, '{_ART}', 1)::int AS article, nullif(regexp_extract(m, '{_ART}', 2), '')::int AS paragraph, count(*) AS n FROM m GROUP BY ALL""")
 def fact_articles(spark: SparkSession, d: str) -> DataFrame:
     """Articles that documents refer to."""
-    rows = table(spark, d, "documents").select("doc_id", F.explode(facts.article_refs(F.col("text"))).alias("r"))
+    rows = _texts(spark, d).select("doc_id", F.explode(facts.article_refs(F.col("text"))).alias("r"))
     return rows.groupBy("doc_id", F.col("r.article").alias("article"), F.col("r.paragraph").alias("paragraph")).agg(F.count("*").alias("n"))
 
 
@@ -532,7 +540,7 @@ def fact_articles(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT doc_id, 'DATE', count(*), 0.0 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_DAY}')) AS m FROM documents) GROUP BY doc_id""")
 def fact_numeric(spark: SparkSession, d: str) -> DataFrame:
     """Amounts that documents state, by unit."""
-    rows = table(spark, d, "documents").select("doc_id", F.explode(facts.numeric_facts(F.col("text"))).alias("f"))
+    rows = _texts(spark, d).select("doc_id", F.explode(facts.numeric_facts(F.col("text"))).alias("f"))
     return rows.groupBy("doc_id", F.col("f.unit").alias("unit")).agg(F.count("*").alias("n"), F.sum("f.value").alias("total"))
 
 
