@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.session import spread
+
 # The published pre-tokenisation pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT_WORD = 192
@@ -140,7 +142,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
         raise ValueError("vocabulary too large to broadcast")
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
     key_type = rows.schema["key"].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

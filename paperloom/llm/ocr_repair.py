@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import cut
+from paperloom.session import cut, spread
 
 FREQUENT = 8  # occurrences that make a word frequent (or a millionth of all words, if that is more)
 RATIO = 10  # how many times more frequent than the rare word a variant must be
@@ -159,7 +159,7 @@ def scanned_texts(extracts: DataFrame, chunks: DataFrame) -> DataFrame:
     a = extracts.select(F.lit("tb_document_extract").alias("table_name"), F.col("id").cast("long").alias("row_id"), F.lit(1).alias("elem_no"), F.col("raw_markdown").alias("text"))
     b = chunks.where("image_ocr_texts is not null").select(F.col("id").cast("long").alias("row_id"), F.posexplode("image_ocr_texts").alias("p", "text"))
     b = b.select(F.lit("tb_document_chunks").alias("table_name"), "row_id", (F.col("p") + 1).cast("int").alias("elem_no"), "text")
-    return a.unionAll(b).where("text is not null and text <> ''")
+    return spread(a.unionAll(b).where("text is not null and text <> ''"))
 
 
 def count_words(texts: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.session import spread
+
 AROUND = 200  # characters on each side of a bracketed phrase that may hold the halves of a broken value
 KINDS = ("EMAIL", "ID_NUMBER", "PHONE", "ADDRESS", "NAME")
 DEFAULT_KEY = "rotate-me"
@@ -321,7 +323,7 @@ def user_texts(traces: DataFrame, feedback: DataFrame) -> DataFrame:
     words = F.transform(F.coalesce(F.col("request.include_keywords"), F.array().cast("array<string>")), lambda k: part("request.include_keywords", k))
     asked = traces.select(F.lit("trace_record").alias("table_name"), F.col("trace_id").alias("row_key"), F.explode(F.concat(query, words)).alias("p")).select("table_name", "row_key", "p.field_name", "p.text")
     said = feedback.select(F.lit("tb_query_feedback").alias("table_name"), F.col("id").cast("string").alias("row_key"), F.lit("free_text").alias("field_name"), F.col("free_text").alias("text"))
-    return asked.unionAll(said).where("text is not null and text <> ''")
+    return spread(asked.unionAll(said).where("text is not null and text <> ''"))
 
 
 def find_personal_data(traces: DataFrame, feedback: DataFrame) -> DataFrame:

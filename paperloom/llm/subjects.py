@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.session import cut
+from paperloom.session import cut, spread
 
 LABELLED_DOCUMENTS = 20_000
 SHARE = 12  # a subject counts when more than one in so many sentences are about it
@@ -111,7 +111,7 @@ def sentence_words(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(stems, pa.list_(pa.string()))], names=["doc_id", "sentence_no", "words"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and text <> ''")
-    return rows.mapInArrow(run, "doc_id long, sentence_no int, words array<string>")
+    return spread(rows).mapInArrow(run, "doc_id long, sentence_no int, words array<string>")
 
 
 def labelled_sentences(documents: DataFrame, labels: DataFrame, most: int = LABELLED_DOCUMENTS) -> DataFrame:
@@ -250,7 +250,7 @@ def _score(documents: DataFrame, rules: list, cuts: tuple[float, ...]) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(codes, pa.string())], names=["doc_id", "cut_no", "subject_code"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and text <> ''")
-    return rows.mapInArrow(run, "doc_id long, cut_no int, subject_code string")
+    return spread(rows).mapInArrow(run, "doc_id long, cut_no int, subject_code string")
 
 
 def calibrate(documents: DataFrame, labels: DataFrame, rules: list, most: int = LABELLED_DOCUMENTS) -> float:
