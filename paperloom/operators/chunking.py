@@ -5,6 +5,8 @@ Both are folds over arrays in column expressions; no text leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,6 +55,11 @@ def fixed_chunks(df: DataFrame, key: str, text: str, window: int = WINDOW, overl
     return rows.select(key, F.row_number().over(order).alias("part_index"), "start", "content")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _pack(pieces: Column, most: int, glue: str) -> Column:
     """Pieces put together in order as long as they fit ``most`` characters; a longer piece stands alone."""
     none = F.array().cast("array<string>")
@@ -79,31 +86,37 @@ def text_parts(text: Column, most: int = TEXT_MAX, least: int = TEXT_MIN) -> Col
     paragraphs = _solid(F.split(text, r"(?U)\n\s*\n"))
     sentences = lambda p: _pack(_solid(F.split(p, r"(?U)(?<=\.)\s+")), most, " ")
     pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) > most, sentences(p)).otherwise(F.array(p))))
-    packed = _pack(pieces, most, "\n\n")
-    n = F.size(packed)
-    tail = F.concat(F.slice(packed, 1, F.greatest(n - 2, F.lit(0))), F.array(F.concat_ws("\n\n", F.get(packed, n - 2), F.get(packed, n - 1))))
-    joined = F.when((n > 1) & (F.length(F.get(packed, n - 1)) < least), tail).otherwise(packed)
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(joined)
+
+    def with_tail(packed: Column) -> Column:
+        n = F.size(packed)
+        tail = F.concat(F.slice(packed, 1, F.greatest(n - 2, F.lit(0))), F.array(F.concat_ws("\n\n", F.get(packed, n - 2), F.get(packed, n - 1))))
+        return F.when((n > 1) & (F.length(F.get(packed, n - 1)) < least), tail).otherwise(packed)
+
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(_once(_pack(pieces, most, "\n\n"), with_tail))
 
 
 def table_parts(table: Column, most: int = TABLE_MAX) -> Column:
     """Parts of a markdown table: whole if it fits; else rows up to ``most`` characters, the head repeated in each."""
-    rows = F.split(table, "\n")
-    ruled = strip(F.get(rows, F.lit(1))).rlike(r"^\|[\s\-:|]+\|$")
-    heads = F.when(ruled, 2).otherwise(1)
-    head = F.array_join(F.slice(rows, 1, heads), "\n")
-    data = F.slice(rows, heads + 1, F.greatest(F.size(rows) - heads, F.lit(0)))
     none = F.array().cast("array<string>")
-    state = F.struct(none.alias("done"), F.lit("").alias("now"))
 
-    def step(acc: Column, row: Column) -> Column:
-        fits = (acc["now"] == "") | (F.length(head) + 1 + F.length(acc["now"]) + 1 + F.length(row) + 1 <= most)
-        more = F.struct(acc["done"].alias("done"), F.when(acc["now"] == "", row).otherwise(F.concat(acc["now"], F.lit("\n"), row)).alias("now"))
-        closed = F.struct(F.concat(acc["done"], F.array(F.concat(head, F.lit("\n"), acc["now"]))).alias("done"), row.alias("now"))
-        return F.when(fits, more).otherwise(closed)
+    def by_row(rows: Column) -> Column:
+        ruled = strip(F.get(rows, F.lit(1))).rlike(r"^\|[\s\-:|]+\|$")
+        heads = F.when(ruled, 2).otherwise(1)
+        data = F.slice(rows, heads + 1, F.greatest(F.size(rows) - heads, F.lit(0)))
+        split = _once(F.array_join(F.slice(rows, 1, heads), "\n"), lambda head: under(head, data))
+        return F.when((F.size(rows) <= 2) | (F.size(data) == 0), F.array(table)).otherwise(split)
+
+    def under(head: Column, data: Column) -> Column:
+        part = lambda now: F.array(F.concat(head, F.lit("\n"), now))
+
+        def step(acc: Column, row: Column) -> Column:
+            fits = (acc["now"] == "") | (F.length(head) + 1 + F.length(acc["now"]) + 1 + F.length(row) + 1 <= most)
+            more = F.struct(acc["done"].alias("done"), F.when(acc["now"] == "", row).otherwise(F.concat(acc["now"], F.lit("\n"), row)).alias("now"))
+            return F.when(fits, more).otherwise(F.struct(F.concat(acc["done"], part(acc["now"])).alias("done"), row.alias("now")))
+
+        return F.aggregate(data, F.struct(none.alias("done"), F.lit("").alias("now")), step, lambda a: F.concat(a["done"], part(a["now"])))
 
-    split = F.aggregate(data, state, step, lambda a: F.concat(a["done"], F.array(F.concat(head, F.lit("\n"), a["now"]))))
-    return F.when((F.size(rows) <= 2) | (F.length(table) <= most) | (F.size(data) == 0), F.array(table)).otherwise(split)
+    return F.when(F.length(table) <= most, F.array(table)).otherwise(_once(F.split(table, "\n"), by_row))
 
 
 def adaptive_chunks(df: DataFrame, key: str, text: str) -> DataFrame:

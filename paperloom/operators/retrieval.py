@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 QUERY_BLOCK = 4096  # queries of one pass
+BROADCAST_TERMS = 100_000  # distinct query terms that may be broadcast; more are joined by shuffle
 RRF_K, K1, B = 60, 1.2, 0.75
 
 
@@ -100,10 +101,13 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(rows: DataFrame, row_id: str, text: str) -> DataFrame:
-    """term, row_id, tf, len: the sparse index of a table."""
+def postings(rows: DataFrame, row_id: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """term, row_id, tf, len: the sparse index of a table, for the wanted terms only where they are given."""
     words = rows.select(F.col(row_id).cast("long").alias("row_id"), terms(F.col(text)).alias("t"))
-    return words.select("row_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "row_id", "len").agg(F.count("*").alias("tf"))
+    each = words.select("row_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted, "term", "left_semi")
+    return each.groupBy("term", "row_id", "len").agg(F.count("*").alias("tf"))
 
 
 def bm25_topk(queries: DataFrame, rows: DataFrame, k: int = 10, row_id: str = "id", text: str = "content", avg_len: float | None = None) -> DataFrame:
@@ -112,10 +116,11 @@ def bm25_topk(queries: DataFrame, rows: DataFrame, k: int = 10, row_id: str = "i
     ``queries`` has query_id and query. Terms that a query repeats count once.
     Length and frequencies are those of all rows; ``avg_len`` overrides the mean.
     """
-    index = postings(rows, row_id, text)
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     wanted = asked.select("term").distinct()
-    hits = index.join(wanted, "term", "left_semi")
+    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    hits = postings(rows, row_id, text, wanted)
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
     sizes = rows.select(F.size(terms(F.col(text))).alias("len")).agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
     mean = F.lit(float(avg_len)) if avg_len else F.greatest(F.coalesce("mean", F.lit(1.0)), F.lit(1e-9))
