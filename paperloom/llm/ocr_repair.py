@@ -11,8 +11,8 @@ belong to running headers are removed with the page numbers, and a hyphen at a
 line's end goes if the corpus knows the joined word or not the hyphenated one.
 
 Word, neighbour and header counts are taken over all texts by Spark. A task gets
-only lists that are bounded by a share of the whole (frequent words make a
-millionth of all words each, header words a ten-thousandth of all headers).
+only lists that are bounded by a share of the whole (``FREQUENT_SHARE`` of all
+words each, and a ten-thousandth of all words in headers).
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from paperloom.session import cut, spread
 
-FREQUENT = 8  # occurrences that make a word frequent (or a millionth of all words, if that is more)
+FREQUENT = 8  # occurrences that make a word frequent,
+FREQUENT_SHARE = 5e-6  # and its share of all words
 RATIO = 10  # how many times more frequent than the rare word a variant must be
 CONTEXT = 3  # how often the variant must stand beside a neighbour of the rare word
 SURE_LETTERS = 7  # letters of a word that needs no neighbour, if the variant is far more frequent
@@ -46,12 +47,13 @@ PARTICLES = frozenset("은는이가을를의에와과로도만")
 HYPHENS = "-‐‑­¬"
 PAGE = re.compile(
     r"^\s*(?:[-–—−·•~*]\s*\d{1,5}\s*[-–—−·•~*]|[\[〔(<{【]\s*\d{1,5}\s*[\]〕)>}】]|\d{1,5}\s*(?:쪽|페이지|면)|제\s*\d{1,5}\s*(?:면|쪽|페이지)"
-    r"|(?:pp?\.?|page)\s*\d{1,5}(?:\s*(?:of|/)\s*\d{1,5})?|\d{1,5}(?:\s*(?:/|of)\s*\d{1,5})?|[ivxlc]{1,8})\s*$",
+    r"|(?:pp?\.?|page)\s*\d{1,5}(?:\s*(?:of|/)\s*\d{1,5})?|\d{1,5}(?:\s*(?:/|of)\s*\d{1,5})?|(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\s*$",
     re.I,
 )
 _MARK = re.compile(r"^\s*<!--.*-->\s*$")
 _BROKEN = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*$")
 _TOKEN = re.compile(r"[^\s.,!?:;\"'“”‘’()\[\]{}〔〕|<>*#·…]+")
+_CAPITAL = re.compile(r"\b[A-Z][^\s.,!?:;\"'“”‘’()\[\]{}〔〕|<>*#·…]+")
 _START = re.compile(r"^\s*([^\W\d_][^\s.,!?:;\"'()\[\]]*)")
 _DIGIT = re.compile(r"\d")
 _LATIN = re.compile(r"[a-z]")
@@ -80,10 +82,23 @@ def line_kinds(lines: list[str]) -> list[str]:
     return out
 
 
+class _Forms(dict):
+    """Forms of tokens seen by this process; emptied when full."""
+
+    def __missing__(self, token: str) -> str:
+        w = token.lower()
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = form = _DIGIT.sub("9", w) if not _LATIN.search(w) else w
+        return form
+
+
+_FORMS = _Forms()
+
+
 def word_form(token: str) -> str:
     """Form in which a word is counted: lower case, digits of numbers alike."""
-    w = token.lower()
-    return _DIGIT.sub("9", w) if not _LATIN.search(w) else w
+    return _FORMS[token]
 
 
 def misread_number(form: str, known: set[str]) -> bool:
@@ -130,6 +145,12 @@ def repeated_headers(lines: list[str], kinds: list[str]) -> set[int]:
     return {i for key, at in seen.items() if len(key) >= 4 and len(at) >= 2 and sum(edge[i] for i in at) * 2 > len(at) for i in at}
 
 
+def ends_broken(line: str) -> re.Match | None:
+    """The match of a word and a hyphen at the end of a line."""
+    end = line.rstrip()
+    return _BROKEN.search(end[-60:]) if end and end[-1] in HYPHENS else None
+
+
 def flow(lines: list[str], kinds: list[str]) -> list[tuple[str, int, int]]:
     """Running words (form, first line, last line) in order; a broken word is one word on two lines."""
     out: list[tuple[str, int, int]] = []
@@ -147,10 +168,10 @@ def flow(lines: list[str], kinds: list[str]) -> list[tuple[str, int, int]]:
                 broken = None
                 continue
         broken = None
-        if tokens and _BROKEN.search(line):
+        if tokens and ends_broken(line):
             broken = (tokens[-1].rstrip(HYPHENS), i)
             tokens = tokens[:-1]
-        out += [(word_form(t), i, i) for t in tokens]
+        out += [(_FORMS[t], i, i) for t in tokens]
     return out
 
 
@@ -173,7 +194,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 keys, n = list(counter.keys()), list(counter.values())
                 two = kind == "pair"
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(keys)), pa.array([k[0] for k in keys] if two else keys, pa.string()), pa.array([k[1] if two else "" for k in keys], pa.string()), pa.array(n, pa.int64())],
+                    [pa.array([kind] * len(keys), pa.string()), pa.array([k[0] for k in keys] if two else keys, pa.string()), pa.array([k[1] if two else "" for k in keys], pa.string()), pa.array(n, pa.int64())],
                     names=["kind", "a", "b", "n"],
                 )
                 counter.clear()
@@ -191,9 +212,8 @@ def count_words(texts: DataFrame) -> DataFrame:
                 words = [w for w, _, _ in flow(lines, kinds)]
                 held["word"].update(words)
                 held["pair"].update(zip(words, words[1:]))
-                for i, k in enumerate(kinds):  # occurrences of a word with its letter case, to tell titles from running words
-                    if k == "text":
-                        held["header"].update("\0" + t for t in _TOKEN.findall(lines[i]) if t[0].isupper() or not t.isascii())
+                # running words in capitals, to tell titles from them; other words are counted as they are
+                held["header"].update("\0" + t for i, k in enumerate(kinds) if k == "text" for t in _CAPITAL.findall(lines[i]))
             if sum(map(len, held.values())) > 1_500_000:
                 yield from send()
         yield from send()
@@ -205,6 +225,8 @@ def count_words(texts: DataFrame) -> DataFrame:
 def header_words(counts: DataFrame) -> list[str]:
     """Words that lie in running headers of several texts and seldom in running lines."""
     heads = counts.where("kind = 'header'").select(F.regexp_replace("a", "^\\x00", "").alias("word"), F.col("a").startswith("\0").alias("running"), "n")
+    plain = counts.where("kind = 'word'").select(F.col("a").alias("word"), F.lit(True).alias("running"), "n").where(~F.col("word").rlike("[a-z]"))
+    heads = heads.unionAll(plain.join(heads.where("not running").select("word").distinct(), "word", "left_semi"))
     sums = heads.groupBy("word").agg(F.sum(F.when(~F.col("running"), F.col("n"))).alias("headers"), F.sum(F.when(F.col("running"), F.col("n"))).alias("lines"))
     total = sums.agg(F.sum("headers").alias("n")).first()["n"] or 0
     least = max(HEADER_TEXTS, total // 10_000)
@@ -304,11 +326,29 @@ def variants(counts: DataFrame) -> DataFrame:
     return met.select("word", "variant", "n", "m").distinct().mapInArrow(check, schema)
 
 
-def frequent_words(counts: DataFrame) -> list[str]:
-    """Words that make a millionth of all words and occur ``FREQUENT`` times: at most a million."""
-    words = counts.where("kind = 'word'")
-    total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
-    return [r["a"] for r in words.where(F.col("n") >= max(FREQUENT, total / 1e6)).select("a").collect()]
+def misreadings(counts: DataFrame) -> DataFrame:
+    """``variants`` with differences that are usual in the corpus, which are no more than the pairs of letters."""
+    near = cut(variants(counts))
+    certain = near.where((F.length("word") >= 3) & ~F.col("particle")).groupBy("difference").agg(F.sum("n").alias("times"))
+    whole = certain.agg(F.sum("times").alias("n")).first()["n"] or 0
+    usual = certain.where(F.col("times") >= max(2, USUAL * whole)).select("difference")
+    return near.join(F.broadcast(usual), "difference", "left_semi")
+
+
+def often_from(counts: DataFrame) -> float:
+    """Occurrences from which a word is frequent."""
+    total = counts.where("kind = 'word'").agg(F.sum("n").alias("n")).first()["n"] or 0
+    return max(FREQUENT, FREQUENT_SHARE * total)
+
+
+def known_words(counts: DataFrame, near: DataFrame) -> list[str]:
+    """Words that need no look at their neighbours: frequent, and no misreading of a more frequent word.
+
+    Each makes ``FREQUENT_SHARE`` of all words, so they are at most 200,000.
+    """
+    often = counts.where("kind = 'word'").where(F.col("n") >= often_from(counts)).select(F.col("a").alias("word"))
+    doubtful = near.where(~F.col("particle")).select("word").distinct()
+    return [r["word"] for r in often.join(doubtful, "word", "left_anti").collect()]
 
 
 class Pages:
@@ -318,6 +358,7 @@ class Pages:
         self.titles = set(header_word_list)
         self.near = {k for w in header_word_list if len(letters(w)) >= 5 for k in self._near(w)}
         self.frequent = frequent
+        self.judged: dict[str, bool] = {}
 
     @staticmethod
     def _near(word: str) -> set[str]:
@@ -326,6 +367,14 @@ class Pages:
 
     def is_title(self, token: str) -> bool:
         """Whether a word marks headers, also with a misread letter."""
+        known = self.judged.get(token)
+        if known is None:
+            if len(self.judged) > 300_000:
+                self.judged.clear()
+            known = self.judged[token] = self._is_title(token)
+        return known
+
+    def _is_title(self, token: str) -> bool:
         t = token.lower() if _HANGUL.search(token) else token
         if t in self.titles:
             return True
@@ -352,7 +401,8 @@ class Pages:
         for i, j in zip(text, text[1:]):
             if kinds[i] != "text" or kinds[j] != "text":
                 continue
-            end, start = _BROKEN.search(lines[i]), _START.match(lines[j])
+            end = ends_broken(lines[i])
+            start = _START.match(lines[j]) if end else None
             if not end or not start or start[1][0].isupper() and not end[1].isupper():
                 continue
             left = _TOKEN.findall(lines[i])[-1].rstrip(HYPHENS)
@@ -365,9 +415,10 @@ class Pages:
         return out
 
 
-def _prepared(texts: DataFrame) -> tuple[list[str], list[str], DataFrame]:
+def _prepared(texts: DataFrame) -> tuple[list[str], list[str], DataFrame, DataFrame]:
     counts = cut(count_words(texts))
-    return header_words(counts), frequent_words(counts), counts
+    near = cut(misreadings(counts))
+    return header_words(counts), known_words(counts, near), counts, near
 
 
 def line_findings(texts: DataFrame, titles: list[str], frequent: list[str]) -> DataFrame:
@@ -407,21 +458,17 @@ def line_findings(texts: DataFrame, titles: list[str], frequent: list[str]) -> D
     return texts.mapInArrow(run, "table_name string, row_id long, elem_no int, line_no int, kind string, word string, before string, after string")
 
 
-def corrections(found: DataFrame, counts: DataFrame) -> DataFrame:
+def corrections(found: DataFrame, counts: DataFrame, near: DataFrame) -> DataFrame:
     """The best variant of each infrequent word where it stands: table_name, row_id, elem_no, line_no, word, variant.
 
     Variants are ranked by how often they stand beside the word's neighbours;
     one that stands there no more than the word itself is no correction, nor is
-    one whose difference is not among the usual ones of the corpus. A long word
+    a word that is not in ``near``. A long, rare word
     of a much more frequent variant needs no neighbour, unless it differs by its
     particle only.
     """
     words = found.where("word is not null")
-    near = cut(variants(counts))
-    certain = near.where((F.length("word") >= 3) & ~F.col("particle")).groupBy("difference").agg(F.sum("n").alias("times"))
-    whole = certain.agg(F.sum("times").alias("n")).first()["n"] or 0
-    usual = certain.where(F.col("times") >= max(2, USUAL * whole)).select("difference")  # at most the pairs of letters
-    possible = words.join(near.join(F.broadcast(usual), "difference", "left_semi"), "word")
+    possible = words.join(near, "word")
     pairs = counts.where("kind = 'pair'").select("a", "b", "n")
     left = pairs.select(F.col("a").alias("before"), F.col("b").alias("variant"), F.col("n").alias("n_left"))
     right = pairs.select(F.col("a").alias("variant"), F.col("b").alias("after"), F.col("n").alias("n_right"))
@@ -432,8 +479,8 @@ def corrections(found: DataFrame, counts: DataFrame) -> DataFrame:
         .join(own_left, ["before", "word"], "left").join(own_right, ["word", "after"], "left")
         .withColumn("beside", F.coalesce("n_left", F.lit(0)) + F.coalesce("n_right", F.lit(0)))
         .withColumn("own", F.coalesce("own_left", F.lit(0)) + F.coalesce("own_right", F.lit(0)))
-        .withColumn("long", (F.col("size") >= SURE_LETTERS) & (F.col("m") >= SURE_RATIO * F.col("n")) & ~F.col("particle"))
-        .where(((F.col("beside") >= CONTEXT) & (F.col("beside") >= 3 * F.col("own"))) | F.col("long"))
+        .withColumn("long", (F.col("size") >= SURE_LETTERS) & (F.col("n") < often_from(counts)) & (F.col("m") >= SURE_RATIO * F.col("n")) & ~F.col("particle"))
+        .where(((F.col("beside") >= CONTEXT) & (F.col("beside") >= 2 * F.col("own"))) | F.col("long"))
     )
     best = scored.groupBy("table_name", "row_id", "elem_no", "line_no", "kind", "word", "before", "after").agg(F.max_by("variant", F.struct("beside", "m", "variant")).alias("variant"))
 
@@ -462,10 +509,10 @@ def find_noise(extracts: DataFrame, chunks: DataFrame) -> DataFrame:
     Null and empty texts and elements have none.
     """
     texts = scanned_texts(extracts, chunks)
-    titles, frequent, counts = _prepared(texts)
+    titles, frequent, counts, near = _prepared(texts)
     found = cut(line_findings(texts, titles, frequent))
     layout = found.where("word is null").select("table_name", "row_id", "elem_no", "line_no", "kind")
-    misread = corrections(found, counts).select("table_name", "row_id", "elem_no", "line_no", F.lit("misread").alias("kind"))
+    misread = corrections(found, counts, near).select("table_name", "row_id", "elem_no", "line_no", F.lit("misread").alias("kind"))
     return layout.unionAll(misread).distinct()
 
 
@@ -536,9 +583,9 @@ def _replace_word(line: str, word: str, variant: str) -> str:
 def repair(extracts: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every text repaired: table_name, row_id, elem_no, text. Clean texts come out with their paragraphs joined."""
     texts = scanned_texts(extracts, chunks)
-    titles, frequent, counts = _prepared(texts)
+    titles, frequent, counts, near = _prepared(texts)
     found = line_findings(texts, titles, frequent).where("word is not null")
-    fixes = corrections(found, counts).groupBy("table_name", "row_id", "elem_no").agg(F.collect_list(F.struct("line_no", "word", "variant")).alias("fixes"))
+    fixes = corrections(found, counts, near).groupBy("table_name", "row_id", "elem_no").agg(F.collect_list(F.struct("line_no", "word", "variant")).alias("fixes"))
     shared = texts.sparkSession.sparkContext.broadcast((titles, set(frequent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,7 @@ def pack(df: DataFrame, key: str, tokens: Column, capacity: int = CAPACITY, bloc
             context[~last] = taken + np.arange(int((~last).sum()))
             names = [f"{task}-{block_no}-{c}" for c in context.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [block.column("key").combine_chunks().take(pa.array(at)), pa.array((part + 1).astype(np.int32)), pa.array(np.where(last, rest[at], capacity).astype(np.int64)), pa.array(names)],
+                [block.column("key").combine_chunks().take(pa.array(at)), pa.array((part + 1).astype(np.int32)), pa.array(np.where(last, rest[at], capacity).astype(np.int64)), pa.array(names, pa.string())],
                 names=["key", "part_no", "part_tokens", "context_id"],
             )
 
