@@ -42,7 +42,7 @@ PARTICLES = "으로부터 에서는 에게서 으로서 이라는 에는 에서
 _PARTICLE = re.compile("^([가-힣]{2,}?)(?:" + "|".join(sorted(PARTICLES, key=len, reverse=True)) + ")$")
 _WORD = re.compile(r"[가-힣]{2,}|[a-z]{2,}(?:-[a-z]+)*")
 _END = re.compile(r"(?<=[.?!])[\"')\]]*\s+")
-_ITEM = re.compile(r"^(?:[-*•·]|\d{1,3}[.)]|\(?[가-하][.)]|[QA][.:]|[문답][.:])\s+")
+_ITEM = re.compile(r"^(?:[-*•·]|\d{1,3}[.)]|\(?[가-하][.)]|[QAqa][.:]|[문답][.:])\s+")
 _MARK = re.compile(r"<!--.{0,80}?-->")
 _LETTERS = re.compile(r"[가-힣]{2}|[A-Za-z]{2}")
 
@@ -179,6 +179,21 @@ def mine_rules(rows: DataFrame) -> DataFrame:
     )
 
 
+class _Telling(dict):
+    """Word as written to its stem if a rule has it, else to nothing; emptied when full."""
+
+    def __init__(self, stems: set[str]):
+        super().__init__()
+        self.stems = stems
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        stem = _stem(word)
+        self[word] = stem = stem if stem in self.stems else ""
+        return stem
+
+
 class Scorer:
     """Rules as lookups: word, or pair of words, to (subject, confidence)."""
 
@@ -190,10 +205,13 @@ class Scorer:
                 self.one.setdefault(body[0], []).append((subject, confidence))
             else:
                 self.two.setdefault(body[0], {}).setdefault(body[1], []).append((subject, confidence))
+        self.telling = _Telling({w for body, _, _ in rules for w in body})
 
-    def evidence(self, stems: set[str]) -> dict[str, float]:
+    def evidence(self, sentence: str) -> dict[str, float]:
         """Confidence of the surest matching rule per subject."""
         best: dict[str, float] = {}
+        telling = self.telling
+        stems = {s for w in _WORD.findall(sentence) if (s := telling[w])}
         for w in stems:
             for s, c in self.one.get(w, ()):
                 if c > best.get(s, 0):
@@ -230,7 +248,7 @@ class Scorer:
 
     def subjects(self, text: str, cuts: tuple[float, ...]) -> list[list[str]]:
         """Subjects of a text at each cut."""
-        found = [self.evidence(words(s)) for s in sentences(text)]
+        found = [self.evidence(s) for s in sentences(text.lower())]
         return [sorted(s for s, k in self.about(found, c).items() if k * SHARE > len(found)) for c in cuts]
 
 
