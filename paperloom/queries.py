@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions import facts, guards, layout, routing
-from paperloom.operators import chunking, context, health, lines, orphans, retrieval, traces, verify
+from paperloom.functions import facts, guards, layout, requests, routing
+from paperloom.operators import chunking, context, health, lines, merge, orphans, retrieval, traces, verify
+from paperloom.plans import answer, ingest
 from paperloom.session import spread, table, work_folder
 from paperloom.streaming import windows
 
@@ -603,6 +604,62 @@ def failure_class(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("answer_id", "risk_level", "failure_type", verify.hint(F.col("failure_type"), F.col("missing_references"), F.col("wrong_numbers"), F.col("context")).alias("hint"))
 
 
+# --- requests, merging, whole plans ---------------------------------------------------------------------------------
+
+
+@query("""SELECT dt, line_no, CASE WHEN length(coalesce(request.query, '')) NOT BETWEEN 1 AND 2000 THEN 'query' WHEN request.top_k NOT BETWEEN 1 AND CASE WHEN endpoint = 'answer' THEN 20 ELSE 100 END THEN 'top_k'
+  WHEN request.start_page NOT BETWEEN 1 AND 99999 OR request.end_page NOT BETWEEN 1 AND 99999 THEN 'pages' WHEN len(request.include_keywords) > 20 OR len(request.exclude_keywords) > 20 THEN 'keywords' ELSE 'ok' END AS fault FROM trace_record""")
+def request_validation(spark: SparkSession, d: str) -> DataFrame:
+    """The limit that each request breaks."""
+    return table(spark, d, "trace_record").select("dt", "line_no", requests.request_fault(F.col("request"), F.col("endpoint")).alias("fault"))
+
+
+@query(r"""WITH o AS (SELECT id, heading, unnest(image_ocr_texts) AS t, unnest(range(len(image_ocr_texts)))::int AS pos FROM tb_document_chunks),
+  s AS (SELECT id, pos, regexp_replace(coalesce(heading, ''), '\s', '', 'g') AS a, regexp_replace(coalesce(t, ''), '\s', '', 'g') AS b FROM o),
+  g AS (SELECT id, pos, CASE WHEN length(a) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) END AS a, CASE WHEN length(b) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) END AS b FROM s)
+  SELECT id, pos, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double END, 6) AS likeness FROM g""")
+def jaccard_heading(spark: SparkSession, d: str) -> DataFrame:
+    """Likeness of recognised texts to their chunk's heading."""
+    texts = table(spark, d, "tb_document_chunks").select("id", "heading", F.posexplode("image_ocr_texts").alias("pos", "t"))
+    return texts.select("id", "pos", F.round(requests.bigram_jaccard(F.col("heading"), F.col("t")), 6).alias("likeness"))
+
+
+@query("""WITH b AS (SELECT service_code, document_id, id, seq, nullif(heading_path, '') AS h, start_page AS p FROM tb_document_chunks WHERE chunk_type <> 'image'),
+  i AS (SELECT service_code, document_id, id, seq, nullif(heading_path, '') AS h, start_page AS p FROM tb_document_chunks WHERE chunk_type = 'image'),
+  a AS (SELECT i.*, (SELECT max(seq) FROM b WHERE b.service_code = i.service_code AND b.document_id = i.document_id AND b.h = i.h) AS same, (SELECT min(seq) FROM b WHERE b.service_code = i.service_code AND b.document_id = i.document_id AND i.h IS NULL AND b.p > i.p) AS later FROM i),
+  u AS (SELECT service_code, document_id, id, seq, seq AS anchor, 0 AS side FROM b UNION ALL SELECT service_code, document_id, id, seq, coalesce(same, later, 2147483647), CASE WHEN same IS NOT NULL OR later IS NULL THEN 1 ELSE -1 END FROM a)
+  SELECT service_code, document_id, id, row_number() OVER (PARTITION BY service_code, document_id ORDER BY anchor, side, seq, id)::int AS seq FROM u""")
+def ocr_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Image chunks put in their places among the other chunks."""
+    c = table(spark, d, "tb_document_chunks")
+    return merge.merge_images(c.where("chunk_type <> 'image'"), c.where("chunk_type = 'image'"), ["service_code", "document_id"])
+
+
+@query()
+def comparison_union(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides of comparisons (requests whose line number is divisible by 50) searched apart, united and reranked."""
+    rows = table(spark, d, "trace_record").where("line_no % 50 = 0 and request.query is not null")
+    asked = rows.select((F.datediff(F.to_date("dt"), F.lit("1970-01-01").cast("date")).cast("long") * 1_000_000 + F.col("line_no")).alias("query_id"), F.col("request.query").alias("query"))
+    return answer.compare(asked.where(routing.decompose(F.col("query")).isNotNull()).dropDuplicates(["query_id"]), table(spark, d, "tb_document_contents"), 10)
+
+
+@query()
+def serving_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Serving rows of all extracted texts."""
+    return ingest.serving_rows(_extracts(spark, d))
+
+
+@query()
+def answer_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Requests (line number divisible by 50) guarded, routed, searched, given a context, answered by its first section and checked."""
+    rows = table(spark, d, "trace_record").where("line_no % 50 = 0 and request.query <> ''")
+    day = F.datediff(F.to_date("dt"), F.lit("1970-01-01").cast("date")).cast("long")
+    ready = answer.prepare(rows.select((day * 1_000_000 + F.col("line_no")).alias("query_id"), "request").dropDuplicates(["query_id"]))
+    chunks = table(spark, d, "tb_document_chunks")
+    given = answer.contexts(answer.retrieve(ready, chunks, k=3), chunks, 600)
+    return answer.answer(ready, given, lambda q, c: F.concat_ws("\n", q, F.substring_index(c, context.GLUE, 1)))
+
+
 # --- streams ------------------------------------------------------------------------------------------------------
 
 

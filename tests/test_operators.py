@@ -200,3 +200,40 @@ def test_renumber(spark):
     df = spark.createDataFrame([(1, "d", "P", 1), (2, "d", "P", 2), (3, "d", None, 3), (4, "d", None, 4)], "id int, document_id string, heading_path string, seq int")
     got = {r["id"]: (r["part_index"], r["part_total"]) for r in chunking.renumber_parts(df, ["document_id"], ["seq"]).collect()}
     assert got == {1: (1, 2), 2: (2, 2), 3: (1, 1), 4: (1, 1)}
+
+
+def test_images_find_their_places(spark):
+    from paperloom.operators import merge
+
+    schema = "service_code string, document_id string, id int, seq int, heading_path string, start_page int"
+    base = spark.createDataFrame([("A", "d", 1, 1, "P", 1), ("A", "d", 2, 2, "P", 2), ("A", "d", 3, 3, "Q", 3), ("A", "d", 4, 4, None, None)], schema)
+    images = spark.createDataFrame([("A", "d", 11, 1, "P", 9), ("A", "d", 12, 2, "", 2), ("A", "d", 13, 3, "nowhere", 1), ("A", "d", 14, 4, None, 7), ("A", "d", 15, 5, "P", 1), ("A", "d", 16, 6, None, None)], schema)
+    got = [r["id"] for r in merge.merge_images(base, images, ["service_code", "document_id"]).orderBy("seq").collect()]
+    assert got == [1, 2, 11, 15, 12, 3, 4, 13, 14, 16]
+    assert merge.merge_images(base, images.limit(0), ["service_code", "document_id"]).count() == 4
+
+
+def test_requests_and_tables(spark):
+    from paperloom.functions import requests
+
+    df = spark.createDataFrame([("<table><tr><th>a</th><th>b</th></tr><tr><td>1 <b>x</b></td></tr></table>",), ("<p>no</p>",), (None,)], "h string")
+    got = [r[0] for r in df.select(requests.html_table(F.col("h"))).collect()]
+    assert got == ["| a | b |\n| --- | --- |\n| 1 x |  |", "<p>no</p>", None]
+    j = spark.createDataFrame([("가나 다", "가나다라"), ("", "x"), (None, None)], "a string, b string").select(requests.bigram_jaccard(F.col("a"), F.col("b")).alias("j"))
+    assert [round(r["j"], 4) for r in j.collect()] == [0.6667, 0.0, 0.0]
+    s = spark.createDataFrame([(0.9,), (0.7,), (0.4,), (0.399,)], "s double").select(requests.score_signal(F.col("s")).alias("s"))
+    assert [r["s"] for r in s.collect()] == ["up", "up", "reformulated", "down"]
+
+
+def test_answer_plan(spark):
+    from paperloom.plans import answer
+
+    chunks = spark.createDataFrame([(1, "A", "d", "P", 1, 1, "제1조 보험료 는 100만원이다"), (2, "A", "d", "Q", 1, 1, "제2조 기간은 30일이다")], "id long, service_code string, document_id string, heading_path string, part_index int, part_total int, content string")
+    requests = spark.createDataFrame([(5, ("보험료 010-1234-5678", ["a@b.com"], None))], "query_id long, request struct<query:string,include_keywords:array<string>,exclude_keywords:array<string>>")
+    ready = answer.prepare(requests)
+    row = ready.first()
+    assert row["query"] == "보험료 [PHONE_MASKED]" and row["pii_kinds"] == ["EMAIL", "PHONE"] and row["route"]["query_type"] == "simple_fact"
+    given = answer.contexts(answer.retrieve(ready, chunks, k=1), chunks, 500)
+    good = answer.answer(ready, given, lambda q, c: c).first()
+    bad = answer.answer(ready, given, lambda q, c: F.lit("제2조에 따라 120만원")).first()
+    assert good["risk_level"] == "pass" and bad["risk_level"] == "hard_fail" and bad["failure_type"] == "generation_error" and "제1조" in bad["hint"]
