@@ -455,7 +455,14 @@ def heading_positions(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("level is not null").select("id", "pos", F.col("heading_path").cast("array<int>").alias("path"))
 
 
-@query()
+_T = ", ".join(f"arg_max(title, pos) FILTER (level = {k}) OVER w AS t{k}" for k in range(1, 7))
+_TITLES = ", ".join(f"CASE WHEN p{k} > greatest({', '.join([f'coalesce(p{j}, -1)' for j in range(1, k)] + ['-1'])}) THEN t{k} END" for k in range(1, 7))
+
+
+@query(r"WITH " + _LINES + rf""", a AS (SELECT *, nullif(length(regexp_extract(trim(line), '^(#{{1,6}})\s+(.+)$', 1)), 0) AS level, nullif(trim(regexp_extract(trim(line), '^(#{{1,6}})\s+(.+)$', 2)), '') AS title,
+    nullif(regexp_extract(line, '^\s*<!--\s*page:(\d+)\s*-->\s*$', 1), '')::int AS mark FROM l),
+  b AS (SELECT *, {_H}, {_T}, last_value(mark IGNORE NULLS) OVER w AS page FROM a WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+  SELECT id, pos, level::int AS level, list_filter([{_TITLES}], lambda x: x IS NOT NULL) AS heading_path, page FROM b""")
 def heading_paths(spark: SparkSession, d: str) -> DataFrame:
     """Heading path and page of every line."""
     return lines.heading_paths(_lines(spark, d), "id").select("id", "pos", "level", "heading_path", "page")
