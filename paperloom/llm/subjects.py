@@ -43,12 +43,13 @@ _PARTICLE = re.compile("^([가-힣]{2,}?)(?:" + "|".join(sorted(PARTICLES, key=l
 _WORD = re.compile(r"[가-힣]{2,}|[a-z]{2,}(?:-[a-z]+)*")
 _END = re.compile(r"(?<=[.?!])[\"')\]]*\s+")
 _ITEM = re.compile(r"^(?:[-*•·]|\d{1,3}[.)]|\(?[가-하][.)]|[QAqa][.:]|[문답][.:])\s+")
+_QUESTION = re.compile(r"^(?:[Qq]|문)[.:)]?\s")
 _MARK = re.compile(r"<!--.{0,80}?-->")
 _LETTERS = re.compile(r"[가-힣]{2}|[A-Za-z]{2}")
 
 
 def sentences(text: str) -> list[str]:
-    """Running sentences of a text: no headings, table rows or page markers; list marks taken off."""
+    """Running sentences of a text: no headings, questions of a question list, table rows or page markers; list marks taken off."""
     if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
     if "<!--" in text:
@@ -66,6 +67,9 @@ def sentences(text: str) -> list[str]:
             if not line or line[0] != "|" or held:
                 flush()
             continue
+        if _QUESTION.match(line):
+            flush()
+            continue
         if _ITEM.match(line):
             flush()
             line = _ITEM.sub("", line)
