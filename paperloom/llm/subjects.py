@@ -115,7 +115,7 @@ def sentence_words(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(stems, pa.list_(pa.string()))], names=["doc_id", "sentence_no", "words"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and text <> ''")
-    return spread(rows).mapInArrow(run, "doc_id long, sentence_no int, words array<string>")
+    return rows.mapInArrow(run, "doc_id long, sentence_no int, words array<string>")
 
 
 def labelled_sentences(documents: DataFrame, labels: DataFrame, most: int = LABELLED_DOCUMENTS) -> DataFrame:
@@ -125,7 +125,7 @@ def labelled_sentences(documents: DataFrame, labels: DataFrame, most: int = LABE
     """
     per_doc = labels.where("doc_id is not null and subject_code is not null").groupBy("doc_id").agg(F.collect_set("subject_code").alias("subjects"))
     chosen = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    texts = spread(documents.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id", "left_semi")
     return sentence_words(texts).join(F.broadcast(chosen), "doc_id")
 
 
@@ -272,14 +272,14 @@ def _score(documents: DataFrame, rules: list, cuts: tuple[float, ...]) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(codes, pa.string())], names=["doc_id", "cut_no", "subject_code"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and text <> ''")
-    return spread(rows).mapInArrow(run, "doc_id long, cut_no int, subject_code string")
+    return rows.mapInArrow(run, "doc_id long, cut_no int, subject_code string")
 
 
 def calibrate(documents: DataFrame, labels: DataFrame, rules: list, most: int = LABELLED_DOCUMENTS) -> float:
     """The sureness, out of ``CUTS``, that agrees best (F1) with the labels of the labelled documents."""
     truth = labels.where("doc_id is not null and subject_code is not null").select("doc_id", "subject_code").distinct()
     chosen = truth.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    texts = spread(documents.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id", "left_semi")
     scored = _score(texts, rules, CUTS)
     told = truth.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("right", F.lit(1))
     sums = scored.join(told, ["doc_id", "subject_code"], "left").groupBy("cut_no").agg(F.count("*").alias("n"), F.count("right").alias("right")).collect()
@@ -304,7 +304,7 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -
     """
     rules = fit_rules(documents, labels)
     sure = calibrate(documents, labels, rules)
-    found = _score(documents, rules, (sure,)).select("doc_id", "subject_code").distinct()
+    found = _score(spread(documents.select("doc_id", "text")), rules, (sure,)).select("doc_id", "subject_code").distinct()
     return found.join(F.broadcast(areas.select("subject_code").distinct()), "subject_code", "left_semi").select("doc_id", "subject_code")
 
 
