@@ -10,7 +10,7 @@ corpus, and the best one is the correction. Lines at page edges whose words
 belong to running headers are removed with the page numbers, and a hyphen at a
 line's end goes if the corpus knows the joined word or not the hyphenated one.
 
-Word, neighbour and header counts are taken over all texts by Spark. A task gets
+Word, neighbour and header counts are taken over all distinct texts by Spark. A task gets
 only lists that are bounded by a share of the whole (``FREQUENT_SHARE`` of all
 words each, and a ten-thousandth of all words in headers).
 """
@@ -184,7 +184,10 @@ def scanned_texts(extracts: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """Counts over all texts: kind (word, pair or header), a, b, n. A task adds up before it sends."""
+    """Counts over all distinct texts: kind (word, pair or header), a, b, n. A task adds up before it sends.
+
+    A text in many rows counts once: its misread words would be frequent by its copies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {"word": Counter(), "pair": Counter(), "header": Counter()}
@@ -218,7 +221,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 yield from send()
         yield from send()
 
-    parts = texts.select("text").mapInArrow(run, "kind string, a string, b string, n long")
+    parts = texts.select("text").distinct().mapInArrow(run, "kind string, a string, b string, n long")
     return parts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 

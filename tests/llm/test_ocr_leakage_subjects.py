@@ -80,6 +80,23 @@ def test_noise_and_repair(spark):
     assert fixed[0].count("<!-- page:") == 4
 
 
+def test_copied_noisy_text(spark):
+    """A misread word of a text that fills a third of the rows is no frequent word."""
+    rng = random.Random(9)
+    special = "이번 감사보고서를 제출 한다."
+    rows = [(i, scanned(rng, i % 2 == 0).replace("\n", f"\n{special}\n", 1)) for i in range(40)]
+    rows[0] = (0, rows[0][1].replace("감사보고서를", "감사보구서를"))
+    rows += [(1000 + i, rows[0][1]) for i in range(20)]
+    extracts = spark.createDataFrame(rows, "id long, raw_markdown string")
+    chunks = spark.createDataFrame([], "id long, image_ocr_texts array<string>")
+    at = rows[0][1].split("\n").index("이번 감사보구서를 제출 한다.") + 1
+    found = {(r["row_id"], r["line_no"]) for r in ocr_repair.find_noise(extracts, chunks).where("kind = 'misread'").collect()}
+    assert {(i, at) for i in (0, *range(1000, 1020))} <= found
+    assert not {r for r, _ in found if r % 2 and r < 1000}
+    fixed = ocr_repair.repair(extracts, chunks).where("row_id = 0 or row_id >= 1000").collect()
+    assert len(fixed) == 21 and all("감사보고서를" in r["text"] and "감사보구서를" not in r["text"] for r in fixed)
+
+
 def test_empty_scans(spark):
     extracts = spark.createDataFrame([], "id long, raw_markdown string")
     chunks = spark.createDataFrame([], "id long, image_ocr_texts array<string>")
