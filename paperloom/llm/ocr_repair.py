@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +61,8 @@ _LATIN = re.compile(r"[a-z]")
 _HANGUL = re.compile(r"[가-힣]")
 _LIKE_DIGITS = re.compile(r"^([0-9olisbzgq]{1,8})((?:[가-힣%].*)?)$")
 _NUMBERS = re.compile(r"\d+")
+_AS_DIGITS = str.maketrans("oOlLiIsSbBzZgGqQ", "0011115568229690")
+_AS_LETTERS = {"0": "o", "1": "li", "2": "z", "5": "s", "6": "b", "8": "b", "9": "gq"}
 
 
 def line_kinds(lines: list[str]) -> list[str]:
@@ -111,6 +114,17 @@ def misread_number(form: str, known: set[str]) -> bool:
     return any(c.isdigit() for c in m[1]) and (len(m[1]) > 1)
 
 
+def read_number(token: str, known: set[str]) -> str:
+    """The digits that a misread number stands for; the word where it is one that the corpus knows (1oss)."""
+    m = _LIKE_DIGITS.match(token.lower())
+    if not m[2]:
+        for reading in product(*(_AS_LETTERS.get(c, c) for c in m[1])):
+            word = "".join(reading)
+            if word in known:
+                return word.upper() if token.isupper() else word[:1].upper() + word[1:] if token[:1].isupper() else word
+    return token[: m.end(1)].translate(_AS_DIGITS) + token[m.end(1) :]
+
+
 def header_key(line: str) -> str:
     """A line without numbers, separators and blanks, to see it again on other pages."""
     return re.sub(r"[\W\d_]+", "", line.lower())
@@ -462,7 +476,9 @@ def line_findings(texts: DataFrame, titles: list[str], frequent: list[str]) -> D
 
 
 def corrections(found: DataFrame, counts: DataFrame, near: DataFrame) -> DataFrame:
-    """The best variant of each infrequent word where it stands: table_name, row_id, elem_no, line_no, word, variant.
+    """The best variant of each infrequent word where it stands: table_name, row_id, elem_no, line_no, first, word, before, after, variant.
+
+    ``line_no`` is the line of the misread letter and ``first`` the line where the word begins, which differ in a broken word.
 
     Variants are ranked by how often they stand beside the word's neighbours;
     one that stands there no more than the word itself is no correction, nor is
@@ -489,8 +505,9 @@ def corrections(found: DataFrame, counts: DataFrame, near: DataFrame) -> DataFra
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = []
-            for line_no, kind, word, variant in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6))):
+            at, begins = [], []
+            for line_no, kind, word, variant in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 8))):
+                begins.append(abs(line_no))
                 if line_no < 0:  # a broken word: which side has the letter that differs
                     split, last = map(int, kind.split(":"))
                     a, b = letters(word), letters(variant)
@@ -499,10 +516,10 @@ def corrections(found: DataFrame, counts: DataFrame, near: DataFrame) -> DataFra
                         p += 1
                     line_no = -line_no if p < split else last
                 at.append(line_no)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(at, pa.int32()), batch.column(5), batch.column(6)], names=["table_name", "row_id", "elem_no", "line_no", "word", "variant"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.int32()), pa.array(begins, pa.int32()), *batch.columns[5:]], names=["table_name", "row_id", "elem_no", "line_no", "first", "word", "before", "after", "variant"])
 
-    ordered = best.select("table_name", "row_id", "elem_no", "line_no", "kind", "word", "variant")
-    return ordered.mapInArrow(place, "table_name string, row_id long, elem_no int, line_no int, word string, variant string")
+    ordered = best.select("table_name", "row_id", "elem_no", "line_no", "kind", "word", "before", "after", "variant")
+    return ordered.mapInArrow(place, "table_name string, row_id long, elem_no int, line_no int, first int, word string, before string, after string, variant string")
 
 
 def find_noise(extracts: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -519,15 +536,61 @@ def find_noise(extracts: DataFrame, chunks: DataFrame) -> DataFrame:
     return layout.unionAll(misread).distinct()
 
 
-def repair_text(text: str, pages: Pages, fixes: dict[int, list[tuple[str, str]]]) -> str:
+def corrected(lines: list[str], kinds: list[str], known: set[str], fixes: list[dict[str, str | int]]) -> list[str]:
+    """The lines with misread numbers read as digits and corrections put in; a broken word is corrected on both its lines.
+
+    Every occurrence gets the correction of its own neighbours, or else the one
+    that the word has elsewhere in the line.
+    """
+    exact = {(f["first"], f["word"], f["before"], f["after"]): f["variant"] for f in fixes}
+    in_line = {(f["first"], f["word"]): f["variant"] for f in sorted(fixes, key=lambda f: f["variant"])}
+    running = flow(lines, kinds)
+    tokens: dict[int, list[re.Match]] = {}
+    taken: dict[int, int] = {}
+    edits: dict[int, list[tuple[int, int, str]]] = {}
+    for k, (w, first, last) in enumerate(running):
+        for i in (first, last):
+            if i not in tokens:
+                tokens[i], taken[i] = list(_TOKEN.finditer(lines[i])), 0
+        at = taken[last]
+        taken[last] += 1
+        if w in known or len(w) < 2:
+            continue
+        if first == last and misread_number(w, known):
+            m = tokens[first][at]
+            edits.setdefault(first, []).append((*m.span(), read_number(m[0], known)))
+            thousands = tokens[first][at - 1] if at else None  # I,9Io
+            if thousands and lines[first][thousands.end() : m.start()] == "," and len(thousands[0]) <= 3 and _LIKE_DIGITS.match(thousands[0].lower()):
+                edits[first].append((*thousands.span(), thousands[0].translate(_AS_DIGITS)))
+            continue
+        before = running[k - 1][0] if k else ""
+        after = running[k + 1][0] if k + 1 < len(running) else ""
+        variant = exact.get((first + 1, w, before, after)) or in_line.get((first + 1, w))
+        if variant is None:
+            continue
+        if first == last:
+            m = tokens[first][at]
+            edits.setdefault(first, []).append((*m.span(), _in_form(m[0], w, variant)))
+            continue
+        m, n = tokens[first][-1], tokens[last][0]
+        left, right = m[0].rstrip(HYPHENS), n[0].lstrip(HYPHENS)
+        new = _in_form(left + right, w, variant)
+        split = len(left) if new.startswith(left) else max(1, len(new) - len(right))
+        edits.setdefault(first, []).append((m.start(), m.start() + len(left), new[:split]))
+        edits.setdefault(last, []).append((n.end() - len(right), n.end(), new[split:]))
+    out = list(lines)
+    for i, changes in edits.items():
+        for start, end, new in sorted(set(changes), reverse=True):
+            out[i] = out[i][:start] + new + out[i][end:]
+    return out
+
+
+def repair_text(text: str, pages: Pages, fixes: list[dict[str, str | int]]) -> str:
     """The text in continuous paragraphs: headers and page numbers gone, broken words joined, corrections put in."""
     lines = text.split("\n")
     kinds = pages.kinds(lines)
     rest = {j: i for i, j in pages.broken(lines, kinds)}
-    for i, pairs in fixes.items():
-        if 0 < i <= len(lines):
-            for word, variant in pairs:
-                lines[i - 1] = _replace_word(lines[i - 1], word, variant)
+    lines = corrected(lines, kinds, pages.frequent, fixes)
     out: list[str] = []
     held: list[str] = []
 
@@ -573,14 +636,11 @@ def _tables_together(blocks: list[str]) -> list[str]:
     return out
 
 
-def _replace_word(line: str, word: str, variant: str) -> str:
-    for m in _TOKEN.finditer(line):
-        if word_form(m[0]) == word:
-            digits = iter(_NUMBERS.findall(m[0])) if not _LATIN.search(word) else None
-            new = _NUMBERS.sub(lambda x: next(digits, x[0]), variant) if digits else variant
-            new = new.upper() if m[0].isupper() and len(m[0]) > 1 else new[:1].upper() + new[1:] if m[0][:1].isupper() else new
-            return line[: m.start()] + new + line[m.end() :]
-    return line
+def _in_form(token: str, word: str, variant: str) -> str:
+    """The variant with the numbers and capitals of the token."""
+    digits = iter(_NUMBERS.findall(token)) if not _LATIN.search(word) else None
+    new = _NUMBERS.sub(lambda x: next(digits, x[0]), variant) if digits else variant
+    return new.upper() if token.isupper() and len(token) > 1 else new[:1].upper() + new[1:] if token[:1].isupper() else new
 
 
 def repair(extracts: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -588,18 +648,13 @@ def repair(extracts: DataFrame, chunks: DataFrame) -> DataFrame:
     texts = scanned_texts(extracts, chunks)
     titles, frequent, counts, near = _prepared(texts)
     found = line_findings(texts, titles, frequent).where("word is not null")
-    fixes = corrections(found, counts, near).groupBy("table_name", "row_id", "elem_no").agg(F.collect_list(F.struct("line_no", "word", "variant")).alias("fixes"))
+    fixes = corrections(found, counts, near).groupBy("table_name", "row_id", "elem_no").agg(F.collect_list(F.struct("first", "word", "before", "after", "variant")).alias("fixes"))
     shared = texts.sparkSession.sparkContext.broadcast((titles, set(frequent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages = Pages(*shared.value)
         for batch in batches:
-            new = []
-            for text, pairs in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                by_line: dict[int, list[tuple[str, str]]] = {}
-                for f in pairs or []:
-                    by_line.setdefault(f["line_no"], []).append((f["word"], f["variant"]))
-                new.append(repair_text(text, pages, by_line))
+            new = [repair_text(text, pages, fixes or []) for text, fixes in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.string())], names=["table_name", "row_id", "elem_no", "text"])
 
     keys = ["table_name", "row_id", "elem_no"]

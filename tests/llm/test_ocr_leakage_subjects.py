@@ -97,6 +97,33 @@ def test_copied_noisy_text(spark):
     assert len(fixed) == 21 and all("감사보고서를" in r["text"] and "감사보구서를" not in r["text"] for r in fixed)
 
 
+@pytest.mark.parametrize(
+    ("noisy", "right"),
+    [
+        (["기한은 2o25년 이며 l3일 안에 통보 한다.", "기한은 2OlB년 이며 SB일 안에 통보 한다."], ["기한은 2025년 이며 13일 안에 통보 한다.", "기한은 2018년 이며 58일 안에 통보 한다."]),
+        (["이번 회의룩-", "를 제출 한다.", "이번 회의-", "룩를 제출 한다."], ["이번 회의록를 제출 한다.", "이번 회의록를 제출 한다."]),
+        (["이번 회의룩를 제출 이번 회의룩를 제출 한다."], ["이번 회의록를 제출 이번 회의록를 제출 한다."]),
+    ],
+    ids=["numbers", "broken", "twice"],
+)
+def test_repair_of_what_is_found(spark, noisy, right):
+    rng = random.Random(10)
+    usual = "이번 회의록를 제출 한다.\n기한은 2024년 이며 15일 안에 통보 한다."
+    rows = [(i, scanned(rng, i % 2 == 0) + "\n" + usual) for i in range(40)]
+    rows[1] = (1, rows[1][1] + "\n" + "\n".join(noisy))
+    extracts = spark.createDataFrame(rows, "id long, raw_markdown string")
+    chunks = spark.createDataFrame([], "id long, image_ocr_texts array<string>")
+    assert ocr_repair.find_noise(extracts, chunks).where("row_id = 1 and kind = 'misread'").count() == sum("룩" in x or "2o" in x or "2O" in x for x in noisy)
+    fixed = ocr_repair.repair(extracts, chunks).where("row_id = 1 and table_name = 'tb_document_extract'").first()["text"]
+    assert fixed.replace("\n\n", " ").endswith(" ".join(right))
+
+
+def test_read_number():
+    known = {"loss", "99일"}
+    assert [ocr_repair.read_number(t, known) for t in ("1oss", "L0SS", "B5일", "2OI9년", "3B")] == ["loss", "LOSS", "85일", "2019년", "38"]
+    assert ocr_repair.corrected(["요금 I,9Io만원 또는 12,5O0만원"], ["text"], {"999만원"}, []) == ["요금 1,910만원 또는 12,500만원"]
+
+
 def test_empty_scans(spark):
     extracts = spark.createDataFrame([], "id long, raw_markdown string")
     chunks = spark.createDataFrame([], "id long, image_ocr_texts array<string>")
