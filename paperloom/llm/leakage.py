@@ -4,10 +4,11 @@ Method: q-gram lemma filtering. A stretch of n characters that went through k
 edits still shares at least n + 1 - (k + 1) q of its q-grams with the original,
 near one diagonal. So a task counts, for every document and item, the q-grams
 that both have in overlapping bands of diagonals, keeps the regions that reach
-the bound that the edit budget leaves for half an item, and verifies each with
-an alignment inside its band. The lemma holds for any subset of the q-grams too
-(each edit destroys at most q of them), so q-grams which many items share, such
-as standing phrases, need not be counted.
+the item's bound, and verifies each with an alignment inside its band. The
+bound is the fewest q-grams that any stretch of half the item's words keeps
+when words are changed or left out as far as the alignment admits it. All
+q-grams are counted, also those that many items share: without them the bound
+of most items is under 1, and so it is for q-grams much longer than these.
 
 Items are few (a fixed evaluation suite). They go to the tasks in blocks whose
 size is checked; a larger suite takes more passes, never a larger broadcast.
@@ -30,14 +31,14 @@ from pyspark.sql import types as T
 
 from paperloom.session import spread
 
-Q = 12  # characters of a counted q-gram
-COMMON = 4  # q-grams at more places of a block of items than this are not counted
+Q = 12  # characters of a q-gram, where no length is given; SEED is that of the counted ones
+WINDOW = 60_000  # characters of the documents whose q-grams are counted at a time
 BAND = 96  # diagonals of a band: room for words left out and a layout line put in
-SEED = 5  # shortest run of equal characters in an alignment
+SEED = 5  # shortest run of equal characters in an alignment, and characters of a counted q-gram
 PART = 0.5  # share of an item's words that makes a case
 SLACK = 0.06  # how much of that share may lie in changed words at the ends of a stretch
 AGREE = 0.82  # share of a stretch's characters that must be equal
-EDITED = 0.3  # edit budget of the filter: share of a stretch's characters whose q-grams may all be lost, in edits of Q characters
+MISSING, PUT_IN = 60, 120  # characters that may be missing or put in between two equal runs
 BLOCK_CHARS = 4_000_000  # characters of the items that one pass takes
 
 # Letters of other scripts that look like Latin letters.
@@ -86,11 +87,32 @@ def gram_codes(text: str, q: int = Q) -> np.ndarray:
     return done ^ (done >> np.uint64(29))
 
 
+def fewest_grams(words: np.ndarray, q: int = SEED) -> int:
+    """Fewest q-grams that a stretch of half an item's words keeps, with as many words changed as ``AGREE`` admits.
+
+    ``words`` has the word number of every character. A word takes all q-grams
+    that touch it; those that lose most for their length are changed first.
+    """
+    total = int(words[-1]) + 1
+    first = np.searchsorted(words, np.arange(total + 1))
+    length, grams = np.diff(first), max(0, len(words) - q + 1)
+    lost = np.clip(first[1:], 0, grams) - np.clip(first[:-1] - q + 1, 0, grams)
+    order = np.argsort(-lost / length, kind="stable")
+    least, fewest = math.ceil((PART - SLACK) * total), len(words)
+    for w in range(least, total + 1, max(1, total // 4)):
+        for a in range(total - w + 1):
+            inside = order[(order >= a) & (order < a + w)]
+            size = int(first[a + w] - first[a])
+            changed = int(np.searchsorted(np.cumsum(length[inside]), (1 - AGREE) * size)) + 1  # one more, for stretches of a few words more
+            fewest = min(fewest, size - q + 1 - int(lost[inside[:changed]].sum()))
+    return fewest
+
+
 class Items:
     """Index of a block of items: q-gram hashes with their places, and what alignment needs."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.texts, self.words, self.need = [], [], [], []
+        self.ids, self.texts, self.words = [], [], []
         hashes, items, places = [], [], []
         for item_id, text in rows:
             s, words = item_text(text or "")
@@ -100,7 +122,7 @@ class Items:
             self.ids.append(item_id)
             self.texts.append(s)
             self.words.append(words)
-            g = gram_codes(s)
+            g = gram_codes(s, SEED)
             hashes.append(g)
             items.append(np.full(len(g), k, dtype=np.int32))
             places.append(np.arange(len(g), dtype=np.int32))
@@ -111,14 +133,9 @@ class Items:
         order = np.argsort(h, kind="stable")
         h, item, place = h[order], item[order], place[order]
         codes, first, n = np.unique(h, return_index=True, return_counts=True)
-        rare = n <= COMMON
-        counted = np.bincount(item[np.repeat(rare, n)], minlength=len(self.ids)) if len(h) else []
-        for k, s in enumerate(self.texts):
-            # fewest counted q-grams over half an item, less those that the edit budget may destroy
-            half = PART * counted[k] - EDITED * PART * len(s)
-            self.need.append(max(3, math.floor(half * 0.6)))
-        self.codes, self.first, self.n, self.item, self.place = codes[rare], first[rare], n[rare], item, place
-        self.need = np.asarray(self.need or [0])
+        self.codes, self.first, self.n, self.item, self.place = codes, first, n, item, place
+        self.need = np.asarray([max(1, fewest_grams(w)) for w in self.words] or [0])
+        self.longest = max(map(len, self.texts), default=0)
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[(self.codes >> np.uint64(42)).astype(np.int64)] = True
 
@@ -135,7 +152,16 @@ class Items:
         """(item, first place, last place, diagonal) of regions of the joined documents that reach the bound."""
         if not len(self.codes):
             return []
-        h = gram_codes(joined)
+        h, out = gram_codes(joined, SEED), []
+        over = self.longest + 2 * BAND  # no band of an item is longer, so each lies whole in a window
+        width = max(WINDOW, 4 * over)
+        for start in range(0, len(h), width - over):
+            out += self._regions(h[start : start + width], start)
+            if start + width >= len(h):
+                break
+        return out
+
+    def _regions(self, h: np.ndarray, start: int) -> list[tuple[int, int, int, int]]:
         at = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)])
         slot = np.searchsorted(self.codes, h[at])
         slot[slot == len(self.codes)] = 0
@@ -145,22 +171,25 @@ class Items:
             return []
         n = self.n[slot]
         pos = np.repeat(at, n)
-        step = np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(self.first[slot], n) + step
-        item, diagonal = self.item[entry].astype(np.int64), pos - self.place[entry]
-        out = []
+        entry = np.arange(len(pos)) + np.repeat(self.first[slot] - np.cumsum(n) + n, n)
+        diagonal = pos - self.place[entry]
+        bands = (len(h) + self.longest) // BAND + 3
+        cell = self.item[entry].astype(np.int64) * bands
+        need, out = np.repeat(self.need, bands), []
         for shift in (0, BAND // 2):
-            band = (diagonal + shift + (1 << 20)) // BAND
-            key = item * (1 << 40) + band
-            order = np.lexsort((pos, key))
-            k = key[order]
+            key = cell + (diagonal + (shift + self.longest)) // BAND
+            full = np.bincount(key, minlength=len(need)) >= need
+            kept = np.flatnonzero(full[key])
+            if not len(kept):
+                continue
+            kept = kept[np.argsort(key[kept], kind="stable")]  # places stay in order
+            k = key[kept]
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            ends = np.r_[starts[1:], len(k)]
-            owner = item[order][starts]
-            for a, b, o in zip(starts.tolist(), ends.tolist(), owner.tolist()):
-                if b - a >= self.need[o]:
-                    p, g = pos[order[a:b]], diagonal[order[a:b]]
-                    out.append((o, int(p[0]), int(p[-1]) + Q, int(np.median(g))))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(k)]):
+                if len(set(self.place[entry[kept[a:b]]].tolist())) < self.need[k[a] // bands]:
+                    continue  # the same places of the item, again and again
+                p = pos[kept[a:b]]
+                out.append((int(k[a]) // bands, int(p[0]) + start, int(p[-1]) + start + SEED, int(np.median(diagonal[kept[a:b]])) + start))
         return out
 
     def verify(self, k: int, region: str, diagonal: int) -> bool:
@@ -187,16 +216,19 @@ class Items:
             return False
         runs.sort()
         words, total = self.words[k], int(self.words[k][-1]) + 1
+        longest = max(b - a for a, b, _ in runs)
         best: list[tuple[float, int, int]] = []  # score, first place in the item, equal characters
         for j, (a, b, d) in enumerate(runs):
             score, start, equal = float(b - a), a, b - a
-            for x in range(j - 1, max(-1, j - 80), -1):
+            for x in range(j - 1, -1, -1):
                 c, e, f = runs[x]
+                if c + longest + MISSING < a:  # too much is missing after this run and all before it
+                    break
                 if e >= b or e + f >= b + d:
                     continue
                 over = max(0, e - a, e + f - a - d)
                 missing, put_in = a + over - e, a + over + d - e - f
-                if missing > 60 or put_in > 120:
+                if missing > MISSING or put_in > PUT_IN:
                     continue
                 cost = 0.6 * missing + min(0.5 * max(0, put_in - missing), 6 + 0.02 * put_in)
                 s = best[x][0] + (b - a - over) - cost
