@@ -6,13 +6,14 @@ have hashes that differ by that letter's value, so a join in SQL on the hashes
 less one letter brings every rare word together with its frequent variants; a
 short list of differences adds letters that are misread as two. The variants of
 a rare word are ranked by how often they stand beside its neighbours in the
-corpus, and the best one is the correction. Lines at page edges whose words
-belong to running headers are removed with the page numbers, and a hyphen at a
-line's end goes if the corpus knows the joined word or not the hyphenated one.
+corpus, and the best one is the correction. Misread numbers meet their digits
+in the same join. Lines at page edges whose words are more usual in recurring
+headers than in running lines are removed with the page numbers, and a hyphen at
+a line's end goes if the corpus knows the joined word or not the hyphenated one.
 
 Word, neighbour and header counts are taken over all distinct texts by Spark. A task gets
 only lists that are bounded by a share of the whole (``FREQUENT_SHARE`` of all
-words each, and a ten-thousandth of all words in headers).
+words each, and ``HEADER_SHARE`` of all words in headers).
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +36,15 @@ CONTEXT = 3  # how often the variant must stand beside a neighbour of the rare w
 SURE_LETTERS = 7  # letters of a word that needs no neighbour, if the variant is far more frequent
 SURE_RATIO = 20
 USUAL = 0.0004  # share of all differences that a difference must have to be one of the scanner's
-HEADER_TEXTS = 5  # texts whose running headers must have a word for it to mark headers
-HEADER_SHARE = 0.2  # share of a word's occurrences that must lie in running headers
+HEADER_SHARE = 1e-5  # least share of the words of running headers that a word must have to be weighed
+HEADER_SUM = 2.0  # sum of the words' weights from which a line at a page edge is a header,
+INNER_SUM = 6.0  # and one that stands elsewhere (pages without mark or number)
+STRONG = 3.0  # weight from which a word is known with a misread letter, too
+RUNNING = -2.0  # weight of a frequent running word that headers do not have
 
 # Latin letters that are misread for one another, and letters misread as two or the reverse.
 LOOKALIKE = frozenset("ec tf ao il o0 s5 l1 i1 g9 q9 b6 z2 b8 a4 e3 uv hb t7 ij ft co vy gq".split())
+MISREAD_DIGITS = frozenset("olisbzgq")  # letters that stand for digits, which forms have as 9
 DOUBLES = (("d", "cl"), ("h", "li"), ("m", "rn"), ("u", "ii"), ("w", "vv"), ("n", "ri"), ("k", "lc"), ("b", "lo"), ("nn", "rm"))
 
 PARTICLES = frozenset("은는이가을를의에와과로도만")
@@ -62,7 +66,6 @@ _HANGUL = re.compile(r"[가-힣]")
 _LIKE_DIGITS = re.compile(r"^([0-9olisbzgq]{1,8})((?:[가-힣%].*)?)$")
 _NUMBERS = re.compile(r"\d+")
 _AS_DIGITS = str.maketrans("oOlLiIsSbBzZgGqQ", "0011115568229690")
-_AS_LETTERS = {"0": "o", "1": "li", "2": "z", "5": "s", "6": "b", "8": "b", "9": "gq"}
 
 
 def line_kinds(lines: list[str]) -> list[str]:
@@ -78,7 +81,7 @@ def line_kinds(lines: list[str]) -> list[str]:
             out.append("table")
         elif s[0] == "<" and _MARK.match(s):
             out.append("mark")
-        elif len(s) <= 24 and PAGE.match(s):
+        elif PAGE.match(s):
             out.append("page_no")
         else:
             out.append("text")
@@ -92,36 +95,31 @@ class _Forms(dict):
         w = token.lower()
         if len(self) > 300_000:
             self.clear()
-        self[token] = form = _DIGIT.sub("9", w) if not _LATIN.search(w) else w
-        return form
+        if not _LATIN.search(w) or _LIKE_DIGITS.match(w):
+            w = _DIGIT.sub("9", w)
+        self[token] = w
+        return w
 
 
 _FORMS = _Forms()
 
 
 def word_form(token: str) -> str:
-    """Form in which a word is counted: lower case, digits of numbers alike."""
+    """Form in which a word is counted: lower case, digits of numbers alike, also of numbers with letters among them (2o25)."""
     return _FORMS[token]
 
 
-def misread_number(form: str, known: set[str]) -> bool:
-    """Whether a word is a number with letters for digits: 2o25, l6 (with a unit the corpus knows)."""
+def number_reading(form: str) -> str | None:
+    """Form of the number that a form with letters for digits stands for (9o99, l9, l with a unit); None for other words."""
     m = _LIKE_DIGITS.match(form)
-    if not m or not _LATIN.search(m[1]):
-        return False
-    if m[2]:
-        return "9" * len(m[1]) + m[2] in known
-    return any(c.isdigit() for c in m[1]) and (len(m[1]) > 1)
+    if not m or not _LATIN.search(m[1]) or not (m[2] or len(m[1]) > 1 and "9" in m[1]):
+        return None
+    return "9" * len(m[1]) + m[2]
 
 
-def read_number(token: str, known: set[str]) -> str:
-    """The digits that a misread number stands for; the word where it is one that the corpus knows (1oss)."""
+def read_number(token: str) -> str:
+    """The digits that a misread number stands for."""
     m = _LIKE_DIGITS.match(token.lower())
-    if not m[2]:
-        for reading in product(*(_AS_LETTERS.get(c, c) for c in m[1])):
-            word = "".join(reading)
-            if word in known:
-                return word.upper() if token.isupper() else word[:1].upper() + word[1:] if token[:1].isupper() else word
     return token[: m.end(1)].translate(_AS_DIGITS) + token[m.end(1) :]
 
 
@@ -131,9 +129,9 @@ def header_key(line: str) -> str:
 
 
 def may_be_header(line: str) -> bool:
-    """Short and without the end of a sentence or a broken word."""
+    """Without the end of a sentence or a broken word."""
     s = line.strip()
-    return 2 <= len(s) <= 70 and s[-1] not in ".?!,:;。" and s[-1] not in HYPHENS and len(s.split()) <= 10
+    return len(s) >= 2 and s[-1] not in ".?!,:;。" and s[-1] not in HYPHENS
 
 
 def edges(kinds: list[str]) -> list[bool]:
@@ -162,7 +160,7 @@ def repeated_headers(lines: list[str], kinds: list[str]) -> set[int]:
 def ends_broken(line: str) -> re.Match | None:
     """The match of a word and a hyphen at the end of a line."""
     end = line.rstrip()
-    return _BROKEN.search(end[-60:]) if end and end[-1] in HYPHENS else None
+    return _BROKEN.search(end.rsplit(None, 1)[-1]) if end and end[-1] in HYPHENS else None
 
 
 def flow(lines: list[str], kinds: list[str]) -> list[tuple[str, int, int]]:
@@ -198,13 +196,13 @@ def scanned_texts(extracts: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """Counts over all distinct texts: kind (word, pair or header), a, b, n. A task adds up before it sends.
+    """Counts over all distinct texts: kind (word, pair, capital, or header: texts with a word in headers), a, b, n. A task adds up before it sends.
 
     A text in many rows counts once: its misread words would be frequent by its copies.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {"word": Counter(), "pair": Counter(), "header": Counter()}
+        held: dict[str, Counter] = {"word": Counter(), "pair": Counter(), "header": Counter(), "capital": Counter()}
 
         def send() -> Iterator[pa.RecordBatch]:
             for kind, counter in held.items():
@@ -223,14 +221,14 @@ def count_words(texts: DataFrame) -> DataFrame:
                 found = repeated_headers(lines, kinds)
                 titles: set[str] = set()
                 for i in found:
-                    titles.update(t.lower() if _HANGUL.search(t) else t for t in _TOKEN.findall(lines[i]) if not _DIGIT.search(t))
+                    titles.update(t for t in _TOKEN.findall(lines[i]) if not _DIGIT.search(t))
                     kinds[i] = "header"
                 held["header"].update(titles)
                 words = [w for w, _, _ in flow(lines, kinds)]
                 held["word"].update(words)
                 held["pair"].update(zip(words, words[1:]))
                 # running words in capitals, to tell titles from them; other words are counted as they are
-                held["header"].update("\0" + t for i, k in enumerate(kinds) if k == "text" for t in _CAPITAL.findall(lines[i]))
+                held["capital"].update(t for i, k in enumerate(kinds) if k == "text" for t in _CAPITAL.findall(lines[i]))
             if sum(map(len, held.values())) > 1_500_000:
                 yield from send()
         yield from send()
@@ -239,16 +237,23 @@ def count_words(texts: DataFrame) -> DataFrame:
     return parts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def header_words(counts: DataFrame) -> list[str]:
-    """Words that lie in running headers of several texts and seldom in running lines."""
-    heads = counts.where("kind = 'header'").select(F.regexp_replace("a", "^\\x00", "").alias("word"), F.col("a").startswith("\0").alias("running"), "n")
-    plain = counts.where("kind = 'word'").select(F.col("a").alias("word"), F.lit(True).alias("running"), "n").where(~F.col("word").rlike("[a-z]"))
-    heads = heads.unionAll(plain.join(heads.where("not running").select("word").distinct(), "word", "left_semi"))
-    sums = heads.groupBy("word").agg(F.sum(F.when(~F.col("running"), F.col("n"))).alias("headers"), F.sum(F.when(F.col("running"), F.col("n"))).alias("lines"))
-    total = sums.agg(F.sum("headers").alias("n")).first()["n"] or 0
-    least = max(HEADER_TEXTS, total // 10_000)
-    kept = sums.where((F.col("headers") >= least) & (F.col("headers") >= HEADER_SHARE * (F.col("headers") + F.coalesce("lines", F.lit(0)))) & (F.length("word") >= 2))
-    return sorted(r["word"] for r in kept.select("word").collect())
+def header_weights(counts: DataFrame) -> dict[str, float]:
+    """How much each word of running headers tells for a header: log of its share of header words over its share of running words.
+
+    Shares do not move with the size of the corpus. Words under ``HEADER_SHARE``
+    of all header words are left out, so the list has at most 1 / ``HEADER_SHARE`` words.
+    """
+    heads = counts.where("kind = 'header'").select(F.col("a").alias("word"), F.col("n").alias("h"))
+    capital = counts.where("kind = 'capital'").select(F.col("a").alias("word"), "n")
+    plain = counts.where("kind = 'word'").select(F.col("a").alias("word"), "n")
+    total = heads.agg(F.sum("h").alias("n")).first()["n"]
+    if not total:
+        return {}
+    running = plain.agg(F.sum("n").alias("n")).first()["n"] or 0
+    kept = heads.where((F.col("h") >= HEADER_SHARE * total) & (F.length("word") >= 2))
+    lines = plain.unionAll(capital).join(F.broadcast(kept.select("word")), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+    told = F.log((F.col("h") + 0.5) / F.lit(total + 1.0)) - F.log((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(running + 1.0))
+    return {r["word"]: r["w"] for r in kept.join(lines, "word", "left").select("word", told.alias("w")).collect()}
 
 
 def letters(word: str) -> str:
@@ -267,7 +272,7 @@ def anagram_hash(word_letters: str) -> int:
 
 
 def difference_keys(word_letters: str, rare: bool) -> set[int]:
-    """Keys on which words meet: the hash, the hash less each letter, and (rare words) the listed differences."""
+    """Keys on which words meet: the hash, the hash less each letter, and (rare words) the listed differences and the number read."""
     whole = anagram_hash(word_letters)
     m = (1 << 62) - 1
     keys = {whole} | {(whole - anagram_value(c)) & m for c in set(word_letters)}
@@ -276,11 +281,18 @@ def difference_keys(word_letters: str, rare: bool) -> set[int]:
             for a, b in ((one, two), (two, one)):
                 if a in word_letters:
                     keys.add((whole - sum(map(anagram_value, a)) + sum(map(anagram_value, b))) & m)
+    if rare and (number := number_reading(unicodedata.normalize("NFC", word_letters))):
+        keys.add(anagram_hash(letters(number)))
     return keys
 
 
 def difference(rare: str, frequent: str) -> str | None:
-    """The one confusion that turns the frequent word's letters into the rare one's, as "from>to"; None if there is none."""
+    """The one confusion that turns the frequent word's letters into the rare one's, as "from>to"; None if there is none.
+
+    Letters in a number are one confusion, however many they are.
+    """
+    if (number := number_reading(unicodedata.normalize("NFC", rare))) and letters(number) == frequent:
+        return "9>letter"
     p, n = 0, min(len(rare), len(frequent))
     while p < n and rare[p] == frequent[p]:
         p += 1
@@ -290,6 +302,8 @@ def difference(rare: str, frequent: str) -> str | None:
     a, b = rare[p : len(rare) - q], frequent[p : len(frequent) - q]
     if len(a) <= 1 and len(b) <= 1:
         one_for_one = len(a) == len(b) == 1
+        if one_for_one and a == "9" and b in MISREAD_DIGITS:  # 9oss for loss
+            return "letter>9"
         if not (a + b).isascii() or one_for_one and (a + b in LOOKALIKE or b + a in LOOKALIKE):
             return f"{b}>{a}"
         return None
@@ -316,7 +330,7 @@ def variants(counts: DataFrame) -> DataFrame:
                 words, n, keys = [], [], []
                 for w, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     w_letters = letters(w)
-                    if len(w_letters) < 3 or not any(c.isalpha() for c in w):
+                    if rare and (not any(c.isalpha() for c in w) or len(w_letters) < 3 and number_reading(w) is None):
                         continue
                     for key in difference_keys(w_letters, rare):
                         words.append(w)
@@ -371,45 +385,46 @@ def known_words(counts: DataFrame, near: DataFrame) -> list[str]:
 class Pages:
     """Finds headers, page numbers and broken words in one text."""
 
-    def __init__(self, header_word_list: list[str], frequent: set[str]):
-        self.titles = set(header_word_list)
-        self.near = {k for w in header_word_list if len(letters(w)) >= 5 for k in self._near(w)}
+    def __init__(self, weights: dict[str, float], frequent: set[str]):
+        self.weights = weights
+        self.near = {k: w for t, w in weights.items() if w >= STRONG and len(letters(t)) >= 5 for k in self._near(t)}
         self.frequent = frequent
-        self.judged: dict[str, bool] = {}
+        self.judged: dict[str, float] = {}
 
     @staticmethod
     def _near(word: str) -> set[str]:
         s = letters(word)
         return {s[:i] + "\0" + s[i + 1 :] for i in range(len(s))} | {s[:i] + "\0" + s[i:] for i in range(len(s) + 1)}
 
-    def is_title(self, token: str) -> bool:
-        """Whether a word marks headers, also with a misread letter."""
+    def weight(self, token: str) -> float:
+        """How much a word tells for a header, also with a misread letter."""
         known = self.judged.get(token)
         if known is None:
             if len(self.judged) > 300_000:
                 self.judged.clear()
-            known = self.judged[token] = self._is_title(token)
+            known = self.judged[token] = self._weight(token)
         return known
 
-    def _is_title(self, token: str) -> bool:
-        t = token.lower() if _HANGUL.search(token) else token
-        if t in self.titles:
-            return True
-        if len(t) < 2 or t.isascii() and not t[0].isupper() or not t.isascii() and word_form(t) in self.frequent:
-            return False
-        if any(x in t and t.replace(x, y, 1) in self.titles for one, two in DOUBLES for x, y in ((one, two), (two, one))):
-            return True
-        return not self.near.isdisjoint(self._near(t))
+    def _weight(self, t: str) -> float:
+        if t in self.weights:
+            return self.weights[t]
+        if word_form(t) in self.frequent:
+            return RUNNING
+        if len(t) < 2 or t.isascii() and not t[0].isupper():
+            return 0.0
+        doubled = [self.weights.get(t.replace(x, y, 1), 0.0) for one, two in DOUBLES for x, y in ((one, two), (two, one)) if x in t]
+        return max([0.0, *[w for w in doubled if w >= STRONG], *[self.near[k] for k in self._near(t) if k in self.near]])
 
     def kinds(self, lines: list[str]) -> list[str]:
-        """Line kinds with ``header`` among them."""
+        """Line kinds with ``header`` among them: lines at page edges whose words tell for a header, and surer ones elsewhere."""
         kinds = line_kinds(lines)
         found = repeated_headers(lines, kinds)
+        edge = edges(kinds)
         for i, (line, kind) in enumerate(zip(lines, kinds)):
-            if kind == "text" and i not in found and may_be_header(line) and any(self.is_title(t) for t in _TOKEN.findall(line)):
-                found.add(i)
-        for i in found:
-            kinds[i] = "header"
+            if kind == "text" and may_be_header(line):
+                told = sum(self.weight(t) for t in _TOKEN.findall(line) if not t.isdigit())
+                if told >= (0.0 if i in found else HEADER_SUM if edge[i] else INNER_SUM):
+                    kinds[i] = "header"
         return kinds
 
     def broken(self, lines: list[str], kinds: list[str]) -> list[tuple[int, int]]:
@@ -432,15 +447,15 @@ class Pages:
         return out
 
 
-def _prepared(texts: DataFrame) -> tuple[list[str], list[str], DataFrame, DataFrame]:
+def _prepared(texts: DataFrame) -> tuple[dict[str, float], list[str], DataFrame, DataFrame]:
     counts = cut(count_words(texts))
     near = cut(misreadings(counts))
-    return header_words(counts), known_words(counts, near), counts, near
+    return header_weights(counts), known_words(counts, near), counts, near
 
 
-def line_findings(texts: DataFrame, titles: list[str], frequent: list[str]) -> DataFrame:
+def line_findings(texts: DataFrame, weights: dict[str, float], frequent: list[str]) -> DataFrame:
     """Per line and kind what the layout tells, and every infrequent running word with its neighbours (kind ``word``)."""
-    shared = texts.sparkSession.sparkContext.broadcast((titles, set(frequent)))
+    shared = texts.sparkSession.sparkContext.broadcast((weights, set(frequent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["table_name", "row_id", "elem_no", "line_no", "kind", "word", "before", "after"]
@@ -458,9 +473,6 @@ def line_findings(texts: DataFrame, titles: list[str], frequent: list[str]) -> D
                 running = flow(lines, kinds)
                 for k, (w, first, last) in enumerate(running):
                     if w not in known and len(w) >= 2:
-                        if first == last and misread_number(w, known):
-                            rows.append((table_name, row_id, elem_no, first + 1, "misread", None, None, None))
-                            continue
                         before = running[k - 1][0] if k else ""
                         after = running[k + 1][0] if k + 1 < len(running) else ""
                         if first != last:  # the misread letter stands on one of the two lines
@@ -529,15 +541,15 @@ def find_noise(extracts: DataFrame, chunks: DataFrame) -> DataFrame:
     Null and empty texts and elements have none.
     """
     texts = scanned_texts(extracts, chunks)
-    titles, frequent, counts, near = _prepared(texts)
-    found = cut(line_findings(texts, titles, frequent))
+    weights, frequent, counts, near = _prepared(texts)
+    found = cut(line_findings(texts, weights, frequent))
     layout = found.where("word is null").select("table_name", "row_id", "elem_no", "line_no", "kind")
     misread = corrections(found, counts, near).select("table_name", "row_id", "elem_no", "line_no", F.lit("misread").alias("kind"))
     return layout.unionAll(misread).distinct()
 
 
 def corrected(lines: list[str], kinds: list[str], known: set[str], fixes: list[dict[str, str | int]]) -> list[str]:
-    """The lines with misread numbers read as digits and corrections put in; a broken word is corrected on both its lines.
+    """The lines with corrections put in; a broken word is corrected on both its lines.
 
     Every occurrence gets the correction of its own neighbours, or else the one
     that the word has elsewhere in the line.
@@ -556,13 +568,6 @@ def corrected(lines: list[str], kinds: list[str], known: set[str], fixes: list[d
         taken[last] += 1
         if w in known or len(w) < 2:
             continue
-        if first == last and misread_number(w, known):
-            m = tokens[first][at]
-            edits.setdefault(first, []).append((*m.span(), read_number(m[0], known)))
-            thousands = tokens[first][at - 1] if at else None  # I,9Io
-            if thousands and lines[first][thousands.end() : m.start()] == "," and len(thousands[0]) <= 3 and _LIKE_DIGITS.match(thousands[0].lower()):
-                edits[first].append((*thousands.span(), thousands[0].translate(_AS_DIGITS)))
-            continue
         before = running[k - 1][0] if k else ""
         after = running[k + 1][0] if k + 1 < len(running) else ""
         variant = exact.get((first + 1, w, before, after)) or in_line.get((first + 1, w))
@@ -571,6 +576,9 @@ def corrected(lines: list[str], kinds: list[str], known: set[str], fixes: list[d
         if first == last:
             m = tokens[first][at]
             edits.setdefault(first, []).append((*m.span(), _in_form(m[0], w, variant)))
+            thousands = tokens[first][at - 1] if at and variant == number_reading(w) else None  # I,9Io
+            if thousands and lines[first][thousands.end() : m.start()] == "," and _LIKE_DIGITS.match(thousands[0].lower()):
+                edits[first].append((*thousands.span(), thousands[0].translate(_AS_DIGITS)))
             continue
         m, n = tokens[first][-1], tokens[last][0]
         left, right = m[0].rstrip(HYPHENS), n[0].lstrip(HYPHENS)
@@ -638,6 +646,8 @@ def _tables_together(blocks: list[str]) -> list[str]:
 
 def _in_form(token: str, word: str, variant: str) -> str:
     """The variant with the numbers and capitals of the token."""
+    if variant == number_reading(word):
+        return read_number(token)
     digits = iter(_NUMBERS.findall(token)) if not _LATIN.search(word) else None
     new = _NUMBERS.sub(lambda x: next(digits, x[0]), variant) if digits else variant
     return new.upper() if token.isupper() and len(token) > 1 else new[:1].upper() + new[1:] if token[:1].isupper() else new
@@ -646,10 +656,10 @@ def _in_form(token: str, word: str, variant: str) -> str:
 def repair(extracts: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every text repaired: table_name, row_id, elem_no, text. Clean texts come out with their paragraphs joined."""
     texts = scanned_texts(extracts, chunks)
-    titles, frequent, counts, near = _prepared(texts)
-    found = line_findings(texts, titles, frequent).where("word is not null")
+    weights, frequent, counts, near = _prepared(texts)
+    found = line_findings(texts, weights, frequent).where("word is not null")
     fixes = corrections(found, counts, near).groupBy("table_name", "row_id", "elem_no").agg(F.collect_list(F.struct("first", "word", "before", "after", "variant")).alias("fixes"))
-    shared = texts.sparkSession.sparkContext.broadcast((titles, set(frequent)))
+    shared = texts.sparkSession.sparkContext.broadcast((weights, set(frequent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages = Pages(*shared.value)

@@ -118,10 +118,38 @@ def test_repair_of_what_is_found(spark, noisy, right):
     assert fixed.replace("\n\n", " ").endswith(" ".join(right))
 
 
-def test_read_number():
-    known = {"loss", "99일"}
-    assert [ocr_repair.read_number(t, known) for t in ("1oss", "L0SS", "B5일", "2OI9년", "3B")] == ["loss", "LOSS", "85일", "2019년", "38"]
-    assert ocr_repair.corrected(["요금 I,9Io만원 또는 12,5O0만원"], ["text"], {"999만원"}, []) == ["요금 1,910만원 또는 12,500만원"]
+def test_numbers_meet_in_the_join():
+    forms = [ocr_repair.word_form(t) for t in ("1oss", "L0SS", "B5일", "2OI9년", "3B", "l회", "boss", "c0ver")]
+    assert forms == ["9oss", "l9ss", "b9일", "9oi9년", "9b", "l회", "boss", "c0ver"]
+    assert [ocr_repair.number_reading(f) for f in forms] == ["9999", "9999", "99일", "9999년", "99", "9회", None, None]
+    assert [ocr_repair.read_number(t) for t in ("B5일", "2OI9년", "3B")] == ["85일", "2019년", "38"]
+    for rare, frequent in (("9oss", "loss"), ("9oi9년", "9999년"), ("9b", "99"), ("l회", "9회")):
+        x, y = ocr_repair.letters(rare), ocr_repair.letters(frequent)
+        assert ocr_repair.difference(x, y) and ocr_repair.difference_keys(x, True) & ocr_repair.difference_keys(y, False)
+    fixes = [{"first": 1, "word": w, "before": "요금", "after": "또는", "variant": v} for w, v in (("9io만원", "999만원"), ("9o9만원", "999만원"))]
+    assert ocr_repair.corrected(["요금 I,9Io만원 또는 12,5O0만원"], ["text"], {"999만원"}, fixes) == ["요금 1,910만원 또는 12,500만원"]
+
+
+def test_same_lines_in_a_larger_corpus(spark):
+    """Ten times the distinct texts: the same lines are headers, and running lines that share a word with headers are none."""
+    rng = random.Random(12)
+    titles = [f"{a} {b} 규정" for a in ("Admission", "Claim", "Article", "Final") for b in ("운영", "관리")]
+
+    def text(i):
+        t = scanned(rng, i % 2 == 0).replace("하늘 사업 운영 규정", titles[i // 2 % len(titles)])
+        return t.replace("관계 기관은", "Article 40 takes effect, and the final\nAdmission 절차 등록\n관계 기관은")
+
+    rows = [(i, text(i)) for i in range(40)]
+    chunks = spark.createDataFrame([(1, ["Claim 운영 규정    28\n계획서를 관리는\n한다.", "Admission 절차를 등록\n한다."])], "id long, image_ocr_texts array<string>")
+
+    def headers(times):
+        more = [(i + 100 * k, t + f"\n<!-- page:{k + 10} -->" * (k > 0)) for i, t in rows for k in range(times)]
+        found = ocr_repair.find_noise(spark.createDataFrame(more, "id long, raw_markdown string"), chunks).where("kind = 'header'").collect()
+        return {(r["table_name"], r["row_id"], r["elem_no"], r["line_no"]) for r in found if r["row_id"] < 100}
+
+    once = headers(1)
+    assert once == {("tb_document_extract", i, 1, n) for i, t in rows for n, s in enumerate(t.split("\n"), 1) if s in titles} | {("tb_document_chunks", 1, 1, 1)}
+    assert headers(10) == once
 
 
 def test_empty_scans(spark):
