@@ -194,7 +194,45 @@ def test_half_of_a_short_item_with_changed_words():
     noise = lambda k: " ".join(word() for _ in range(k))
     texts = [f"{noise(60)} {' '.join(half)} {noise(60)}", noise(150), f"{noise(60)} {' '.join(item[10:26])} {noise(60)}"]
     index = leakage.Items([(1, " ".join(item)), (2, noise(48))])
-    assert leakage.leaked_items(texts, index) == [(0, 0)]
+    assert leakage.leaked_items(texts, index) == [(0, 1)]
+
+
+@pytest.mark.parametrize("copies", [1, 4, 5, 8, 40])
+def test_items_held_under_several_ids(spark, copies):
+    """Equal items, and items that differ by a word, are found under every id."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    item = [word() for _ in range(40)]
+    suite = [(i, " ".join(item) if i % 2 else f"[Question {i}] " + " ".join(item).upper()) for i in range(copies)]
+    suite += [(1000 + i, " ".join([*item[:39], word()])) for i in range(copies)] + [(5000, " ".join(word() for _ in range(40)))]
+    text = " ".join([word() for _ in range(30)] + item[:39] + [word() for _ in range(30)])
+    documents = spark.createDataFrame([(7, text), (8, " ".join(word() for _ in range(90)))], "doc_id long, text string")
+    found = {tuple(r) for r in leakage.find_leaks(documents, spark.createDataFrame(suite, "item_id long, text string")).collect()}
+    assert found == {(7, i) for i, _ in suite if i != 5000}
+
+
+def test_short_items():
+    """Under twelve letters an item counts where it stands whole; longer ones by halves."""
+    index = leakage.Items([(1, "Water boils"), (2, "물은 끓는다."), (3, "Water boils"), (4, "?!"), (5, "물")])
+    texts = ["In summer water-boils quickly.", "water", "모든 물은\n끓는다", None, "", "no"]
+    assert leakage.leaked_items(texts, index) == [(0, 1), (0, 3), (2, 2), (2, 5)]
+    only = leakage.Items([(1, "Water boils")])
+    assert leakage.leaked_items(texts, only) == [(0, 1)] and leakage.leaked_items(texts, leakage.Items([])) == []
+
+
+def test_cover_passes_what_the_alignment_accepts():
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("가나다라마바사아자차카타파하") for _ in range(rng.randint(1, 4)))
+    seen = 0
+    for _ in range(300):
+        item = [word() for _ in range(rng.randint(12, 40))]
+        index = leakage.Items([(1, " ".join(item))])
+        text = leakage.plain(" ".join(word() if rng.random() < 0.12 else w for w in item[rng.randrange(8) :]))
+        for diagonal in (-20, 0, 20):
+            if index.verify(0, text, diagonal):
+                seen += 1
+                assert index.runs[0].cover(leakage.gram_codes(text), diagonal)
+    assert seen > 50
 
 
 def test_gram_codes_do_not_depend_on_place():
