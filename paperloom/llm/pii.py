@@ -4,13 +4,17 @@ Found kinds are EMAIL, PHONE, ID_NUMBER, ADDRESS and NAME. Each is replaced by a
 placeholder of its type that carries a pseudonym, ``[PHONE 010-4821-7730]``.
 
 Method: a keyed Feistel network permutes the digits of validated numbers within
-their format (length, separators, country and area prefix, letters of a passport
-number stay), and birth dates within the valid dates of a century. The digits
-are taken without their separators, so one number written in two ways gets one
-pseudonym, and equal values stay linked across documents and tables. A
-permutation has no collisions and needs no lookup table, so tasks work alone.
-E-mail addresses, street addresses and names have no number format; they carry
-a keyed tag of their canonical spelling instead, linked in the same way.
+their format, and birth dates within the dates of their century. A telephone
+number is country, area and subscriber; only the subscriber's digits change, to
+others that a subscriber may have. Length, separators, letters of a passport
+number and the region of a licence stay. What a format forbids is left by
+walking the cycle of the permutation until the class of the value is met again,
+which keeps it one to one. The digits are taken without separators and country
+prefix, so one number written in several ways gets one pseudonym, and equal
+values stay linked across documents and tables. A permutation has no collisions
+and needs no lookup table, so tasks work alone. E-mail addresses, street
+addresses and names have no number format; they carry a keyed tag of 128 bits of
+their canonical spelling instead, linked in the same way.
 
 Numbers are validated (dates, lengths, prefixes, no preceding word for a ticket
 or document) before they count. Names without a title or phrase beside them
@@ -20,10 +24,11 @@ corpus; ``learn_syllables`` counts those in Spark over all texts.
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -34,6 +39,7 @@ from pyspark.sql import types as T
 from paperloom.session import spread
 
 AROUND = 200  # characters on each side of a bracketed phrase that may hold the halves of a broken value
+LEAST_NAMES, LEAST_LIFT = 3, 2.0  # names that must have a syllable, and how many times more usual it must be there than in all text
 KINDS = ("EMAIL", "ID_NUMBER", "PHONE", "ADDRESS", "NAME")
 DEFAULT_KEY = "rotate-me"
 
@@ -92,7 +98,7 @@ KO_CONTEXT = re.compile(rf"(?:(?:{BEFORE})((?:{SURNAMES}) ?[가-힣]{{2}})(?=입
 _WIDE = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0xA0: 0x20, 0x2009: 0x20, 0x202F: 0x20} | {c: 0x2D for c in (0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2212, 0x00AD, 0xFE63)}
 _HANGUL_DIGIT = {ord(c): str(d) for c, d in zip("공영일이삼사오육륙칠팔구", (0, 0, 1, 2, 3, 4, 5, 6, 6, 7, 8, 9))}
 _NOT_PERSON = re.compile(NO_PERSON, re.I)
-_DOCUMENT_PERSON = re.compile(KO_ORGANISATION)
+_SAYS_NAME = re.compile("제 이름은|성명|예금주")
 
 
 def valid_date(six: str) -> bool:
@@ -119,7 +125,7 @@ class Detector:
             return []
         flat = text.translate(_WIDE)
         found = self._flat(flat)
-        for inner in re.finditer(r" ?\([^()]{6,120}\)", flat):
+        for inner in re.finditer(r" ?\([^()]{6,}\)", flat):
             cut, end = inner.span()
             if not any(cut <= a and b <= end for a, b, _ in found):
                 continue
@@ -166,7 +172,8 @@ class Detector:
                     take(*m.span(), "PHONE")
         for m in KO_CONTEXT.finditer(text):
             k = 1 if m[1] else 2
-            if m[k][-2:] not in ("번호", "이름", "성명") and not (k == 1 and self.alone and not self.alone.match(m[k])):
+            told = k == 2 or not self.alone or _SAYS_NAME.match(m[0]) or self.alone.match(m[k])
+            if m[k][-2:] not in ("번호", "이름", "성명") and told:
                 take(*m.span(k), "NAME")
         if self.alone:
             for m in self.alone.finditer(text):
@@ -179,8 +186,8 @@ class Detector:
         return taken
 
 
-def _digest(key: bytes, *parts: object) -> int:
-    return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode(), key=key, digest_size=8).digest(), "big")
+def _digest(key: bytes, *parts: object, size: int = 8) -> int:
+    return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode(), key=key, digest_size=size).digest(), "big")
 
 
 def permute_digits(digits: str, key: bytes, tweak: str) -> str:
@@ -207,20 +214,66 @@ def restore_digits(digits: str, key: bytes, tweak: str) -> str:
     return f"{a:0{u}d}{b:0{n - u}d}"
 
 
-_DAYS = 36_524  # days of 1900-01-01 .. 1999-12-31
+def walk(digits: str, key: bytes, tweak: str, kind: Callable[[str], object]) -> str:
+    """Permutation of the digit strings of one length and one ``kind``, by walking the cycle of the permutation of all."""
+    same = kind(digits)
+    while True:
+        digits = permute_digits(digits, key, tweak)
+        if kind(digits) == same:
+            return digits
+
+
+def _century(sex_digit: str) -> int:
+    """First year of the century that the seventh digit of a resident number stands for."""
+    return 2000 if sex_digit in "3478" else 1800 if sex_digit in "09" else 1900
 
 
-def permute_date(six: str, key: bytes) -> str:
-    """Keyed permutation of yymmdd within the valid dates of a century (cycle walking)."""
-    year = 1900 + int(six[:2])
+def permute_date(six: str, key: bytes, first_year: int = 1900) -> str:
+    """Keyed permutation of yymmdd within the dates of a century.
+
+    29 February of years that have none is permuted among those, so the map
+    stays one to one on all that ``valid_date`` takes.
+    """
+    start = dt.date(first_year, 1, 1)
+    days = (dt.date(first_year + 100, 1, 1) - start).days
     try:
-        day = (dt.date(year, int(six[2:4]), int(six[4:6])) - dt.date(1900, 1, 1)).days
-    except ValueError:  # 29 February of a year that has none in this century
-        return permute_digits(six, key, "date")
-    while True:
-        day = int(permute_digits(f"{day:05d}", key, "date"))
-        if day < _DAYS:
-            return (dt.date(1900, 1, 1) + dt.timedelta(days=day)).strftime("%y%m%d")
+        day = (dt.date(first_year + int(six[:2]), int(six[2:4]), int(six[4:6])) - start).days
+    except ValueError:
+        return walk(six[:2], key, f"year{first_year}", lambda y: calendar.isleap(first_year + int(y))) + six[2:]
+    new = walk(f"{day:05d}", key, f"date{first_year}", lambda d: int(d) < days)
+    return (start + dt.timedelta(days=int(new))).strftime("%y%m%d")
+
+
+def phone_parts(flat: str) -> tuple[str, str, str]:
+    """(what is written before the subscriber, country and area, subscriber) of a telephone number, digits only.
+
+    Korean numbers have an area of one to three digits after 0 or 82, British
+    ones of two to four after 0 or 44, American ones of three after an optional 1.
+    """
+    digits = "".join(c for c in flat if c.isdigit())
+    groups = re.findall(r"\d+", flat)
+    plus = flat.lstrip().startswith("+")
+    if plus and digits[:2] in ("82", "44"):
+        country, at = digits[:2], 2
+    elif digits[:1] == "0":
+        british = len(digits) == 11 and (digits[:2] == "02" or digits[:2] in ("01", "07") and len(groups[0]) in (4, 5))
+        country, at = "44" if british else "82", 0
+    else:
+        country, at = "1", len(digits) - 10
+    at += country != "1" and digits[at : at + 1] == "0"
+    rest = digits[at:]
+    if country == "82":
+        n = 1 if rest[:1] == "2" else 3 if rest[:2] == "50" else 2
+    elif country == "44":
+        n = 2 if rest[:1] == "2" else 3 if rest[:2] == "11" or rest[:1] == "1" and rest[2:3] == "1" else 4
+    else:
+        n = 3
+    return digits[: at + n], f"{country}-{rest[:n]}", rest[n:]
+
+
+def _social_kind(nine: str) -> tuple[bool, ...]:
+    """Which rules of a social security number its digits break."""
+    return nine[:3] in ("000", "666"), nine[0] == "9", nine[3:5] == "00", nine[5:] == "0000"
 
 
 def _refill(shape: str, digits: str) -> str:
@@ -234,17 +287,23 @@ def pseudonym(value: str, kind: str, key: bytes) -> str:
     if kind == "PHONE":
         flat = flat.translate(_HANGUL_DIGIT)
         digits = "".join(c for c in flat if c.isdigit())
-        keep = max(len(digits) - 8, 0) if digits.startswith(("0", "82")) else max(len(digits) - 7, 0)
-        return _refill(flat, digits[:keep] + permute_digits(digits[keep:], key, "phone"))
+        if len(digits) < 9:  # half of a number that a phrase breaks
+            return _refill(flat, permute_digits(digits, key, "part"))
+        head, area, subscriber = phone_parts(flat)
+        return _refill(flat, head + walk(subscriber, key, f"phone{area}", lambda d: d[:1] >= "2"))
     if kind == "ID_NUMBER":
         digits = "".join(c for c in flat if c.isdigit())
         if len(digits) == 13:
-            return _refill(flat, permute_date(digits[:6], key) + digits[6] + permute_digits(digits[7:], key, "resident"))
+            return _refill(flat, permute_date(digits[:6], key, _century(digits[6])) + digits[6] + permute_digits(digits[7:], key, "resident"))
+        if len(digits) == 12:  # a driving licence begins with its region
+            return _refill(flat, digits[:2] + permute_digits(digits[2:], key, "licence"))
+        if len(digits) == 9:
+            return _refill(flat, walk(digits, key, "social", _social_kind))
         return _refill(flat, permute_digits(digits, key, f"id{len(digits)}"))
     canonical = re.sub(r"[\s,()\[\]-]", "", flat.casefold())
     if kind == "EMAIL":
-        canonical = re.sub(r"[\[(]at[\])]", "@", re.sub(r"[\[(]dot[\])]", ".", re.sub(r"\s", "", flat.casefold())))
-    return f"{_digest(key, kind, canonical):016x}"[:10]
+        canonical = re.sub(r"[\[(]at[\])]|골뱅이", "@", re.sub(r"[\[(]dot[\])]", ".", re.sub(r"\s", "", flat.casefold())))
+    return f"{_digest(key, kind, canonical, size=16):032x}"
 
 
 def mask(text: str, spans: list[tuple[int, int, str]], key: bytes) -> str:
@@ -256,22 +315,27 @@ def mask(text: str, spans: list[tuple[int, int, str]], key: bytes) -> str:
     return "".join([*out, text[at:]])
 
 
-def learn_syllables(texts: DataFrame, column: str = "text", least: int = 1) -> tuple[str, str]:
+def learn_syllables(texts: DataFrame, column: str = "text", least: int = LEAST_NAMES, lift: float = LEAST_LIFT) -> tuple[str, str]:
     """First and second syllables of given names that stand beside a title or phrase, over all texts.
 
-    A syllable counts if it occurs ``least`` times and in a hundredth of the
-    names found. What reaches the driver is bounded by the alphabet: two lists
-    of at most 11,172 syllables, and no more than a hundred each by the share.
+    A syllable counts if ``least`` names have it and its share of the names is
+    ``lift`` times its share of all Hangul of the texts, whatever the size of
+    the corpus and the number of syllables that names use. What reaches the
+    driver is bounded by the alphabet: two lists of at most 11,172 syllables.
     """
     context = rf"(?:(?:제 이름은 |성명: ?|예금주는 )((?:{SURNAMES}) ?[가-힣]{{2}})(?=입니다|,|\.|$|\n|\))|(?<![가-힣])((?:{SURNAMES}) ?[가-힣]{{2}})(?= 씨가|님 앞| 과장에게| 올림| 드림))"
-    at = F.explode(F.concat(F.regexp_extract_all(F.col(column), F.lit(context), F.lit(1)), F.regexp_extract_all(F.col(column), F.lit(context), F.lit(2))))
-    names = texts.select(at.alias("name")).where("name <> ''")
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.substring("name", -2, 1).alias("syllable")), F.struct(F.lit(2).alias("side"), F.substring("name", -1, 1).alias("syllable"))))
-    counts = names.select(sides.alias("s")).groupBy("s.side", "s.syllable").agg(F.count("*").alias("n"))
-    total = counts.groupBy("side").agg(F.sum("n").alias("total"))
-    kept = counts.join(F.broadcast(total), "side").where((F.col("n") >= least) & (F.col("n") * 100 >= F.col("total")))
-    rows = kept.select("side", "syllable").collect()
-    return tuple("".join(sorted(r["syllable"] for r in rows if r["side"] == k)) for k in (1, 2))
+    names = F.filter(F.concat(F.regexp_extract_all(F.col(column), F.lit(context), F.lit(1)), F.regexp_extract_all(F.col(column), F.lit(context), F.lit(2))), lambda n: n != "")
+
+    def side(k: int, at: int) -> Column:
+        return F.transform(names, lambda n: F.struct(F.lit(k).alias("side"), F.substring(n, at, 1).alias("syllable")))
+
+    plain = F.transform(F.regexp_extract_all(F.col(column), F.lit("[가-힣]"), F.lit(0)), lambda c: F.struct(F.lit(0).alias("side"), c.alias("syllable")))
+    counts = texts.select(F.explode(F.concat(side(1, -2), side(2, -1), plain)).alias("s")).groupBy("s.side", "s.syllable").agg(F.count("*").alias("n"))
+    rows = counts.collect()  # no more than three times the syllables there are
+    total = {k: sum(r["n"] for r in rows if r["side"] == k) for k in (0, 1, 2)}
+    usual = {r["syllable"]: r["n"] / total[0] for r in rows if r["side"] == 0}
+    kept = {k: sorted(r["syllable"] for r in rows if r["side"] == k and r["n"] >= least and r["n"] / total[k] >= lift * usual[r["syllable"]]) for k in (1, 2)}
+    return "".join(kept[1]), "".join(kept[2])
 
 
 def scan(df: DataFrame, text: str, syllables: tuple[str, str]) -> DataFrame:

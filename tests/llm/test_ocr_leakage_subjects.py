@@ -231,7 +231,7 @@ def test_cover_passes_what_the_alignment_accepts():
         for diagonal in (-20, 0, 20):
             if index.verify(0, text, diagonal):
                 seen += 1
-                assert index.runs[0].cover(leakage.gram_codes(text), diagonal)
+                assert index.runs[0].cover(leakage.gram_codes(text, leakage.RUN), diagonal)
     assert seen > 50
 
 
