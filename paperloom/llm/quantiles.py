@@ -21,9 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperloom.session import cut
+
 #: Magnitudes below this are counted as zero, so the index stays bounded.
 SMALLEST = 1e-9
 OFFSET = 1_000_000
+LINES_A_DAY = 1 << 40
+BROADCAST_IDS = 200_000  # trace ids with several lines that may be broadcast; more are joined by shuffle
 
 
 def gamma(alpha: float) -> float:
@@ -59,7 +63,10 @@ def merge_sketches(sketches: list[DataFrame], groups: list[str]) -> DataFrame:
 
 
 def read_percentiles(sketch: DataFrame, groups: list[str], percents: list[float], alpha: float = 0.01) -> DataFrame:
-    """Percentiles of a sketch: group columns, ``n`` and a column ``p<percent>`` each.
+    """Percentiles of a sketch: group columns, ``n``, a column ``p<percent>`` each, and the bounds of the error.
+
+    A percentile is within ``relative_error`` of a value of that rank; values
+    smaller than ``zero_below`` are counted as zero.
 
     The rank read is floor(p / 100 * (n - 1)), counted from 0. An empty sketch
     gives no rows. The running count spans the buckets of a group only, whose
@@ -71,8 +78,8 @@ def read_percentiles(sketch: DataFrame, groups: list[str], percents: list[float]
     picks = []
     for p in percents:
         rank = F.floor(F.lit(p / 100.0) * (F.col("_all") - 1))
-        picks.append(F.round(F.min(F.when(F.col("_upto") > rank, value_of(F.col("bucket"), alpha))), 4).alias(f"p{p:g}".replace(".", "_")))
-    return rows.groupBy(*groups).agg(F.sum("n").alias("n"), *picks).withColumn("relative_error", F.lit(alpha))
+        picks.append(F.min(F.when(F.col("_upto") > rank, value_of(F.col("bucket"), alpha))).alias(f"p{p:g}".replace(".", "_")))
+    return rows.groupBy(*groups).agg(F.sum("n").alias("n"), *picks).withColumn("relative_error", F.lit(alpha)).withColumn("zero_below", F.lit(SMALLEST))
 
 
 def endpoint_name(column: Column) -> Column:
@@ -81,23 +88,44 @@ def endpoint_name(column: Column) -> Column:
     return F.when(column.isNull() | (name == ""), F.lit("unknown")).otherwise(name)
 
 
+def line_order(traces: DataFrame) -> Column:
+    """Place of a line by (dt, line_no) as one number; lines without a day or number come last."""
+    day = F.coalesce(F.datediff(F.expr("try_to_date(dt)"), F.lit("1970-01-01").cast("date")), F.lit(100_000)).cast("long")
+    return day * F.lit(LINES_A_DAY) + F.coalesce(F.col("line_no"), F.lit(LINES_A_DAY - 1))
+
+
 def span_values(traces: DataFrame) -> DataFrame:
     """One row per trace and span: trace_day, endpoint, span, ms.
 
     A trace_id counts once: of its lines, the first by (dt, line_no). Lines
     without trace_id are all kept, since nothing says that they are copies. The
-    day is that of the trace's own time, else the directory day.
+    day is that of the trace's own time, else the directory day. A line that is
+    repeated whole counts once; of two lines with one id and place, the larger
+    value of a span counts.
+
+    Only ids and places are shuffled to find the ids with several lines; the
+    timings of other lines stay where they are.
     """
-    line = F.struct("dt", "line_no")
-    body = F.struct(F.coalesce(F.to_date("trace_ts"), F.to_date("dt")).alias("trace_day"), endpoint_name(F.col("endpoint")).alias("endpoint"), F.col("timing_ms"))
-    rows = traces.select("trace_id", line.alias("_line"), body.alias("_body"))
-    named = rows.where("trace_id is not null").groupBy("trace_id").agg(F.min_by("_body", "_line").alias("_body")).select("_body.*")
-    nameless = rows.where("trace_id is null").select("_body.*")
-    return named.unionAll(nameless).select("trace_day", "endpoint", F.explode("timing_ms").alias("span", "ms"))
+    rows = traces.select(
+        "trace_id", line_order(traces).alias("_line"), F.coalesce(F.to_date("trace_ts"), F.expr("try_to_date(dt)")).alias("trace_day"), endpoint_name(F.col("endpoint")).alias("endpoint"), "timing_ms",
+    )
+    several = rows.where("trace_id is not null").groupBy("trace_id").agg(F.min("_line").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("trace_id", "_first")
+    several = cut(several)
+    if several.count() <= BROADCAST_IDS:
+        several = F.broadcast(several)
+    spans = ["trace_day", "endpoint", F.explode("timing_ms").alias("span", "ms")]
+    once = rows.join(several, "trace_id", "left_anti").select(*spans)
+    first = rows.join(several, "trace_id").where("_line = _first").select("trace_id", *spans)
+    first = first.groupBy("trace_id", "trace_day", "endpoint", "span").agg(F.max("ms").alias("ms")).drop("trace_id")
+    return once.unionByName(first)
 
 
 def daily_sketches(traces: DataFrame, alpha: float = 0.01) -> DataFrame:
-    """Sketch per day, endpoint and span: what is kept of each day and combined later."""
+    """Sketch per day, endpoint and span: what is kept of each day and combined later.
+
+    ``traces`` are the lines of all days at once: a sketch of one day's lines
+    alone would count a trace that another day repeats.
+    """
     return build_sketch(span_values(traces), ["trace_day", "endpoint", "span"], "ms", alpha)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, leakage, ocr_repair, packing, pii, quantiles, subjects
 from paperloom.session import table
@@ -45,8 +46,9 @@ def p3_daily_sketches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Latency percentiles per endpoint and span, from the days' sketches."""
-    return quantiles.latency_percentiles(table(spark, d, "trace_record"))
+    """Latency percentiles per endpoint and span, from the days' sketches, to nine digits, as two engines agree on no more."""
+    found = quantiles.latency_percentiles(table(spark, d, "trace_record"))
+    return found.withColumns({c: F.format_string("%.8e", c).cast("double") for c in found.columns if c[0] == "p"})
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +83,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_rules(spark: SparkSession, d: str) -> DataFrame:
     """The mined rules after pruning."""
-    return subjects.mine_rules(subjects.labelled_sentences(table(spark, d, "documents"), table(spark, d, "doc_subject_labels")))
+    chosen = subjects.chosen_labels(table(spark, d, "doc_subject_labels")).where("not held")
+    return subjects.mine_rules(subjects.labelled_sentences(table(spark, d, "documents"), chosen))
 
 
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +123,7 @@ buckets AS (
   FROM spans WHERE ms IS NOT NULL AND isfinite(ms))"""
 
 _PICK = ", ".join(
-    f"round(min(CASE WHEN upto > floor({p / 100} * (total - 1)) THEN CASE WHEN bucket = 0 THEN 0.0 ELSE sign(bucket) * (2 / (1.01::double / 0.99::double + 1)) * pow(1.01::double / 0.99::double, abs(bucket) - 1000000) END END), 4) AS p{p}"
+    f"printf('%.8e', min(CASE WHEN upto > floor({p / 100} * (total - 1)) THEN CASE WHEN bucket = 0 THEN 0.0 ELSE sign(bucket) * (2 / (1.01::double / 0.99::double + 1)) * pow(1.01::double / 0.99::double, abs(bucket) - 1000000) END END))::double AS p{p}"
     for p in (50, 75, 90, 95, 99)
 )
 
@@ -128,5 +131,5 @@ ORACLE_SQL: dict[str, str] = {
     "p3_daily_sketches": f"WITH {_SPANS} SELECT day AS trace_day, endpoint, span, bucket, count(*) AS n FROM buckets GROUP BY ALL",
     "p3_percentiles": f"""WITH {_SPANS}, counts AS (SELECT endpoint, span, bucket, count(*) AS n FROM buckets GROUP BY ALL),
       run AS (SELECT *, sum(n) OVER (PARTITION BY endpoint, span ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY endpoint, span) AS total FROM counts)
-      SELECT endpoint, span, sum(n)::bigint AS n, {_PICK}, 0.01::double AS relative_error FROM run GROUP BY endpoint, span""",
+      SELECT endpoint, span, sum(n)::bigint AS n, {_PICK}, 0.01::double AS relative_error, 1e-9::double AS zero_below FROM run GROUP BY endpoint, span""",
 }

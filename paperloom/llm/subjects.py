@@ -1,8 +1,11 @@
 """Subject areas of documents by class-association rules.
 
 Method: the sentences of hand-labelled documents are transactions of word stems
-and of the document's subjects. Parallel frequent-pattern growth finds the word
-sets that occur with a subject; a rule "words -> subject" has a calibrated
+and of the document's subjects. Parallel frequent-pattern growth finds the sets
+of one or two words that occur with a subject: the words of a transaction are
+ordered by frequency, each word's group gets the more frequent words before it
+(its conditional transactions), and the groups grow their sets by partial sums,
+to that length and no further. A rule "words -> subject" has a calibrated
 confidence: the lower bound of its rate, so a rule seen a few times counts less
 than one seen often. A pair of words makes a rule only if one of them points to
 the subject by itself, and is redundant unless it is surer than that word can be. Every
@@ -10,7 +13,8 @@ sentence of every document is scored by its matching rules, and a document has
 the subjects that more than one in twelve of its sentences are about.
 
 Fitting reads at most ``LABELLED_DOCUMENTS`` labelled documents (all of them up
-to that bound); scoring covers all documents, whole.
+to that bound): one in ``HELD_OUT`` to calibrate, the others to mine. Scoring
+covers all documents, whole.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from paperloom.session import cut, spread
 
@@ -35,7 +39,8 @@ LEAST_LIFT = 1.6  # of a word, to take part in rules
 LEAST_CONFIDENCE = 0.1
 Z = 1.6  # standard errors from the rate at which its bounds are taken
 CUTS = (0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85)
-MOST_RULES = 500_000  # checked before the rules are broadcast
+HELD_OUT = 5  # one in so many labelled documents is kept from mining, to calibrate on
+MOST_RULES = 400_000  # rules that are broadcast: the surest of each subject, each subject an equal share
 
 # Korean particles that are taken off a word.
 PARTICLES = "으로부터 에서는 에게서 으로서 이라는 에는 에서 에게 까지 부터 으로 로서 이나 이며 처럼 보다 마다 하고 에만 은 는 이 가 을 를 의 에 와 과 로 도 만 나".split()
@@ -118,15 +123,20 @@ def sentence_words(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, sentence_no int, words array<string>")
 
 
-def labelled_sentences(documents: DataFrame, labels: DataFrame, most: int = LABELLED_DOCUMENTS) -> DataFrame:
-    """Sentences of labelled documents: doc_id, sentence_no, words, subjects.
+def chosen_labels(labels: DataFrame, most: int = LABELLED_DOCUMENTS) -> DataFrame:
+    """doc_id, subjects (sorted) and held (kept from mining) of the labelled documents that fitting reads.
 
     Repeated labels count once; labels without subject or document are left out.
     """
-    per_doc = labels.where("doc_id is not null and subject_code is not null").groupBy("doc_id").agg(F.collect_set("subject_code").alias("subjects"))
+    per_doc = labels.where("doc_id is not null and subject_code is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject_code")).alias("subjects"))
     chosen = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return chosen.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD_OUT)) == 0)
+
+
+def labelled_sentences(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Sentences of labelled documents: doc_id, sentence_no, words, subjects."""
     texts = spread(documents.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id", "left_semi")
-    return sentence_words(texts).join(F.broadcast(chosen), "doc_id")
+    return sentence_words(texts).join(F.broadcast(chosen.select("doc_id", "subjects")), "doc_id")
 
 
 def bound(k: Column, n: Column, z: float) -> Column:
@@ -149,23 +159,22 @@ def mine_rules(rows: DataFrame) -> DataFrame:
         pairs.join(counts, "word").join(F.broadcast(share), "subject")
         .where((F.col("k") >= LEAST_SUPPORT) & (F.col("k") / F.col("n") >= LEAST_LIFT * F.col("share"))).select("word").distinct()
     )
-    items = (
-        rows.select("doc_id", "sentence_no", "subjects", F.explode("words").alias("word")).join(telling, "word")
-        .groupBy("doc_id", "sentence_no").agg(F.sort_array(F.collect_set("word")).alias("words"), F.first("subjects").alias("subjects"))
-        .select(F.concat("words", F.transform("subjects", lambda s: F.concat(F.lit("\0"), s))).alias("items"))
+    ranked = counts.join(telling, "word").select("word", F.struct(-F.col("n"), "word").alias("rank"))
+    transactions = (
+        rows.select("doc_id", "sentence_no", "subjects", F.explode("words").alias("word")).join(ranked, "word")
+        .groupBy("doc_id", "sentence_no").agg(F.sort_array(F.collect_set("rank")).alias("ranks"), F.first("subjects").alias("subjects"))
+        .select(F.col("ranks.word").alias("words"), "subjects")
     )
-    kept = items.count()
-    if not kept:
-        return rows.sparkSession.createDataFrame([], "words array<string>, subject string, support long, confidence double")
-    growth = FPGrowth(itemsCol="items", minSupport=min(1.0, (LEAST_SUPPORT - 0.5) / max(kept, 1)), minConfidence=1.0)
-    sets = growth.fit(items).freqItemsets
-    head = F.filter("items", lambda x: x.startswith("\0"))
-    body = F.sort_array(F.filter("items", lambda x: ~x.startswith("\0")))
-    sets = sets.select(head.alias("head"), body.alias("words"), "freq").where("size(words) between 1 and 2 and size(head) <= 1")
-    bodies = sets.where("size(head) = 0").select("words", F.col("freq").alias("n"))
+    # each word with each more frequent one before it, and alone
+    grown = transactions.select("words", "subjects", F.posexplode("words").alias("at", "last"))
+    grown = grown.select("subjects", "last", F.explode(F.concat(F.slice("words", 1, F.col("at")), F.array(F.lit(None).cast("string")))).alias("other"))
+    sets = grown.groupBy("last", "other").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SUPPORT)
+    with_head = grown.select("last", "other", F.explode("subjects").alias("subject")).groupBy("last", "other", "subject").agg(F.count("*").alias("support"))
+    with_head = with_head.where(F.col("support") >= LEAST_SUPPORT)
+    named = lambda df: df.withColumn("words", F.sort_array(F.array_compact(F.array("last", "other")))).drop("last", "other")
+    bodies = named(sets)
     rules = (
-        sets.where("size(head) = 1").select("words", F.substring(F.col("head")[0], 2, 1000).alias("subject"), F.col("freq").alias("support"))
-        .join(bodies, "words").join(F.broadcast(share), "subject")
+        named(with_head).join(bodies, "words").join(F.broadcast(share), "subject")
         .withColumn("confidence", bound(F.col("support"), F.col("n"), -Z))
         .withColumn("upper", bound(F.col("support"), F.col("n"), Z))
         .where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("confidence") >= LEAST_LIFT * F.col("share")))
@@ -275,25 +284,31 @@ def _score(documents: DataFrame, rules: list, cuts: tuple[float, ...]) -> DataFr
     return rows.mapInArrow(run, "doc_id long, cut_no int, subject_code string")
 
 
-def calibrate(documents: DataFrame, labels: DataFrame, rules: list, most: int = LABELLED_DOCUMENTS) -> float:
-    """The sureness, out of ``CUTS``, that agrees best (F1) with the labels of the labelled documents."""
-    truth = labels.where("doc_id is not null and subject_code is not null").select("doc_id", "subject_code").distinct()
-    chosen = truth.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = spread(documents.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id", "left_semi")
+def calibrate(documents: DataFrame, held: DataFrame, rules: list) -> float:
+    """The sureness, out of ``CUTS``, that agrees best (F1) with the labels of documents that the rules were not mined from."""
+    truth = held.select("doc_id", F.explode("subjects").alias("subject_code"))
+    texts = spread(documents.select("doc_id", "text")).join(F.broadcast(held.select("doc_id")), "doc_id", "left_semi")
     scored = _score(texts, rules, CUTS)
-    told = truth.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("right", F.lit(1))
-    sums = scored.join(told, ["doc_id", "subject_code"], "left").groupBy("cut_no").agg(F.count("*").alias("n"), F.count("right").alias("right")).collect()
-    n = told.count()
+    sums = scored.join(F.broadcast(truth.withColumn("right", F.lit(1))), ["doc_id", "subject_code"], "left").groupBy("cut_no").agg(F.count("*").alias("n"), F.count("right").alias("right")).collect()
+    n = truth.count()
     f1 = {r["cut_no"]: 2 * r["right"] / (r["n"] + n) for r in sums}
     return CUTS[max(f1, key=lambda k: (f1[k], k))] if f1 else CUTS[len(CUTS) // 2]
 
 
-def fit_rules(documents: DataFrame, labels: DataFrame) -> list[tuple[list[str], str, float]]:
-    """The pruned rules on the driver; their number is bounded by the labelled sample and checked."""
-    rules = mine_rules(labelled_sentences(documents, labels)).limit(MOST_RULES + 1).collect()
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules; raise LEAST_SUPPORT")
-    return [(r["words"], r["subject"], r["confidence"]) for r in rules]
+def surest(rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """The surest rules of each subject, each subject an equal share of ``most``; all where they are fewer."""
+    n = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("confidence"), F.desc("support"), "words"))
+    share = rules.select(F.col("subject").alias("_s")).distinct().agg(F.count("*").alias("_of"))
+    ranked = rules.withColumn("_n", n).crossJoin(F.broadcast(share))
+    return ranked.where(F.col("_n") <= F.floor(F.lit(most) / F.col("_of"))).select(*rules.columns)
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> tuple[list[tuple[list[str], str, float]], float]:
+    """The pruned rules on the driver, at most ``MOST_RULES``, and the sureness from which a sentence is about a subject."""
+    chosen = cut(chosen_labels(labels))
+    rules = cut(mine_rules(labelled_sentences(documents, chosen.where("not held"))))
+    kept = [(r["words"], r["subject"], r["confidence"]) for r in surest(rules).collect()]
+    return kept, calibrate(documents, chosen.where("held"), kept)
 
 
 def assign_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -302,8 +317,7 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -
     Null, empty and wordless texts have no subject; repeated rows give one row
     per subject; a subject that ``areas`` lacks is not given.
     """
-    rules = fit_rules(documents, labels)
-    sure = calibrate(documents, labels, rules)
+    rules, sure = fit(documents, labels)
     found = _score(spread(documents.select("doc_id", "text")), rules, (sure,)).select("doc_id", "subject_code").distinct()
     return found.join(F.broadcast(areas.select("subject_code").distinct()), "subject_code", "left_semi").select("doc_id", "subject_code")
 

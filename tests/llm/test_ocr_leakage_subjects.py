@@ -267,7 +267,14 @@ def test_rules_and_subjects(spark):
     right = sum(got.get(i, set()) == truth[i] for i in range(80, 160))
     assert right >= 78
     assert not {900, 901, 902, 903, 904, 905} & set(got)
-    rules = subjects.mine_rules(subjects.labelled_sentences(frame, labels)).collect()
+    rows = subjects.labelled_sentences(frame, subjects.chosen_labels(labels))
+    mined = subjects.mine_rules(rows)
+    rules = mined.collect()
+    transactions = [(set(r["words"]), set(r["subjects"])) for r in rows.dropDuplicates(["words", "subjects"]).collect()]
+    for r in rules:  # brute force
+        assert r["support"] == sum(set(r["words"]) <= w and r["subject"] in s for w, s in transactions)
+    top = subjects.surest(mined, 9).collect()
+    assert {s: sum(r["subject"] == s for r in top) for s in terms} == {s: 3 for s in terms}
     assert all(len(r["words"]) <= 2 and 0 < r["confidence"] <= 1 for r in rules)
     assert {r["subject"] for r in rules if r["words"] == ["판결"]} == {"law"}
     assert subjects.assign_subjects(frame, labels.limit(0), areas).count() == 0 and subjects.assign_subjects(frame.limit(0), labels, areas).count() == 0
