@@ -14,28 +14,46 @@ RETRY_BELOW = 0.3
 SIGNALS = ("up", "down", "reformulated")
 
 
-def percentile_columns(value: str, percents: tuple[int, ...] = PERCENTS) -> list[Column]:
-    """Aggregates for ``with_percentiles``: the count, the values of a small group, and exact percentiles."""
-    v = F.col(value)
-    return [F.count(v).alias("_n"), *[F.percentile(v, F.lit(p / 100)).alias(f"_p{p}") for p in percents]]
+def _octave(value: Column) -> Column:
+    """Bucket of a number, a few hundred for usual ranges; its order is that of the values."""
+    size = F.floor(F.log2(F.abs(value)) * 32) + 100_000
+    return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("int")
 
 
 def grouped_percentiles(df: DataFrame, groups: list[str], value: str, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
-    """Percentiles of a column per group: n and p<percent>, rounded to 4 places.
+    """Exact percentiles of a column per group: n and p<percent>, rounded to 4 places.
 
     Groups of 100 values or more interpolate between ranks; smaller ones take
-    the value at place int(n * p / 100), counted from 0. Null values do not count.
+    the value at place int(n * p / 100), counted from 0. Null and NaN do not
+    count. Equal values are counted first; ranks are found in the running
+    counts of coarse buckets, then inside the buckets that hold them, so no
+    task holds the values of a group.
     """
-    rows = df.where(F.col(value).isNotNull())
-    sized = rows.groupBy(*groups).agg(*percentile_columns(value, percents))
-    order = Window.partitionBy(*groups).orderBy(value)
-    small = rows.join(F.broadcast(sized.where("_n < 100").select(*groups, "_n")), groups) if groups else rows.crossJoin(F.broadcast(sized.where("_n < 100").select("_n")))
-    placed = small.withColumn("_at", F.row_number().over(order) - 1)
-    at = [F.max(F.when(F.col("_at") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * p / 100)), F.col(value))).alias(f"_s{p}") for p in percents]
-    picked = placed.groupBy(*groups).agg(*at)
-    both = sized.join(picked, groups, "left") if groups else sized.join(picked, F.lit(True), "left")
-    out = [F.round(F.when(F.col("_n") < 100, F.col(f"_s{p}")).otherwise(F.col(f"_p{p}")), 4).alias(f"p{p}") for p in percents]
-    return both.select(*groups, F.col("_n").alias("n"), *out)
+    v = F.col(value).cast("double")
+    keys = groups or ["_all"]
+    rows = df.withColumn("_all", F.lit(0)) if not groups else df
+    counts = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c")).withColumn("_b", _octave(F.col("_v")))
+    sums = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+    upto = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumn("_below", upto - F.col("_s")).withColumn("_n", F.sum("_s").over(Window.partitionBy(*keys)))
+    n, wanted = F.col("_n"), []
+    for p in percents:
+        exact = F.lit(p / 100) * (n - 1)
+        small = F.least(n - 1, F.floor(n * p / 100))
+        for side, rank in (("lo", F.floor(exact)), ("hi", F.ceil(exact))):
+            wanted.append(F.struct(F.lit(f"{side}{p}").alias("name"), F.when(n < 100, small).otherwise(rank).alias("rank")))
+    here = lambda low, size: F.filter(F.array(*wanted), lambda w: (w["rank"] >= low) & (w["rank"] < low + size))
+    held = sums.withColumn("_wanted", here(F.col("_below"), F.col("_s"))).where("size(_wanted) > 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_at"), "_below", "_n", "_wanted")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    inside = counts.join(held, [*same, F.col("_b") == F.col("_at")])
+    run = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("_low", F.col("_below") + run - F.col("_c"))
+    found = inside.select(*keys, "_n", "_v", F.explode(F.filter("_wanted", lambda w: (w["rank"] >= F.col("_low")) & (w["rank"] < F.col("_low") + F.col("_c")))).alias("_w"))
+    pick = lambda name: F.max(F.when(F.col("_w.name") == name, F.col("_v")))
+    picked = found.groupBy(*keys, "_n").agg(*[pick(f"{side}{p}").alias(f"_{side}{p}") for p in percents for side in ("lo", "hi")])
+    part = lambda p: F.when(n < 100, 0.0).otherwise(F.lit(p / 100) * (n - 1) - F.floor(F.lit(p / 100) * (n - 1)))
+    out = [F.round(F.col(f"_lo{p}") + (F.col(f"_hi{p}") - F.col(f"_lo{p}")) * part(p), 4).alias(f"p{p}") for p in percents]
+    return picked.select(*groups, n.alias("n"), *out)
 
 
 def histogram(df: DataFrame, value: str) -> DataFrame:
@@ -108,6 +126,12 @@ def latencies(traces: DataFrame) -> DataFrame:
     return grouped_percentiles(spans, ["span"], "ms", (50, 95))
 
 
+def daily_latencies(traces: DataFrame) -> DataFrame:
+    """p50 and p95 of each named span per directory day."""
+    spans = traces.select("dt", F.explode("timing_ms").alias("span", "ms")).where(F.col("span").isin(*SPANS))
+    return grouped_percentiles(spans, ["dt", "span"], "ms", (50, 95))
+
+
 def errors(traces: DataFrame) -> DataFrame:
     """Requests per error type."""
     return traces.where("error is not null").groupBy(F.coalesce("error.type", F.lit("?")).alias("type")).agg(F.count("*").alias("n"))
