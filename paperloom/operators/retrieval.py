@@ -1,8 +1,9 @@
 """Retrieval over tables: filters, exact vector search, BM25, rank fusion, reranking.
 
-Queries are a table too. Vector search goes over all rows once per block of
-queries, which is broadcast and whose size is fixed; each task keeps the best k
-of its rows per query before anything is shuffled.
+Queries are a table too. A search goes over all rows once per block of queries,
+which is broadcast and whose size is fixed. Rows are scored a batch at a time,
+and a task keeps the best k of its rows per query, so that what is shuffled does
+not grow with the pairs of rows and queries that have something in common.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK = 4096  # queries of one pass
-BROADCAST_TERMS = 100_000  # distinct query terms that may be broadcast; more are joined by shuffle
+from paperloom.session import cut
+
+QUERY_BLOCK = 2048  # queries of one pass
+ROW_BLOCK = 1024  # rows that are scored at a time
 RRF_K, K1, B = 60, 1.2, 0.75
+FILTER = "struct<service_code:string,document_id:string,start_page:int,end_page:int,include_keywords:array<string>,exclude_keywords:array<string>>"
 
 
 def build_filter(
@@ -49,50 +54,78 @@ def best(df: DataFrame, by: list[str], order: list[Column], k: int | Column, nam
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
+class _Best:
+    """The best k rows of each query of a block, ties by row id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.q, self.r = k, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.s = np.zeros(0)
+        self.least = np.full(queries, -np.inf)  # score of the k-th row, once there are k
+
+    def add(self, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> None:
+        """Take in scored pairs of query number and row id."""
+        q, r, s = np.r_[self.q, q], np.r_[self.r, r], np.r_[self.s, s]
+        order = np.lexsort((r, -s, q))
+        q, r, s = q[order], r[order], s[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        kept = place < self.k
+        self.q, self.r, self.s, place = q[kept], r[kept], s[kept], place[kept]
+        last = place == self.k - 1
+        self.least[self.q[last]] = self.s[last]
+
+    def rows(self, ids: np.ndarray) -> pa.RecordBatch:
+        """The pairs as a batch: q (query id), r, score."""
+        return pa.RecordBatch.from_arrays([pa.array(ids[self.q], pa.int64()), pa.array(self.r, pa.int64()), pa.array(self.s, pa.float64())], names=["q", "r", "score"])
+
+
+def _vectors(lists: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the lists of a given length that have a direction."""
+    at = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(lists), size), False).to_numpy(zero_copy_only=False))
+    m = lists.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), size)
+    norm = np.linalg.norm(m, axis=1) if size else np.zeros(len(at))
+    good = norm > 0
+    return at[good], m[good] / norm[good, None]
+
+
 def dense_topk(queries: DataFrame, rows: DataFrame, k: int = 10, query_id: str = "query_id", row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exact cosine neighbours: query_id, row_id, score, rank (ties by row id).
 
-    All rows are searched for every query. Null and zero vectors have no
-    direction and are left out on both sides; vectors of another length than
-    the queries' are too.
+    All rows are searched for every query. Null and zero vectors, and vectors
+    with a null in them, have no direction and are left out on both sides; a
+    query meets rows of its own length.
     """
     ready = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    total = ready.count()
-    blocks = max(1, math.ceil(total / QUERY_BLOCK))
+    blocks = max(1, math.ceil(ready.count() / QUERY_BLOCK))
     context = queries.sparkSession.sparkContext
     base = rows.where(F.col(vector).isNotNull()).select(F.col(row_id).cast("long").alias("r"), F.col(vector).cast("array<double>").alias("v"))
 
     def search(block: int) -> DataFrame:
-        part = ready.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect()
-        size = len(part[0]["v"]) if part else 0
-        part = [p for p in part if len(p["v"]) == size]
-        matrix = np.array([p["v"] for p in part], dtype=np.float64).reshape(len(part), size)
-        norm = np.linalg.norm(matrix, axis=1) if size else np.zeros(0)
-        keep = norm > 0
-        shared = context.broadcast((np.array([p["q"] for p in part], dtype=np.int64)[keep], matrix[keep] / norm[keep, None]))
+        part = ready.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        ids, groups = part.column("q").to_numpy(), []
+        lists = part.column("v").combine_chunks()
+        for size in sorted(x for x in pc.unique(pc.list_value_length(lists)).to_pylist() if x):
+            at, unit = _vectors(lists, size)
+            groups.append((size, ids[at], unit))
+        shared = context.broadcast(groups)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, unit = shared.value
-            top_s = np.full((len(ids), 0), -np.inf)
-            top_r = np.zeros((len(ids), 0), dtype=np.int64)
+            best = [_Best(len(q), k) for _, q, _ in shared.value]
             for batch in batches:
-                got = [(r, v) for r, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(v) == unit.shape[1]]
-                if not got or not len(ids):
-                    continue
-                m = np.array([v for _, v in got], dtype=np.float64)
-                n = np.linalg.norm(m, axis=1)
-                m, r = m[n > 0] / n[n > 0, None], np.array([x for x, _ in got], dtype=np.int64)[n > 0]
-                s = np.hstack([top_s, unit @ m.T])
-                r = np.hstack([top_r, np.broadcast_to(r, (len(ids), len(r)))])
-                order = np.lexsort((r, -np.round(s, 12)), axis=1)[:, :k]
-                top_s, top_r = np.take_along_axis(s, order, 1), np.take_along_axis(r, order, 1)
-            n = top_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(top_r.ravel()), pa.array(top_s.ravel())], names=["q", "r", "score"])
+                for a in range(0, batch.num_rows, ROW_BLOCK):
+                    r, lists = batch.column(0).slice(a, ROW_BLOCK).to_numpy(), batch.column(1).slice(a, ROW_BLOCK)
+                    for (size, _, unit), top in zip(shared.value, best):
+                        at, m = _vectors(lists, size)
+                        s = np.round(unit @ m.T, 9)
+                        i, j = np.nonzero(s >= top.least[:, None])
+                        top.add(i, r[at[j]], s[i, j])
+            for (_, q, _), top in zip(shared.value, best):
+                yield top.rows(q)
 
         return base.mapInArrow(run, "q long, r long, score double")
 
     found = reduce(DataFrame.unionAll, [search(b) for b in range(blocks)])
-    top = best(found.withColumn("score", F.round("score", 9)), ["q"], [F.desc("score"), F.asc("r")], k)
+    top = best(found, ["q"], [F.desc("score"), F.asc("r")], k)
     return top.select(F.col("q").alias("query_id"), F.col("r").alias("row_id"), "score", "rank")
 
 
@@ -101,34 +134,131 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(rows: DataFrame, row_id: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
-    """term, row_id, tf, len: the sparse index of a table, for the wanted terms only where they are given."""
-    words = rows.select(F.col(row_id).cast("long").alias("row_id"), terms(F.col(text)).alias("t"))
-    each = words.select("row_id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    if wanted is not None:
-        each = each.join(wanted, "term", "left_semi")
-    return each.groupBy("term", "row_id", "len").agg(F.count("*").alias("tf"))
+def postings(rows: DataFrame, wanted: list[str], kept: list[str]) -> DataFrame:
+    """row_id, len, codes, tf and the ``kept`` columns of rows with ``row_id`` and ``t`` (terms).
+
+    ``codes`` are the places in ``wanted`` of the terms that a row has, ``tf``
+    how often it has each.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
+    schema = f"row_id long, len int, codes array<int>, tf array<int>, {', '.join(f'{c} {rows.schema[c].dataType.simpleString()}' for c in kept)}".rstrip(", ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(shared.value, pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            size = pc.list_value_length(lists).to_numpy()
+            code = pc.index_in(lists.flatten().cast(pa.string()), value_set=values)
+            owner = np.repeat(np.arange(len(size)), size)
+            known = code.is_valid().to_numpy(zero_copy_only=False)
+            pair = owner[known] * len(values) + code.drop_null().to_numpy()
+            pair, tf = np.unique(pair, return_counts=True)
+            offsets = pa.array(np.searchsorted(pair, np.arange(len(size) + 1) * len(values)), pa.int32())
+            codes, tfs = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (pair % max(1, len(values)), tf))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), codes, tfs, *batch.columns[2:]], names=["row_id", "len", "codes", "tf", *kept])
+
+    return rows.select("row_id", "t", *kept).mapInArrow(run, schema)
+
+
+class _Asked:
+    """A block of queries as arrays: ids, (term, query) pairs by term, and what filters ask."""
+
+    def __init__(self, pairs: list[tuple[int, str]], filters: dict[int, dict]):
+        self.ids = np.array(sorted({q for q, _ in pairs}), dtype=np.int64)
+        self.terms = sorted({t for _, t in pairs})
+        place = {t: i for i, t in enumerate(self.terms)}
+        by_term: list[list[int]] = [[] for _ in self.terms]
+        for q, t in pairs:
+            by_term[place[t]].append(int(np.searchsorted(self.ids, q)))
+        self.by_term = [np.array(sorted(set(x)), dtype=np.int64) for x in by_term]
+        asked = [filters.get(int(q)) or {} for q in self.ids]
+        self.equal = {c: np.array([f.get(c) or "" for f in asked], dtype=object) for c in ("service_code", "document_id")}
+        self.low = np.array([np.nan if f.get("start_page") is None else f["start_page"] for f in asked], dtype=float)
+        self.high = np.array([np.nan if f.get("end_page") is None else f["end_page"] for f in asked], dtype=float)
+        self.words = [([w for w in f.get("include_keywords") or [] if w], [w for w in f.get("exclude_keywords") or [] if w]) for f in asked]
+        self.worded = np.array([bool(a or b) for a, b in self.words], dtype=bool)
+
+    def allowed(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+        """Queries by rows: whether the row meets the query's conditions but for words."""
+        ok = np.ones((len(self.ids), len(rows["start_page"])), dtype=bool)
+        for c, wanted in self.equal.items():
+            for value in set(wanted.tolist()) - {""}:
+                ok[np.ix_(wanted == value, rows[c] != value)] = False
+        with np.errstate(invalid="ignore"):
+            ok &= np.isnan(self.low)[:, None] | (rows["start_page"][None, :] >= self.low[:, None])
+            ok &= np.isnan(self.high)[:, None] | (rows["end_page"][None, :] <= self.high[:, None])
+        return ok
+
+    def has_words(self, i: np.ndarray, j: np.ndarray, texts: list[str | None]) -> np.ndarray:
+        """For pairs of query and row: whether the row has the words asked for and none of those refused."""
+        ok = np.ones(len(i), dtype=bool)
+        for at in np.flatnonzero(self.worded[i]):
+            include, exclude = self.words[i[at]]
+            text = texts[j[at]]
+            ok[at] = text is not None and all(w in text for w in include) and not any(w in text for w in exclude)
+        return ok
 
 
 def bm25_topk(queries: DataFrame, rows: DataFrame, k: int = 10, row_id: str = "id", text: str = "content", avg_len: float | None = None) -> DataFrame:
     """BM25 of every query against every row: query_id, row_id, score, rank (ties by row id).
 
-    ``queries`` has query_id and query. Terms that a query repeats count once.
-    Length and frequencies are those of all rows; ``avg_len`` overrides the mean.
+    ``queries`` has query_id, query and optionally ``filter``, a struct like
+    ``FILTER`` whose conditions a hit must meet (as in ``build_filter``). Terms
+    that a query repeats count once. Length and frequencies are those of all
+    rows; ``avg_len`` overrides the mean. Rows are taken apart into terms once
+    per block of queries.
     """
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    hits = postings(rows, row_id, text, wanted)
-    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    sizes = rows.select(F.size(terms(F.col(text))).alias("len")).agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    mean = F.lit(float(avg_len)) if avg_len else F.greatest(F.coalesce("mean", F.lit(1.0)), F.lit(1e-9))
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    weighted = hits.join(frequency, "term").crossJoin(F.broadcast(sizes)).select("term", "row_id", weight.alias("w"))
-    scored = asked.join(weighted, "term").groupBy("query_id", "row_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return best(scored, ["query_id"], [F.desc("score"), F.asc("row_id")], k).select("query_id", "row_id", "score", "rank")
+    filtered = "filter" in queries.columns
+    extra = ["service_code", "document_id", "start_page", "end_page"] if filtered else []
+    ready = queries.select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct(terms(F.col("query"))).alias("t"), *(["filter"] if filtered else []))
+    blocks = max(1, math.ceil(ready.count() / QUERY_BLOCK))
+    context = queries.sparkSession.sparkContext
+    split = rows.select(F.col(row_id).cast("long").alias("row_id"), terms(F.col(text)).alias("t"), *extra, *([F.col(text).alias("_text")] if filtered else []))
+
+    def search(block: int) -> DataFrame:
+        part = ready.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        asked = _Asked([(r["query_id"], t) for r in part for t in r["t"]], {r["query_id"]: r["filter"].asDict() for r in part if r["filter"]} if filtered else {})
+        index = cut(postings(split, asked.terms, [*extra, *(["_text"] if filtered else [])]))
+        whole = index.agg(F.count("*").alias("docs"), F.avg("len").alias("mean")).first()
+        df = np.zeros(len(asked.terms))
+        for r in index.select(F.explode("codes").alias("c")).groupBy("c").count().collect():  # at most the terms of the block
+            df[r["c"]] = r["count"]
+        mean = max(avg_len or whole["mean"] or 1.0, 1e-9)
+        shared = context.broadcast((asked, np.log((whole["docs"] - df + 0.5) / (df + 0.5) + 1), filtered))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, idf, by_filter = shared.value
+            top = _Best(len(asked.ids), k)
+            for batch in batches:
+                for a in range(0, batch.num_rows, ROW_BLOCK):
+                    piece = batch.slice(a, ROW_BLOCK)
+                    r, size = piece.column(0).to_numpy(), piece.column(1).to_numpy()
+                    lists = piece.column(2)
+                    code, tf = lists.flatten().to_numpy(), piece.column(3).flatten().to_numpy()
+                    owner = np.repeat(np.arange(len(r)), pc.list_value_length(lists).to_numpy())
+                    weight = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / mean))
+                    score = np.zeros((len(asked.ids), len(r)))
+                    order = np.argsort(code, kind="stable")
+                    code, owner, weight = code[order], owner[order], weight[order]
+                    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else []
+                    for x, y in zip(starts, [*starts[1:], len(code)]):
+                        score[np.ix_(asked.by_term[code[x]], owner[x:y])] += weight[x:y]
+                    score = np.round(score, 6)
+                    if by_filter:
+                        attributes = {c: np.array(piece.column(4 + n).to_pylist(), dtype=object if n < 2 else float) for n, c in enumerate(("service_code", "document_id", "start_page", "end_page"))}
+                        score[~asked.allowed(attributes)] = 0
+                    i, j = np.nonzero((score > 0) & (score >= top.least[:, None]))
+                    if by_filter:
+                        ok = asked.has_words(i, j, piece.column(8).to_pylist())
+                        i, j = i[ok], j[ok]
+                    top.add(i, r[j], score[i, j])
+            yield top.rows(asked.ids)
+
+        return index.where("size(codes) > 0").mapInArrow(run, "q long, r long, score double")
+
+    found = reduce(DataFrame.unionAll, [search(b) for b in range(blocks)])
+    top = best(found, ["q"], [F.desc("score"), F.asc("r")], k)
+    return top.select(F.col("q").alias("query_id"), F.col("r").alias("row_id"), "score", "rank")
 
 
 def fuse(lists: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:

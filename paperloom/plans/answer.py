@@ -12,31 +12,58 @@ from paperloom.operators import context, retrieval, verify
 from paperloom.session import cut
 
 
+PREFETCH, DEEPEST = 3, 8  # hits that are reranked and hits of a list at most, as multiples of k
+
+
 def prepare(requests: DataFrame) -> DataFrame:
-    """Guarded and routed requests: query_id, query, kinds and threats found, route. ``requests`` has query_id and a request struct."""
+    """Guarded and routed requests: query_id, query, filter, kinds and threats found, route. ``requests`` has query_id and a request struct."""
     safe = guards.guard_request(F.col("request.query"), F.col("request.include_keywords"), F.col("request.exclude_keywords"))
-    rows = requests.select("query_id", safe.alias("g")).select("query_id", "g.query", "g.include_keywords", "g.exclude_keywords", "g.pii_kinds", "g.threats")
-    return rows.withColumn("route", routing.classify(F.col("query")))
+    rows = requests.select("query_id", "request", safe.alias("g"))
+    has = requests.schema["request"].dataType.names
+    conditions = [F.col(f"request.{c}") if c in has else F.lit(None) for c in ("service_code", "document_id", "start_page", "end_page")]
+    asked = F.struct(*conditions, "g.include_keywords", "g.exclude_keywords")
+    return rows.select("query_id", "g.query", asked.cast(retrieval.FILTER).alias("filter"), "g.pii_kinds", "g.threats").withColumn("route", routing.classify(F.col("query")))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 10, score: Callable[[Column, Column], Column] = retrieval.overlap_score) -> DataFrame:
-    """Hits of queries: words and (where given) vectors, fused and reranked: query_id, row_id, score, rank."""
-    deep = 3 * k
-    lists = [retrieval.bm25_topk(queries, chunks, deep)]
+def _fused(queries: DataFrame, chunks: DataFrame, k: int, vectors: DataFrame | None, query_vectors: DataFrame | None) -> DataFrame:
+    """Word and vector lists, each as deep as the query's route says, fused."""
+    depth = queries.select("query_id", F.col("route.bm25_factor").alias("_words"), F.col("route.dense_factor").alias("_vectors"))
+    lists = [(retrieval.bm25_topk(queries, chunks, DEEPEST * k), "_words")]
     if vectors is not None and query_vectors is not None:
-        lists.append(retrieval.dense_topk(query_vectors, vectors, deep))
-    return retrieval.rerank(retrieval.fuse(lists, deep), queries, chunks, k, "id", "content", score)
+        lists.append((retrieval.dense_topk(query_vectors, vectors, DEEPEST * k), "_vectors"))
+    cut_lists = [x.join(depth, "query_id").where(F.col("rank") <= F.col(factor) * k).select("query_id", "row_id", "score", "rank") for x, factor in lists]
+    return retrieval.fuse(cut_lists, PREFETCH * k)
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 10, score: Callable[[Column, Column], Column] = retrieval.overlap_score) -> DataFrame:
+    """Hits of routed queries: words and (where given) vectors, fused and reranked: query_id, row_id, score, rank."""
+    return retrieval.rerank(_fused(queries, chunks, k, vectors, query_vectors), queries, chunks, k, "id", "content", score)
 
 
-def compare(queries: DataFrame, chunks: DataFrame, k: int = 10, score: Callable[[Column, Column], Column] = retrieval.overlap_score) -> DataFrame:
-    """Hits of comparisons: each side is searched alone, hits are united by first sight and reranked with the whole query."""
-    sides = queries.select("query_id", "query", F.posexplode(routing.decompose(F.col("query"))).alias("sub_no", "part"))
-    parts = sides.select((F.col("query_id") * 2 + F.col("sub_no")).alias("query_id"), F.col("part").alias("query"))
-    hits = retrieval.bm25_topk(parts, chunks, max(k // 2, 3))
-    hits = hits.select(F.floor(F.col("query_id") / 2).alias("query_id"), F.pmod("query_id", F.lit(2)).alias("sub_no"), "row_id", "rank")
+def compare(queries: DataFrame, chunks: DataFrame, k: int = 10, vectors: DataFrame | None = None, side_vectors: DataFrame | None = None, score: Callable[[Column, Column], Column] = retrieval.overlap_score) -> DataFrame:
+    """Hits of comparisons: each side is searched alone in both lists, hits are united by first sight and reranked with the whole query.
+
+    ``side_vectors`` has query_id, sub_no and embedding.
+    """
+    sides = queries.select("*", F.posexplode(routing.decompose(F.col("query"))).alias("sub_no", "part"))
+    parts = sides.select((F.col("query_id") * 2 + F.col("sub_no")).alias("query_id"), F.col("part").alias("query"), "route", *[c for c in ("filter",) if c in queries.columns])
+    if side_vectors is not None:
+        side_vectors = side_vectors.select((F.col("query_id") * 2 + F.col("sub_no")).alias("query_id"), "embedding")
+    hits = _fused(parts, chunks, max(k // 2, 3), vectors, side_vectors)
+    hits = hits.select(F.shiftright("query_id", 1).alias("query_id"), F.col("query_id").bitwiseAND(1).alias("sub_no"), "row_id", "rank")
     return retrieval.rerank(retrieval.first_seen(hits), queries, chunks, k, "id", "content", score)
 
 
+def search(queries: DataFrame, chunks: DataFrame, k: int = 10, rewrite: Callable[[Column, int], Column] | None = None) -> DataFrame:
+    """Hits of prepared requests: comparisons side by side, others whole, and again with a rewritten query where the best score is low."""
+
+    def once(asked: DataFrame) -> DataFrame:
+        two = (F.col("route.query_type") == "comparison") & routing.decompose(F.col("query")).isNotNull()
+        return compare(asked.where(two), chunks, k).unionByName(retrieve(asked.where(~F.coalesce(two, F.lit(False))), chunks, k=k))
+
+    return once(queries) if rewrite is None else retrieval.retry(queries, once, rewrite)
+
+
 def contexts(hits: DataFrame, chunks: DataFrame, tokens: int) -> DataFrame:
     """Context of each query: sections around its hits, cut to a budget: query_id, context, truncated."""
     body = chunks.select(F.col("id").cast("long").alias("row_id"), "service_code", "document_id", "heading_path", "part_index", "part_total", "content")

@@ -371,7 +371,14 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse([dense, sparse], 10)
 
 
-@query()
+_RERANKED = """, fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS place FROM (SELECT query_id, row_id, round(sum(1.0::double / (60 + rank)), 9) AS score FROM (
+    SELECT query_id, row_id, rank FROM dn WHERE rank <= 24 UNION ALL SELECT query_id, row_id, rank FROM bm WHERE rank <= 24) GROUP BY 1, 2) QUALIFY place <= 24),
+  t AS (SELECT query_id, list(term) AS q FROM q GROUP BY 1),
+  o AS (SELECT fused.query_id, fused.row_id, place, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, list_distinct(w.t))) / len(q)::double END, 6) AS score FROM fused JOIN t USING (query_id) JOIN w ON w.row_id = fused.row_id)
+  SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place)::int AS rank FROM o QUALIFY rank <= 8"""
+
+
+@query(_BM25 + _DENSE30 + _RERANKED)
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Fused lists reranked by word overlap: the whole way from a query to its hits."""
     documents = _texts(spark, d)
@@ -650,12 +657,18 @@ def ocr_merge(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_images(c.where("chunk_type <> 'image'"), c.where("chunk_type = 'image'"), ["service_code", "document_id"])
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Requests whose line number is divisible by 50, guarded and routed, under a number made of day and line."""
+    rows = table(spark, d, "trace_record").where("line_no % 50 = 0 and request.query <> ''").dropDuplicates(["dt", "line_no"])
+    day = F.datediff(F.to_date("dt"), F.lit("1970-01-01").cast("date")).cast("long")
+    return answer.prepare(rows.select((F.shiftleft(day, 40) + F.col("line_no")).alias("query_id"), "request"))
+
+
 @query()
 def comparison_union(spark: SparkSession, d: str) -> DataFrame:
     """Both sides of comparisons (requests whose line number is divisible by 50) searched apart, united and reranked."""
-    rows = table(spark, d, "trace_record").where("line_no % 50 = 0 and request.query is not null")
-    asked = rows.select((F.datediff(F.to_date("dt"), F.lit("1970-01-01").cast("date")).cast("long") * 1_000_000 + F.col("line_no")).alias("query_id"), F.col("request.query").alias("query"))
-    return answer.compare(asked.where(routing.decompose(F.col("query")).isNotNull()).dropDuplicates(["query_id"]), table(spark, d, "tb_document_contents"), 10)
+    asked = _asked(spark, d).where(routing.decompose(F.col("query")).isNotNull()).drop("filter")
+    return answer.compare(asked, table(spark, d, "tb_document_contents"), 10)
 
 
 @query()
@@ -667,11 +680,9 @@ def serving_rows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def answer_plan(spark: SparkSession, d: str) -> DataFrame:
     """Requests (line number divisible by 50) guarded, routed, searched, given a context, answered by its first section and checked."""
-    rows = table(spark, d, "trace_record").where("line_no % 50 = 0 and request.query <> ''")
-    day = F.datediff(F.to_date("dt"), F.lit("1970-01-01").cast("date")).cast("long")
-    ready = answer.prepare(rows.select((day * 1_000_000 + F.col("line_no")).alias("query_id"), "request").dropDuplicates(["query_id"]))
+    ready = _asked(spark, d)
     chunks = table(spark, d, "tb_document_chunks")
-    given = answer.contexts(answer.retrieve(ready, chunks, k=3), chunks, 600)
+    given = answer.contexts(answer.search(ready, chunks, k=3), chunks, 600)
     return answer.answer(ready, given, lambda q, c: F.concat_ws("\n", q, F.substring_index(c, context.GLUE, 1)))
 
 

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,6 +102,78 @@ def test_dense_against_numpy(spark):
     assert retrieval.dense_topk(queries.limit(0), rows, 4).count() == 0
 
 
+def test_dense_by_length_and_with_nulls(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, None]), (5, []), (6, None), (7, [2.0, 0.0])], "vec_id long, embedding array<double>").repartition(3)
+    queries = rows.select(F.col("vec_id").alias("query_id"), "embedding")
+    got = {(r["query_id"], r["rank"]): r["row_id"] for r in retrieval.dense_topk(queries, rows, 2).collect()}
+    assert got == {(1, 1): 1, (1, 2): 7, (2, 1): 2, (2, 2): 1, (3, 1): 3, (7, 1): 1, (7, 2): 7}
+
+
+def bm25_by_loop(queries, rows, k, allowed=lambda q, r: True):
+    words = {r: [t for t in re.split(r"[\W_]+", (x or "").lower()) if t] for r, x in rows.items()}
+    mean = sum(map(len, words.values())) / len(words)
+    df = Counter(t for w in words.values() for t in set(w))
+    out = {}
+    for q, text in queries.items():
+        asked = {t for t in re.split(r"[\W_]+", text.lower()) if t}
+        score = {}
+        for r, w in words.items():
+            tf = Counter(w)
+            s = sum(np.log((len(rows) - df[t] + 0.5) / (df[t] + 0.5) + 1) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in asked if tf[t])
+            if s and allowed(q, r):
+                score[r] = round(s, 6)
+        out[q] = sorted(score, key=lambda r: (-score[r], r))[:k]
+    return out
+
+
+def test_bm25_against_a_loop(spark, monkeypatch):
+    """With blocks of queries and of rows, repeated and empty texts, ties, and conditions on hits."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    rng = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = {i: text(rng.randint(0, 25)) for i in range(90)} | {90: None, 91: "", 92: "w1 w1 w2", 93: "w1 w1 w2", 94: "w3 " * 3000}
+    queries = {i: text(rng.randint(1, 4)) for i in range(20)} | {20: "", 21: "nothing here", 22: "w1 w2"}
+    places = {r: ("a" if r % 3 else "b", f"d{r % 5}", r % 7 or None, r % 9) for r in rows}
+    frame = spark.createDataFrame([(r, t, *places[r]) for r, t in rows.items()], "id long, content string, service_code string, document_id string, start_page int, end_page int").repartition(4)
+    plain = spark.createDataFrame(list(queries.items()), "query_id long, query string")
+    got = {}
+    for r in retrieval.bm25_topk(plain, frame, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["row_id"])
+    expect = bm25_by_loop(queries, rows, 5)
+    assert got == {q: r for q, r in expect.items() if r}
+    conditions = {q: {"service_code": [None, "", "a"][q % 3], "document_id": "d1" if q % 4 == 0 else None, "start_page": 2 if q % 5 == 0 else None, "end_page": 5 if q % 2 else None, "include_keywords": ["w2"] if q % 7 == 0 else [], "exclude_keywords": ["w9"] if q % 3 == 1 else None} for q in queries}
+
+    def allowed(q, r):
+        c, (service, document, start, end), t = conditions[q], places[r], rows[r] or ""
+        pages = (c["start_page"] is None or start is not None and start >= c["start_page"]) and (c["end_page"] is None or end is not None and end <= c["end_page"])
+        return (not c["service_code"] or service == c["service_code"]) and (not c["document_id"] or document == c["document_id"]) and pages and all(w in t for w in c["include_keywords"]) and not any(w in t for w in c["exclude_keywords"] or [])
+
+    asked = spark.createDataFrame([(q, t, tuple(conditions[q].values())) for q, t in queries.items()], f"query_id long, query string, filter {retrieval.FILTER}")
+    got = {}
+    for r in retrieval.bm25_topk(asked, frame, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["row_id"])
+    assert got == {q: r for q, r in bm25_by_loop(queries, rows, 5, allowed).items() if r}
+    assert retrieval.bm25_topk(plain.limit(0), frame, 5).count() == 0 and retrieval.bm25_topk(plain, frame.limit(0), 5).count() == 0
+
+
+def test_exact_percentiles_without_a_buffer(spark):
+    rng = np.random.default_rng(16)
+    values = {"a": rng.lognormal(3, 2, 1000), "b": rng.normal(0, 5, 57), "c": np.r_[np.zeros(150), -np.ones(30)], None: rng.integers(0, 4, 400).astype(float), "d": np.array([7.0])}
+    rows = [(g, float(x)) for g, v in values.items() for x in v] + [("a", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    percents = (10, 25, 50, 75, 90, 99)
+    for r in traces.grouped_percentiles(df, ["g"], "v", percents).collect():
+        v = np.sort(values[r["g"]])
+        assert r["n"] == len(v)
+        for p in percents:
+            expect = np.percentile(v, p) if len(v) >= 100 else v[min(len(v) - 1, int(len(v) * p / 100))]
+            assert r[f"p{p}"] == pytest.approx(expect, abs=6e-5)
+    whole = np.concatenate(list(values.values()))
+    assert traces.grouped_percentiles(df, [], "v", (50,)).first()["p50"] == pytest.approx(np.percentile(whole, 50), abs=6e-5)
+    assert traces.grouped_percentiles(df.limit(0), ["g"], "v", (50,)).count() == 0
+
+
 def test_rrf_and_ties(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, row_id long, rank int")
     b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, row_id long, rank int")
