@@ -209,11 +209,11 @@ def bm25_topk(queries: DataFrame, rows: DataFrame, k: int = 10, row_id: str = "i
     per block of queries.
     """
     filtered = "filter" in queries.columns
-    extra = ["service_code", "document_id", "start_page", "end_page"] if filtered else []
+    extra = {"service_code": "string", "document_id": "string", "start_page": "int", "end_page": "int"} if filtered else {}
     ready = queries.select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct(terms(F.col("query"))).alias("t"), *(["filter"] if filtered else []))
     blocks = max(1, math.ceil(ready.count() / QUERY_BLOCK))
     context = queries.sparkSession.sparkContext
-    split = rows.select(F.col(row_id).cast("long").alias("row_id"), terms(F.col(text)).alias("t"), *extra, *([F.col(text).alias("_text")] if filtered else []))
+    split = rows.select(F.col(row_id).cast("long").alias("row_id"), terms(F.col(text)).alias("t"), *[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in extra.items()], *([F.col(text).alias("_text")] if filtered else []))
 
     def search(block: int) -> DataFrame:
         part = ready.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()

@@ -303,11 +303,13 @@ def test_answer_plan(spark):
     from paperloom.plans import answer
 
     chunks = spark.createDataFrame([(1, "A", "d", "P", 1, 1, "제1조 보험료 는 100만원이다"), (2, "A", "d", "Q", 1, 1, "제2조 기간은 30일이다")], "id long, service_code string, document_id string, heading_path string, part_index int, part_total int, content string")
-    requests = spark.createDataFrame([(5, ("보험료 010-1234-5678", ["a@b.com"], None))], "query_id long, request struct<query:string,include_keywords:array<string>,exclude_keywords:array<string>>")
+    requests = spark.createDataFrame([(5, ("보험료 010-1234-5678", None, ["a@b.com"]))], "query_id long, request struct<query:string,include_keywords:array<string>,exclude_keywords:array<string>>")
     ready = answer.prepare(requests)
     row = ready.first()
     assert row["query"] == "보험료 [PHONE_MASKED]" and row["pii_kinds"] == ["EMAIL", "PHONE"] and row["route"]["query_type"] == "simple_fact"
     given = answer.contexts(answer.retrieve(ready, chunks, k=1), chunks, 500)
+    asked = spark.createDataFrame([(5, ("보험료 기간", ["기간"], None))], "query_id long, request struct<query:string,include_keywords:array<string>,exclude_keywords:array<string>>")
+    assert [r["row_id"] for r in answer.retrieve(answer.prepare(asked), chunks, k=2).collect()] == [2]  # words asked for are a condition
     good = answer.answer(ready, given, lambda q, c: c).first()
     bad = answer.answer(ready, given, lambda q, c: F.lit("제2조에 따라 120만원")).first()
     assert good["risk_level"] == "pass" and bad["risk_level"] == "hard_fail" and bad["failure_type"] == "generation_error" and "제1조" in bad["hint"]
