@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +19,16 @@ APOSTROPHES = "‘’‚‛"
 DASHES = "‐‑‒–—―−﹘﹣－"
 INVISIBLE = "​‌‍﻿"
 PAGE_MARK = r"^\s*<!--\s*page:(\d+)\s*-->\s*$"
-TOC_TITLE = r"^(#{1,6})\s+(목\s*차|차\s*례|table\s+of\s+contents|contents)\s*$"
+HEADING = r"^(#{1,6})\s+(.+)$"
+TOC_TITLE = r"^(목\s*차|차\s*례|table\s+of\s+contents|contents)$"
+NOISE = (
+    (r"^!\[image\s+\d+\]", ""), (r"^[-–—]\s*\d+\s*[-–—]$", ""), (r"^\d+\s*[-–—]$", ""),
+    (r"^(page\s+)?\d+\s*/\s*\d+$", "i"), (r"^page\s+\d+\s+of\s+\d+$", "i"),
+)
+LEADERS = ("·" * 5, "…" * 3)
+OCR_SPECIAL = r"^[\s\-–—_·…=|/\\:;,.!?@#$%^&*(){}\[\]<>]+$"
+OCR_MATH = r"^[x_{}()\-\d\s\^]+$"
+IMAGE_TAG = r"!\[image\s+\d+\]\((.+?\.(?:png|jpg|jpeg|gif|bmp|tiff))\)"
 MIN_BYTES, MIN_EDGE, MIN_WIDTH, MIN_HEIGHT, MAX_RATIO, MAX_EDGE, FLAT_STDDEV = 100, 10, 400, 300, 10, 7000, 10
 OCR_MIN_CHARS, OCR_MIN_LETTERS = 10, 0.3
 
@@ -54,13 +64,13 @@ def page_of_mark(line: Column) -> Column:
 
 def heading_level(line: Column) -> Column:
     """1 to 6 for a heading line, else null."""
-    marks = F.regexp_extract(strip(line), rx(r"^(#{1,6})\s+(.+)$"), 1)
+    marks = F.regexp_extract(strip(line), rx(HEADING), 1)
     return F.when(marks != "", F.length(marks))
 
 
 def heading_text(line: Column) -> Column:
     """Text of a heading line, else null."""
-    return F.nullif(strip(F.regexp_extract(strip(line), rx(r"^(#{1,6})\s+(.+)$"), 2)), F.lit(""))
+    return F.nullif(strip(F.regexp_extract(strip(line), rx(HEADING), 2)), F.lit(""))
 
 
 def is_table_line(line: Column) -> Column:
@@ -73,10 +83,16 @@ def is_noise_line(line: Column) -> Column:
     """Image residue, dotted leaders, page numbers and lone symbols; blank lines are no noise."""
     s = strip(F.coalesce(line, F.lit("")))
     lone = (F.length(s) <= 2) & ~s.rlike("[가-힣a-zA-Z0-9]")
-    return (s != "") & (
-        has(s, r"^!\[image\s+\d+\]") | s.contains("·" * 5) | s.contains("…" * 3) | has(s, r"^[-–—]\s*\d+\s*[-–—]$") | has(s, r"^\d+\s*[-–—]$")
-        | has(s, r"^(page\s+)?\d+\s*/\s*\d+$", "i") | has(s, r"^page\s+\d+\s+of\s+\d+$", "i") | lone
-    )
+    found = [has(s, p, flags) for p, flags in NOISE] + [s.contains(x) for x in LEADERS]
+    return (s != "") & reduce(lambda a, b: a | b, found, lone)
+
+
+def is_toc_title(title: Column) -> Column:
+    """Whether a heading's text is that of a table of contents, or an entry of one with dotted leaders or a page."""
+    t = strip(F.coalesce(title, F.lit("")))
+    count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+    dotted = (has(t, r"[·…]{3,}") | has(t, r"\s+\d+\s*$")) & ((count("·") >= 3) | (count("…") >= 2))
+    return has(t, TOC_TITLE, "i") | dotted
 
 
 def image_verdict(exists: Column, size: Column, width: Column, height: Column, stddev: Column) -> Column:
@@ -84,7 +100,7 @@ def image_verdict(exists: Column, size: Column, width: Column, height: Column, s
     return (
         F.when(~F.coalesce(exists, F.lit(False)), "not_exists").when(size < MIN_BYTES, "file_size")
         .when((width < MIN_EDGE) | (height < MIN_EDGE), "too_small").when((width < MIN_WIDTH) | (height < MIN_HEIGHT), "icon_size")
-        .when(width > MAX_RATIO * height, "aspect_h").when(height > MAX_RATIO * width, "aspect_v")
+        .when(width >= MAX_RATIO * height, "aspect_h").when(height >= MAX_RATIO * width, "aspect_v")
         .when((width > MAX_EDGE) | (height > MAX_EDGE), "too_large").when((stddev > 0) & (stddev < FLAT_STDDEV), "flat_color").otherwise("ok")
     )
 
@@ -92,9 +108,9 @@ def image_verdict(exists: Column, size: Column, width: Column, height: Column, s
 def ocr_verdict(text: Column) -> Column:
     """Why a recognised text is dropped (empty, too_short, special_only, math_noise, low_lang_ratio), or "passed"."""
     s = strip(F.coalesce(text, F.lit("")))
-    solid = F.regexp_replace(s, r"(?U)\s", "")
+    solid = F.regexp_replace(s, "[ \n]", "")
     letters = F.length(F.regexp_replace(solid, "[^가-힣a-zA-Z]", ""))
     return (
-        F.when(s == "", "empty").when(F.length(s) < OCR_MIN_CHARS, "too_short").when(~s.rlike("[가-힣a-zA-Z0-9]"), "special_only")
-        .when(s.rlike(r"^[0-9\s+\-*/=().,^{}\\\\]+$"), "math_noise").when(letters < OCR_MIN_LETTERS * F.length(solid), "low_lang_ratio").otherwise("passed")
+        F.when(s == "", "empty").when(F.length(s) < OCR_MIN_CHARS, "too_short").when(has(s, OCR_SPECIAL), "special_only")
+        .when(has(s, OCR_MATH), "math_noise").when(letters < OCR_MIN_LETTERS * F.length(solid), "low_lang_ratio").otherwise("passed")
     )

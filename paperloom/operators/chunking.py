@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperloom.functions.layout import normalize_text, page_of_mark
 from paperloom.functions.rx import strip
-from paperloom.operators.lines import clean_lines, heading_paths, join_lines, table_blocks
+from paperloom.operators.lines import clean_lines, heading_paths, join_lines, split_lines, table_blocks, without_contents
 
 # Sizes in characters.
 WINDOW, OVERLAP = 800, 150
@@ -142,6 +143,48 @@ def adaptive_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "section", "heading_path", "chunk_type", F.row_number().over(order).alias("part_index"), F.count("*").over(whole).cast("int").alias("part_total"), "start_page", "end_page", "content")
 
 
+def _in_force(index: str, at: Column, field: str) -> Column:
+    """Field of the last entry of an index array at or before an offset."""
+    return F.try_element_at(F.filter(F.col(index), lambda x: x["off"] <= at), F.lit(-1))[field]
+
+
+def fixed_document_chunks(df: DataFrame, key: str, text: str, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """Fixed windows of whole documents: key, part_index, start, content, heading, heading_path, start_page, end_page.
+
+    The text is normalised, tables of contents and noise are taken out. Heading
+    and pages are those in force at the window's place in the text before that,
+    which is estimated by the ratio of the lengths; null where none is yet.
+    """
+    raw = df.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_raw"), normalize_text(F.col(text)).alias("_text"))
+    offset = F.sum(F.length("line") + 1).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.length("line") - 1
+
+    def index(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("off", *columns))).alias(name))
+
+    marks = split_lines(raw, key, "_raw").withColumn("off", offset).withColumn("page", page_of_mark(F.col("line"))).where("page is not null")
+    body = without_contents(split_lines(raw, key, "_text"), key).withColumn("off", offset)
+    heads = heading_paths(body, key).where("level is not null").withColumn("heading", F.element_at("heading_path", -1))
+    sizes = body.groupBy(key).agg((F.sum(F.length("line") + 1) - 1).alias("_long"))
+    clean = join_lines(clean_lines(body, key), key, "_clean").where("_clean <> ''")
+    spans = clean.select(key, "_clean", F.posexplode(window_spans(F.col("_clean"), window, overlap)).alias("i", "span"))
+    for part in (sizes, index(marks, "_marks", "page"), index(heads, "_heads", "heading", "heading_path")):
+        spans = spans.join(part, key, "left")
+    ratio = F.col("_long") / F.length("_clean")
+    start, end = (F.floor(F.col(f"span.{s}") * ratio) for s in ("st", "en"))
+    cut = strip(F.substring(F.col("_clean"), F.col("span.st") + 1, F.col("span.en") - F.col("span.st")))
+    rows = spans.select(
+        key, "i", F.col("span.st").alias("start"), cut.alias("content"), _in_force("_heads", start, "heading").alias("heading"),
+        F.coalesce(_in_force("_heads", start, "heading_path"), F.array().cast("array<string>")).alias("heading_path"), _in_force("_marks", start, "page").alias("start_page"), _in_force("_marks", end, "page").alias("end_page"),
+    ).where("content <> ''")
+    return rows.withColumn("part_index", F.row_number().over(Window.partitionBy(key).orderBy("i"))).drop("i")
+
+
+def keep_recognised(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks of documents that were cut anew: the new ones, and of the old ones those that came from images and tables."""
+    kept = old.where("chunk_type in ('image', 'table')").join(new.select(*keys).distinct(), keys, "left_semi")
+    return new.unionByName(kept, allowMissingColumns=True)
+
+
 def renumber_parts(chunks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """part_index and part_total anew within each heading path of a document; chunks without a path are alone."""
     named = F.coalesce(F.col("heading_path"), F.lit("")) != ""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.functions.layout import TOC_TITLE, heading_level, heading_text, is_noise_line, is_table_line, page_of_mark
+from paperloom.functions.layout import heading_level, heading_text, is_noise_line, is_table_line, is_toc_title, page_of_mark
 from paperloom.functions.rx import has, rx, strip
 
 
@@ -62,8 +62,8 @@ def table_blocks(lines: DataFrame, key: str) -> DataFrame:
 def without_contents(lines: DataFrame, key: str) -> DataFrame:
     """Lines without the sections of a table of contents: from its heading to the next heading of its level or above."""
     so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    toc = F.regexp_extract(strip(F.col("line")), rx(TOC_TITLE, "i"), 1)
-    df = lines.withColumn("_level", heading_level(F.col("line"))).withColumn("_toc", F.when(toc != "", F.length(toc)))
+    df = lines.withColumn("_level", heading_level(F.col("line")))
+    df = df.withColumn("_toc", F.when(is_toc_title(heading_text(F.col("line"))), F.col("_level")))
     df = df.withColumn("_at", F.max(F.when(F.col("_toc").isNotNull(), F.struct("pos", "_toc"))).over(so_far))
     after = Window.partitionBy(key, F.col("_at.pos")).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     closes = F.col("_level").isNotNull() & (F.col("_level") <= F.col("_at._toc")) & F.col("_toc").isNull()

@@ -282,6 +282,17 @@ def rerank(hits: DataFrame, queries: DataFrame, rows: DataFrame, k: int, row_id:
     return best(scored, ["query_id"], [F.desc("score"), F.asc("_before")], k).select("query_id", "row_id", "score", "rank")
 
 
+def source_rows(hits: DataFrame, chunks: DataFrame, fused: DataFrame) -> DataFrame:
+    """What a client gets of reranked hits, in order: chunk_id as text, document, pages, content, type, both scores, image_paths (null where there are none)."""
+    body = chunks.select(
+        F.col("id").cast("long").alias("row_id"), F.col("id").cast("string").alias("chunk_id"), "document_id", F.array("start_page", "end_page").alias("page_range"), "content", "chunk_type",
+        F.when(F.size("image_paths") > 0, F.col("image_paths")).alias("image_paths"),
+    )
+    scores = fused.select("query_id", "row_id", F.round("score", 4).alias("rrf_score"))
+    rows = hits.select("query_id", "row_id", "rank", F.round("score", 4).alias("rerank_score")).join(body, "row_id").join(scores, ["query_id", "row_id"], "left")
+    return rows.select("query_id", "rank", "chunk_id", "document_id", "page_range", "content", "chunk_type", "rrf_score", "rerank_score", "image_paths")
+
+
 def first_seen(hits: DataFrame) -> DataFrame:
     """Union of subqueries' hits, each row once with its best place: query_id, row_id, rank over (sub_no, rank)."""
     once = hits.groupBy("query_id", "row_id").agg(F.min(F.struct("sub_no", "rank")).alias("_at"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,6 +150,77 @@ def critic_rate(traces: DataFrame) -> DataFrame:
     return traces.agg(F.count_if(F.col("verification").isNotNull()).alias("verified"), F.count_if(F.coalesce("critic.invoked", F.lit(False))).alias("invoked")).withColumn("rate", rate(F.col("invoked"), F.col("verified"), 4))
 
 
+def rerank_stats(traces: DataFrame) -> DataFrame:
+    """Per request with hits: least, greatest and mean of its rounded rerank scores."""
+    rows = traces.select("dt", "line_no", F.filter(F.transform("retrieval.rerank_scores", lambda s: F.round(s, 4)), lambda s: s.isNotNull()).alias("s")).where("size(s) > 0")
+    mean = F.aggregate("s", F.lit(0.0), lambda a, s: a + s) / F.size("s")
+    return rows.select("dt", "line_no", F.array_min("s").alias("least"), F.array_max("s").alias("most"), F.round(mean, 4).alias("mean"))
+
+
+def claim_coverage(traces: DataFrame) -> DataFrame:
+    """Over answers with claims: answers, mean number of claims, and percent of the claims with facts that a source supports.
+
+    Traces that do not log verifiable_claims_count and supported_claims_count
+    have no percentage.
+    """
+    has = traces.schema["verification"].dataType.names
+    count = lambda c: F.sum(F.coalesce(f"verification.{c}", F.lit(0))) if c in has else F.lit(None).cast("long")
+    v = traces.where("verification.claims_count > 0")
+    share = F.round(F.lit(100.0) * count("supported_claims_count") / F.nullif(count("verifiable_claims_count").cast("double"), F.lit(0.0)), 1)
+    return v.agg(F.count("*").alias("answers"), F.round(F.avg("verification.claims_count"), 2).alias("mean_claims"), share.alias("coverage"))
+
+
+def critic_effect(traces: DataFrame) -> DataFrame:
+    """Second attempts by risk before and after, with those that improved; and the risk before of those that were let pass.
+
+    Columns action (regenerate or pass), before_risk, after_risk, n, improved.
+    ``traces`` log before_risk, after_risk and regenerate_improved in critic.
+    """
+    c = traces.where("critic.invoked and critic.action_taken in ('regenerate', 'pass')").select("critic.*").where("action_taken = 'regenerate' or before_risk is not null")
+    after = F.when(F.col("action_taken") == "regenerate", F.col("after_risk"))
+    return c.groupBy(F.col("action_taken").alias("action"), "before_risk", after.alias("after_risk")).agg(F.count("*").alias("n"), F.count_if(F.coalesce("regenerate_improved", F.lit(False))).alias("improved"))
+
+
+def summary(traces: DataFrame) -> DataFrame:
+    """All sections of the report in long form: section, name, metric, value."""
+
+    def long(section: str, df: DataFrame, name: str | None, *metrics: str) -> DataFrame:
+        pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+        return df.select(F.lit(section).alias("section"), (F.col(name) if name else F.lit("")).alias("name"), pairs.alias("p")).select("section", "name", "p.metric", "p.value")
+
+    parts = [
+        long("volume", volume(traces), "endpoint", "requests", "errors"), long("route", routes(traces).where("dimension = 'strategy'"), "name", "n"), long("query_type", routes(traces).where("dimension = 'query_type'"), "name", "n"),
+        long("decomposition", decomposition(traces), "method", "n"), long("rerank", grouped_percentiles(top_scores(traces), [], "score"), None, "n", *[f"p{p}" for p in PERCENTS]),
+        long("retry", retries(traces), None, "answers", "triggered", "improved", "mean_change", "still_below"), long("verification", risks(traces), "risk_level", "n", "claims", "groundedness"), long("claims", claim_coverage(traces), None, "answers", "mean_claims"),
+        long("latency", latencies(traces), "span", "n", "p50", "p95"), long("errors", errors(traces), "type", "n"), long("critic", critic(traces).groupBy("failure_type").agg(F.sum("n").alias("n")), "failure_type", "n"),
+        long("input_guard", input_guards(traces), "kind", "n"), long("output_guard", output_guards(traces), "kind", "n"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def evaluation_stats(results: DataFrame) -> DataFrame:
+    """Basic figures of an evaluation run: questions, times, routing accuracy, retried and unanswered ones, and the first wrongly routed.
+
+    ``results`` has question_no, question, elapsed_ms, answer, expected_type,
+    predicted_type, crag_retries; questions without expected type are not judged.
+    """
+    wrong = F.col("expected_type").isNotNull() & ~F.col("expected_type").eqNullSafe(F.col("predicted_type"))
+    first = F.slice(F.array_sort(F.collect_list(F.when(wrong & (F.col("_w") <= 5), F.struct("question_no", F.substring("question", 1, 40).alias("question"), "expected_type", "predicted_type")))), 1, 5)
+    rows = results.withColumn("_w", F.row_number().over(Window.partitionBy(wrong).orderBy("question_no")))
+    labelled = F.count("expected_type")
+    right = F.count_if(F.col("expected_type") == F.col("predicted_type"))
+    return rows.agg(
+        F.count("*").alias("questions"), F.round(F.avg("elapsed_ms"), 0).alias("mean_ms"), F.min("elapsed_ms").alias("least_ms"), F.max("elapsed_ms").alias("most_ms"), labelled.alias("labelled"), right.alias("right"), rate(right, labelled, 3).alias("accuracy"),
+        F.count_if(F.col("crag_retries") > 0).alias("retried"), F.count_if(F.contains(F.col("answer"), F.lit("확인되지 않음"))).alias("unanswered"), first.alias("wrong"),
+    )
+
+
+def status_durations(log: DataFrame, keys: list[str], status: str = "status_code", at: str = "created_at") -> DataFrame:
+    """Time that each document spent in each status: keys, status, since, seconds (null while it lasts)."""
+    then = F.lead(at).over(Window.partitionBy(*keys).orderBy(at, status))
+    return log.select(*keys, F.col(status).alias("status"), F.col(at).alias("since"), (F.unix_micros(then.cast("timestamp")) / 1e6 - F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("seconds"))
+
+
 def input_guards(traces: DataFrame) -> DataFrame:
     """Requests per kind of personal data that the input guard found, beside all guarded requests."""
     g = traces.where("input_guard is not null").select("input_guard.*")

@@ -64,6 +64,41 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 10, rewrite: Callable
     return once(queries) if rewrite is None else retrieval.retry(queries, once, rewrite)
 
 
+def second_attempt(answers: DataFrame, generate: Callable[[Column, Column, Column], Column], check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Answers after the second opinion: failures that a hint can mend are generated again, others are escalated or let pass.
+
+    ``answers`` has query_id, query, context, answer, risk_level, failure_type
+    and hint; ``generate`` makes an answer from (query, context, hint) and
+    ``check`` gives query_id and risk_level of answers. Adds invoked,
+    action_taken (regenerate, escalate, pass), before_risk, after_risk and
+    improved; a second answer is kept whatever its risk, as there is no third.
+    """
+    bad = F.col("risk_level").isin("hard_fail", "soft_fail")
+    kind = F.col("failure_type")
+    action = F.when(bad & kind.isin("generation_error", "unit_error"), "regenerate").when(bad & kind.isin("retrieval_gap", "semantic_mismatch"), "escalate").when(bad, "pass")
+    judged = answers.withColumn("invoked", F.coalesce(bad, F.lit(False))).withColumn("action_taken", action).withColumn("before_risk", F.when(bad, F.col("risk_level")))
+    again = judged.where("action_taken = 'regenerate'").withColumn("answer", guards.sanitize_output(guards.strip_think(generate(F.col("query"), F.col("context"), F.col("hint"))))["cleaned"])
+    again = cut(again)
+    after = check(again).select("query_id", F.col("risk_level").alias("after_risk"))
+    again = again.join(after, "query_id").withColumn("risk_level", F.col("after_risk")).withColumn("improved", F.col("after_risk") == "pass")
+    kept = judged.where("action_taken is null or action_taken <> 'regenerate'").withColumn("after_risk", F.col("before_risk")).withColumn("improved", F.lit(None).cast("boolean"))
+    return kept.unionByName(again)
+
+
+def responses(answers: DataFrame, sources: DataFrame, cited: DataFrame, records: DataFrame) -> DataFrame:
+    """What is sent back: query_id, answer, sources, citations, verification, escalation_required, is_refusal; what does not apply is null.
+
+    ``answers`` come from ``second_attempt``, ``sources`` from
+    ``retrieval.source_rows``, ``cited`` and ``records`` from ``verify``.
+    """
+    listed = sources.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "document_id", "rerank_score"))).alias("sources"))
+    told = records.select(F.col("answer_id").alias("query_id"), "groundedness", "warnings")
+    rows = answers.join(listed, "query_id", "left").join(cited.withColumnRenamed("answer_id", "query_id"), "query_id", "left").join(told, "query_id", "left")
+    up = F.coalesce(F.col("action_taken") == "escalate", F.lit(False))
+    shown = F.when(up | (F.size("warnings") > 0), F.struct("risk_level", "groundedness", "warnings"))
+    return rows.select("query_id", "answer", "sources", "citations", shown.alias("verification"), F.when(up, F.lit(True)).alias("escalation_required"), verify.is_refusal(F.col("answer")).alias("is_refusal"))
+
+
 def contexts(hits: DataFrame, chunks: DataFrame, tokens: int) -> DataFrame:
     """Context of each query: sections around its hits, cut to a budget: query_id, context, truncated."""
     body = chunks.select(F.col("id").cast("long").alias("row_id"), "service_code", "document_id", "heading_path", "part_index", "part_total", "content")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import facts, guards, layout, requests, routing
-from paperloom.operators import chunking, context, health, lines, merge, orphans, retrieval, traces, verify
+from paperloom.operators import chunking, context, health, lines, merge, orphans, recognition, retrieval, traces, verify
 from paperloom.plans import answer, ingest
 from paperloom.session import spread, table, work_folder
 from paperloom.streaming import windows
@@ -116,13 +116,13 @@ def guard_injection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, regexp_matches(text, '(?i)(시발|씨발|개새끼|병신|좆|fuck|shit)') AS profane,
-  length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<\|im_(start|end)\|>', '', 'g'), '\[INST\]|\[/INST\]', '', 'g'), '<\|endoftext\|>', '', 'g'), '(?im)^\s*(system|assistant)\s*:\s*', '', 'g')) AS cleaned_chars
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<\|im_(start|end)\|>', '', 'g'), '\[INST\]|\[/INST\]', '', 'g'), '<\|endoftext\|>', '', 'g'), '(?im)^\s*(system|assistant)\s*:\s*', '', 'g') AS cleaned
   FROM documents WHERE text IS NOT NULL""")
 def guard_output(spark: SparkSession, d: str) -> DataFrame:
     """Documents taken as answers: role tokens removed, profanity flagged."""
     out = guards.sanitize_output(F.col("text"))
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", out.alias("o"))
-    return rows.select("doc_id", F.exists("o.threats", lambda t: t.startswith("profanity:")).alias("profane"), F.length("o.cleaned").alias("cleaned_chars"))
+    return rows.select("doc_id", F.exists("o.threats", lambda t: t.startswith("profanity:")).alias("profane"), F.col("o.cleaned").alias("cleaned"))
 
 
 def _sql_has(p: str) -> str:
@@ -301,6 +301,34 @@ def unembedded_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select("id").join(contents.select(F.col("chunk_id").alias("id")), "id", "left_anti")
 
 
+@query("""WITH t AS (SELECT dt, line_no, list_transform(list_filter(retrieval.rerank_scores, lambda x: x IS NOT NULL), lambda x: round(x, 4)) AS s FROM trace_record)
+  SELECT dt, line_no, list_min(s) AS least, list_max(s) AS most, round(list_sum(s) / len(s), 4) AS mean FROM t WHERE len(s) > 0""")
+def trace_rerank_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Least, greatest and mean rerank score of each request."""
+    return traces.rerank_stats(table(spark, d, "trace_record"))
+
+
+@query("SELECT count(*) AS answers, round(avg(verification.claims_count), 2) AS mean_claims, NULL::double AS coverage FROM trace_record WHERE verification.claims_count > 0")
+def trace_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of verified answers."""
+    return traces.claim_coverage(table(spark, d, "trace_record"))
+
+
+def _sql_long(section: str, key: str, name: str, *metrics: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {name} AS name, '{m}' AS metric, {m}::double AS value FROM ({ORACLE_SQL[key]})" for m in metrics)
+
+
+@query(" UNION ALL ".join([
+    _sql_long("volume", "trace_volume", "endpoint", "requests", "errors"), _sql_long("route", "trace_route", "name", "n") + " WHERE dimension = 'strategy'", _sql_long("query_type", "trace_route", "name", "n") + " WHERE dimension = 'query_type'",
+    _sql_long("decomposition", "trace_decomposition", "method", "n"), _sql_long("rerank", "trace_rerank_percentiles", "''", "n", *[f"p{p}" for p in traces.PERCENTS]), _sql_long("retry", "trace_retry", "''", "answers", "triggered", "improved", "mean_change", "still_below"),
+    _sql_long("verification", "trace_verification", "risk_level", "n", "claims", "groundedness"), _sql_long("claims", "trace_claims", "''", "answers", "mean_claims"), _sql_long("latency", "trace_latency", "span", "n", "p50", "p95"), _sql_long("errors", "trace_errors", "type", "n"),
+    f"SELECT 'critic', failure_type, 'n', sum(n)::double FROM ({ORACLE_SQL['trace_critic']}) GROUP BY failure_type", _sql_long("input_guard", "trace_input_guard", "kind", "n"), _sql_long("output_guard", "trace_output_guard", "kind", "n"),
+]))
+def trace_summary(spark: SparkSession, d: str) -> DataFrame:
+    """All sections of the trace report in one table."""
+    return traces.summary(table(spark, d, "trace_record"))
+
+
 @query("""SELECT coalesce(document_id, 'unknown') AS document_id, count(*) AS n, round(100.0::double * count(*) / sum(count(*)) OVER (), 4) AS percent FROM tb_document_contents GROUP BY 1""")
 def doc_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Contents per document and their share."""
@@ -387,25 +415,33 @@ def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.rerank(retrieval.fuse([dense, sparse], 24), _title_queries(spark, d), documents, 8, "doc_id", "text")
 
 
-@query("""WITH h AS (SELECT id AS query_id, * FROM tb_document_chunks WHERE id % 50 = 0),
+@query("""WITH h AS (SELECT id AS query_id, * FROM tb_document_chunks),
   m AS (SELECT query_id, service_code, document_id, heading_path, coalesce(part_index, 1) AS p, coalesce(part_total, 1) AS t FROM h WHERE coalesce(heading_path, '') <> '' AND coalesce(part_total, 1) > 1),
   f AS (SELECT m.query_id, c.id AS chunk_id FROM m JOIN tb_document_chunks c USING (service_code, document_id, heading_path) WHERE c.part_index BETWEEN greatest(1, p - 2) AND least(t, p + 2))
   SELECT DISTINCT query_id, chunk_id FROM (SELECT * FROM f UNION ALL SELECT query_id, id FROM h WHERE coalesce(heading_path, '') = '' OR coalesce(part_total, 1) <= 1)""")
 def sibling_window(spark: SparkSession, d: str) -> DataFrame:
-    """Parts around every chunk whose id is divisible by 50."""
+    """Parts around every chunk."""
     chunks = table(spark, d, "tb_document_chunks")
-    hits = chunks.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("chunk_id"), F.lit(1).alias("rank"), "service_code", "document_id", "heading_path", "part_index", "part_total", "content")
+    hits = chunks.select(F.col("id").alias("query_id"), F.col("id").alias("chunk_id"), F.lit(1).alias("rank"), "service_code", "document_id", "heading_path", "part_index", "part_total", "content")
     return context.sibling_window(hits, chunks).select("query_id", "chunk_id")
 
 
-@query()
+_SIBLINGS = """WITH h AS (SELECT id AS query_id, * FROM tb_document_chunks),
+  m AS (SELECT query_id, service_code, document_id, heading_path, coalesce(part_index, 1) AS p, coalesce(part_total, 1) AS t FROM h WHERE coalesce(heading_path, '') <> '' AND coalesce(part_total, 1) > 1),
+  f AS (SELECT m.query_id, c.id AS chunk_id, heading_path, c.part_index, c.content FROM m JOIN tb_document_chunks c USING (service_code, document_id, heading_path) WHERE c.part_index BETWEEN greatest(1, p - 2) AND least(t, p + 2)),
+  w AS (SELECT DISTINCT * FROM (SELECT * FROM f UNION ALL SELECT query_id, id, heading_path, coalesce(part_index, 1), content FROM h WHERE coalesce(heading_path, '') = '' OR coalesce(part_total, 1) <= 1))"""
+
+
+@query(_SIBLINGS + """, s AS (SELECT query_id, coalesce(heading_path, '') AS path, string_agg(content, chr(10) || chr(10) ORDER BY part_index, chunk_id) AS body FROM w GROUP BY 1, 2),
+  x AS (SELECT query_id, CASE WHEN path = '' THEN coalesce(body, '') ELSE path || chr(10) || chr(10) || coalesce(body, '') END AS t FROM s)
+  SELECT query_id, CASE WHEN floor(length(t) / 2) <= 600 THEN t ELSE left(t, floor(600 / (floor(length(t) / 2) / length(t)))::int) END AS context, floor(length(t) / 2) > 600 AS truncated FROM x""")
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
     """Grouped sections of those parts, cut to a budget of 600 tokens."""
     chunks = table(spark, d, "tb_document_chunks")
-    hits = chunks.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("chunk_id"), F.lit(1).alias("rank"), "service_code", "document_id", "heading_path", "part_index", "part_total", "content")
+    hits = chunks.select(F.col("id").alias("query_id"), F.col("id").alias("chunk_id"), F.lit(1).alias("rank"), "service_code", "document_id", "heading_path", "part_index", "part_total", "content")
     grouped = context.group_sections(context.sibling_window(hits, chunks))
     cut = context.fit_budget(F.col("context"), context.token_count(F.col("context")), F.lit(600))
-    return grouped.select("query_id", cut.alias("c")).select("query_id", F.length("c.text").alias("chars"), "c.truncated")
+    return grouped.select("query_id", cut.alias("c")).select("query_id", F.col("c.text").alias("context"), "c.truncated")
 
 
 @query("SELECT id FROM tb_document_contents WHERE start_page >= 2 AND end_page <= 6 AND contains(content, '한다') AND NOT contains(content, '통지서')")
@@ -433,15 +469,16 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH p AS (SELECT id, list_concat([1], list_transform(regexp_extract_all(t, '<!--\s*page:(\d+)\s*-->', 1), lambda x: x::int)) AS n, string_split_regex(t, '<!--\s*page:(\d+)\s*-->') AS c FROM (""" + _MD + r""")),
-  e AS (SELECT id, unnest(n) AS page, trim(unnest(c), ' ' || chr(10) || chr(9) || chr(13)) AS content FROM p) SELECT id, page, length(content) AS chars FROM e WHERE content <> ''""")
+  e AS (SELECT id, unnest(n) AS page, trim(unnest(c), ' ' || chr(10) || chr(9) || chr(13)) AS content FROM p) SELECT id, page, content FROM e WHERE content <> ''""")
 def markdown_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages of extracted texts."""
-    return lines.pages(table(spark, d, "tb_document_extract"), "id", "raw_markdown").select("id", "page", F.length("content").alias("chars"))
+    return lines.pages(table(spark, d, "tb_document_extract"), "id", "raw_markdown").select("id", "page", "content")
+
+
+_IS_NOISE = " OR ".join([*[f"regexp_matches(s, '(?{flags or 's'}){p}')" for p, flags in layout.NOISE], *[f"contains(s, '{x}')" for x in layout.LEADERS], "(length(s) <= 2 AND NOT regexp_matches(s, '[가-힣a-zA-Z0-9]'))"])
 
 
-@query(r"WITH " + _LINES + r""", h AS (SELECT *, trim(line) AS s FROM l)
-  SELECT id, pos FROM h WHERE s <> '' AND (regexp_matches(s, '^!\[image\s+\d+\]') OR contains(s, '·····') OR contains(s, '………') OR regexp_matches(s, '^[-–—]\s*\d+\s*[-–—]$') OR regexp_matches(s, '^\d+\s*[-–—]$')
-    OR regexp_matches(s, '(?i)^(page\s+)?\d+\s*/\s*\d+$') OR regexp_matches(s, '(?i)^page\s+\d+\s+of\s+\d+$') OR (length(s) <= 2 AND NOT regexp_matches(s, '[가-힣a-zA-Z0-9]')))""")
+@query("WITH " + _LINES + f", h AS (SELECT *, trim(line) AS s FROM l) SELECT id, pos FROM h WHERE s <> '' AND ({_IS_NOISE})")
 def noise_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines that cleaning drops."""
     return _lines(spark, d).where(layout.is_noise_line(F.col("line"))).select("id", "pos")
@@ -489,13 +526,26 @@ def normalize(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).where("text is not null").select("doc_id", layout.normalize_text(F.col("text")).alias("text"))
 
 
-@query()
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_IS_TOC = rf"""regexp_matches(title, '(?i){layout.TOC_TITLE}') OR ((regexp_matches(title, '[·…]{{3,}}') OR regexp_matches(title, '\s+\d+\s*$'))
+  AND (length(title) - length(replace(title, '·', '')) >= 3 OR length(title) - length(replace(title, '…', '')) >= 2))"""
+
+
+@query(rf"""WITH {_LINES}, a AS (SELECT *, nullif(length(regexp_extract(trim(line), '{layout.HEADING}', 1)), 0) AS level, trim(regexp_extract(trim(line), '{layout.HEADING}', 2)) AS title FROM l),
+  t AS (SELECT *, level IS NOT NULL AND ({_IS_TOC}) AS toc FROM a),
+  b AS (SELECT *, last_value(CASE WHEN toc THEN pos END IGNORE NULLS) OVER w AS place, last_value(CASE WHEN toc THEN level END IGNORE NULLS) OVER w AS depth FROM t WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+  c AS (SELECT *, max(CASE WHEN level <= depth AND NOT toc THEN 1 END) OVER (PARTITION BY id, place ORDER BY pos ROWS UNBOUNDED PRECEDING) AS closed FROM b)
+  SELECT id, {_STRIP.format("string_agg(line, chr(10) ORDER BY pos)")} AS text FROM c WHERE place IS NULL OR closed = 1 GROUP BY id""")
 def remove_toc(spark: SparkSession, d: str) -> DataFrame:
     """Extracted texts without tables of contents."""
     return lines.join_lines(lines.without_contents(_lines(spark, d), "id"), "id")
 
 
-@query()
+@query(rf"""WITH {_LINES}, a AS (SELECT *, trim(line) AS s, starts_with(trim(line), '|') AND ends_with(trim(line), '|') AS is_table FROM l),
+  b AS (SELECT *, sum(c) OVER (PARTITION BY id ORDER BY pos) AS block FROM (SELECT *, CASE WHEN is_table = lag(is_table) OVER (PARTITION BY id ORDER BY pos) THEN 0 ELSE 1 END AS c FROM a)),
+  j AS (SELECT *, is_table AND NOT max(NOT regexp_matches(trim(s, '|'), '^[\s\-:]+$') AND contains(trim(s, '|'), '|')) OVER (PARTITION BY id, block) AS is_junk FROM b)
+  SELECT id, {_STRIP.format("string_agg(regexp_replace(line, '^#{{7,}}\\s+', ''), chr(10) ORDER BY pos)")} AS text
+  FROM j WHERE NOT is_junk AND NOT regexp_matches(line, '{layout.PAGE_MARK}') AND NOT (s <> '' AND ({_IS_NOISE})) GROUP BY id""".replace("{{7,}}", "{7,}"))
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     """Extracted texts without noise lines, page marks and one-column tables."""
     return chunking.cleaned_texts(_extracts(spark, d), "id", "raw_markdown")
@@ -506,10 +556,10 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT doc_id, s, CASE WHEN s + 800 < n AND length(regexp_extract(substr(t, s + 1, 800), '(?s)^.*[\n .]')) - 1 > 400 THEN s + length(regexp_extract(substr(t, s + 1, 800), '(?s)^.*[\n .]')) ELSE s + 800 END
       FROM (SELECT doc_id, t, n, en - 150 AS s FROM step JOIN d USING (doc_id) WHERE n > 800 AND en - 150 < n)),
   c AS (SELECT doc_id, st, regexp_replace(substr(t, st + 1, en - st), '^[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+|[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+$', '', 'g') AS content FROM step JOIN d USING (doc_id))
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st)::int AS part_index, st::int AS start, length(content) AS chars FROM c WHERE content <> ''""")
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st)::int AS part_index, st::int AS start, content FROM c WHERE content <> ''""")
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     """Windows over every document."""
-    return chunking.fixed_chunks(_texts(spark, d), "doc_id", "text").select("doc_id", "part_index", "start", F.length("content").cast("long").alias("chars"))
+    return chunking.fixed_chunks(_texts(spark, d), "doc_id", "text").select("doc_id", "part_index", "start", "content")
 
 
 @query()
@@ -527,9 +577,9 @@ def rechunk_indices(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH t AS (SELECT service_code, document_id, unnest(image_ocr_texts) AS x FROM tb_document_chunks), s AS (SELECT *, regexp_replace(coalesce(x, ''), '^\s+|\s+$', '', 'g') AS s FROM t),
-  v AS (SELECT *, regexp_replace(s, '\s', '', 'g') AS solid FROM s)
-  SELECT service_code, document_id, CASE WHEN s = '' THEN 'empty' WHEN length(s) < 10 THEN 'too_short' WHEN NOT regexp_matches(s, '[가-힣a-zA-Z0-9]') THEN 'special_only'
-    WHEN regexp_matches(s, '^[0-9\s+\-*/=().,^{}\\]+$') THEN 'math_noise' WHEN length(regexp_replace(solid, '[^가-힣a-zA-Z]', '', 'g')) < 0.3::double * length(solid) THEN 'low_lang_ratio' ELSE 'passed' END AS verdict,
+  v AS (SELECT *, regexp_replace(s, '[ \n]', '', 'g') AS solid FROM s)
+  SELECT service_code, document_id, CASE WHEN s = '' THEN 'empty' WHEN length(s) < 10 THEN 'too_short' WHEN regexp_matches(s, '""" + layout.OCR_SPECIAL + r"""') THEN 'special_only'
+    WHEN regexp_matches(s, '""" + layout.OCR_MATH + r"""') THEN 'math_noise' WHEN length(regexp_replace(solid, '[^가-힣a-zA-Z]', '', 'g')) < 0.3::double * length(solid) THEN 'low_lang_ratio' ELSE 'passed' END AS verdict,
     count(*) AS n, sum(length(coalesce(x, '')))::bigint AS chars FROM v GROUP BY ALL""")
 def ocr_quality(spark: SparkSession, d: str) -> DataFrame:
     """Recognised texts per document and verdict."""
@@ -567,12 +617,11 @@ def fact_numeric(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("doc_id", F.col("f.unit").alias("unit")).agg(F.count("*").alias("n"), F.sum("f.value").alias("total"))
 
 
-@query(r"""WITH c AS (SELECT id, unnest(string_split(regexp_replace(regexp_replace(content, '([.!?다요음])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS c FROM tb_document_contents WHERE content IS NOT NULL)
-  SELECT id, count(*) AS n FROM c WHERE trim(c, ' ' || chr(10) || chr(9)) <> '' GROUP BY id""")
+@query(r"""WITH c AS (SELECT id, unnest(string_split(regexp_replace(regexp_replace(content, '([.!?다요음])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS c, generate_subscripts(string_split(regexp_replace(regexp_replace(content, '([.!?다요음])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), 1) AS pos FROM tb_document_contents WHERE content IS NOT NULL)
+  SELECT id, list(trim(c, ' ' || chr(10) || chr(9)) ORDER BY pos) AS claims FROM c WHERE trim(c, ' ' || chr(10) || chr(9)) <> '' GROUP BY id""")
 def claims_split(spark: SparkSession, d: str) -> DataFrame:
     """Statements of every content."""
-    rows = table(spark, d, "tb_document_contents").select("id", F.size(facts.claims(F.col("content"))).cast("long").alias("n"))
-    return rows.where("n > 0")
+    return table(spark, d, "tb_document_contents").select("id", facts.claims(F.col("content")).alias("claims")).where("size(claims) > 0")
 
 
 def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -608,22 +657,73 @@ def claim_records(spark: SparkSession, d: str) -> DataFrame:
     return verify.claim_records(answers, sources, ["service_code", "document_id"], "id", "id")
 
 
-@query()
+_APPX = facts.APPENDIX.replace(r"\d", r"\p{Nd}").replace(r"\s", r"[\s\p{Z}]")
+_APPX_NO = "coalesce(" + ", ".join(f"nullif(regexp_extract(m, '{_APPX}', {g}), '')" for g in (1, 2, 3, 4)) + ")"
+_APPX_NAME = f"CASE WHEN {_APPX_NO} IS NULL THEN left(m, 2) WHEN left(m, 2) = '부칙' THEN '부칙 제' || {_APPX_NO}::int || '조' ELSE left(m, 2) || ' ' || {_APPX_NO}::int END"
+_CANON4 = _CANON + rf" || CASE WHEN regexp_extract(m, '{_ART}', 4) IN ('', '0') THEN '' ELSE ' 제' || regexp_extract(m, '{_ART}', 4)::int || '목' END"
+_UNIT = "CASE WHEN u IN ('만원', '억원', '원') THEN 'KRW' WHEN u IN ('%', '퍼센트') THEN 'PERCENT' WHEN u IN ('일', '개월') THEN 'DAYS' WHEN u = '년' THEN 'YEARS' WHEN u IN ('세', '살') THEN 'AGE' ELSE 'COUNT' END"
+
+
+def _sql_refs(keys: str, text: str, source: str) -> str:
+    """SELECT of the distinct references (name, article, paragraph) of a text."""
+    part = lambda pattern: f"SELECT {keys}, {_digits(f'unnest(regexp_extract_all({text}, {chr(39)}{pattern}{chr(39)}))')} AS m FROM {source}"
+    number = lambda g: f"nullif(regexp_extract(m, '{_ART}', {g}), '')::int"
+    return f"SELECT DISTINCT {keys}, {_CANON4} AS name, {number(1)} AS article, {number(2)} AS paragraph FROM ({part(_ART)}) UNION SELECT DISTINCT {keys}, {_APPX_NAME}, NULL, NULL FROM ({part(_APPX)})"
+
+
+def _sql_nums(keys: str, text: str, source: str) -> str:
+    """SELECT of all amounts and dates (value, unit) of a text, with repeats."""
+    amounts = f"SELECT {keys}, {_digits(f'unnest(regexp_extract_all({text}, {chr(39)}{_AMT}{chr(39)}))')} AS m FROM {source}"
+    read = f"SELECT {keys}, replace(regexp_extract(m, '{_AMT}', 1), ',', '')::double AS a, regexp_replace(regexp_extract(m, '{_AMT}', 2), '\\s', '', 'g') AS u FROM ({amounts})"
+    dates = f"SELECT {keys}, 0.0::double, 'DATE' FROM (SELECT {keys}, unnest(regexp_extract_all({text}, '{_DAY}')) AS m FROM {source})"
+    return f"SELECT {keys}, a * CASE u WHEN '만원' THEN 1e4 WHEN '억원' THEN 1e8 WHEN '개월' THEN 30 ELSE 1 END AS value, {_UNIT} AS unit FROM ({read}) UNION ALL {dates}"
+
+
+_SAME = "k.service_code = f.service_code AND k.document_id = f.document_id AND k.id IS DISTINCT FROM f.chunk_id"
+_RISKS = f"""WITH aref AS ({_sql_refs("id, chunk_id, service_code, document_id", "content", "tb_document_contents")}), sref AS ({_sql_refs("id, service_code, document_id", "content", "tb_document_chunks")}),
+  anum AS ({_sql_nums("id, chunk_id, service_code, document_id", "content", "tb_document_contents")}), snum AS (SELECT DISTINCT * FROM ({_sql_nums("id, service_code, document_id", "content", "tb_document_chunks")})),
+  mref AS (SELECT * FROM aref f WHERE NOT EXISTS (SELECT 1 FROM sref k WHERE {_SAME} AND k.name = f.name)),
+  mnum AS (SELECT * FROM anum f WHERE NOT EXISTS (SELECT 1 FROM snum k WHERE {_SAME} AND k.value = f.value AND k.unit = f.unit)),
+  verdict AS (SELECT c.id AS answer_id, coalesce(r.n, 0)::int AS missing, coalesce(w.n, 0)::int AS wrong, CASE WHEN r.n > 0 THEN 'hard_fail' WHEN w.critical THEN 'soft_fail' WHEN w.n > 0 THEN 'warn' ELSE 'pass' END AS risk_level
+    FROM tb_document_contents c LEFT JOIN (SELECT id, count(*) AS n FROM mref GROUP BY id) r USING (id) LEFT JOIN (SELECT id, count(*) AS n, bool_or(unit IN {facts.CRITICAL_UNITS}) AS critical FROM mnum GROUP BY id) w USING (id))"""
+
+
+@query(_RISKS + " SELECT * FROM verdict")
 def risk_level(spark: SparkSession, d: str) -> DataFrame:
     """Risk of every content, were it an answer from the other chunks of its document."""
     answers, _, wrong = _unsupported(spark, d)
     return verify.verdicts(answers, wrong, "id").select("answer_id", F.size("missing_references").alias("missing"), F.size("wrong_numbers").alias("wrong"), "risk_level")
 
 
-@query()
+_BESIDE = "(abs(k.article - f.article) = 1 OR (k.article = f.article AND (abs(k.paragraph - f.paragraph) <= 1 OR (k.paragraph IS NULL) <> (f.paragraph IS NULL))))"
+
+
+@query(_RISKS + f""" SELECT answer_id, risk_level, CASE WHEN missing > 0 THEN CASE WHEN EXISTS (SELECT 1 FROM mref f JOIN sref k ON {_SAME} AND {_BESIDE} WHERE f.id = answer_id) THEN 'generation_error' ELSE 'retrieval_gap' END
+    WHEN EXISTS (SELECT 1 FROM mnum f JOIN snum k ON {_SAME} AND k.unit = f.unit AND abs(k.value - f.value) < 0.5 * greatest(abs(k.value), abs(f.value)) WHERE f.id = answer_id AND f.unit IN {facts.CRITICAL_UNITS} AND f.value <> 0) THEN 'unit_error' ELSE 'minor' END AS failure_type
+  FROM verdict WHERE risk_level IN ('hard_fail', 'soft_fail')""")
 def failure_class(spark: SparkSession, d: str) -> DataFrame:
-    """What kind of failure each unsupported content is, against the first chunk of its document, and the hint for a second try."""
+    """What kind of failure each unsupported content is, against all other chunks of its document."""
     answers, sources, wrong = _unsupported(spark, d)
+    group = ["service_code", "document_id"]
     bad = verify.verdicts(answers, wrong, "id").where("risk_level in ('hard_fail', 'soft_fail')")
-    first = sources.groupBy("service_code", "document_id").agg(F.min_by("content", "id").alias("context"))
-    rows = bad.join(answers.select(F.col("id").alias("answer_id"), "service_code", "document_id"), "answer_id").join(first, ["service_code", "document_id"])
-    rows = rows.withColumn("failure_type", verify.failure_type(F.col("missing_references"), F.col("wrong_numbers"), F.col("context")))
-    return rows.select("answer_id", "risk_level", "failure_type", verify.hint(F.col("failure_type"), F.col("missing_references"), F.col("wrong_numbers"), F.col("context")).alias("hint"))
+    rows = bad.join(verify.near_facts(answers, wrong, sources, group, "id", "id", own="own"), "answer_id")
+    return rows.select("answer_id", "risk_level", verify.failure_of(F.size("missing_references"), F.col("near_reference"), F.col("near_number")).alias("failure_type"))
+
+
+_CLAIMS = r"""string_split(regexp_replace(regexp_replace(content, '([.!?다요음])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))"""
+
+
+@query(_RISKS + f""", c AS (SELECT id, service_code, document_id, unnest({_CLAIMS}) AS claim, generate_subscripts({_CLAIMS}, 1) AS pos FROM tb_document_contents), cl AS (SELECT * FROM c WHERE trim(claim, ' ' || chr(10) || chr(9)) <> ''),
+  cr AS ({_sql_refs("id, pos, service_code, document_id", "claim", "cl")}), cn AS ({_sql_nums("id, pos", "claim", "cl")}),
+  backed AS (SELECT DISTINCT id, pos FROM cr f WHERE EXISTS (SELECT 1 FROM sref k WHERE k.service_code = f.service_code AND k.document_id = f.document_id AND k.name = f.name)),
+  told AS (SELECT DISTINCT id, pos FROM (SELECT id, pos FROM cr UNION ALL SELECT id, pos FROM cn)),
+  n AS (SELECT cl.id, count(*) AS claims, count(told.id) AS verifiable, count(backed.id) AS supported FROM cl LEFT JOIN told ON told.id = cl.id AND told.pos = cl.pos LEFT JOIN backed ON backed.id = cl.id AND backed.pos = cl.pos GROUP BY cl.id)
+  SELECT answer_id, risk_level, coalesce(claims, 0)::int AS claims_count, coalesce(verifiable, 0)::int AS verifiable_claims_count, coalesce(supported, 0)::int AS supported_claims_count, missing AS missing_refs_count, wrong AS numeric_mismatch_count,
+    round(supported / nullif(verifiable, 0)::double, 3) AS groundedness FROM verdict LEFT JOIN n ON n.id = answer_id""")
+def answer_records(spark: SparkSession, d: str) -> DataFrame:
+    """Verification record of every content, were it an answer from its document's other chunks."""
+    answers, sources, wrong = _unsupported(spark, d)
+    return verify.records(answers, wrong, sources, ["service_code", "document_id"], "id", "id").drop("warnings")
 
 
 # --- requests, merging, whole plans ---------------------------------------------------------------------------------
@@ -646,6 +746,29 @@ def jaccard_heading(spark: SparkSession, d: str) -> DataFrame:
     return texts.select("id", "pos", F.round(requests.bigram_jaccard(F.col("heading"), F.col("t")), 6).alias("likeness"))
 
 
+_BIGRAMS = "CASE WHEN length({0}) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))) END"
+
+
+@query(rf"""WITH o AS (SELECT id, service_code, document_id, unnest(image_ocr_texts) AS x FROM tb_document_chunks), s AS (SELECT *, {_STRIP.format("coalesce(x, '')")} AS s FROM o), v AS (SELECT *, regexp_replace(lower(s), '\s', '', 'g') AS solid, regexp_replace(s, '[ \n]', '', 'g') AS dense FROM s),
+  h AS (SELECT DISTINCT service_code, document_id, regexp_replace(lower(heading), '\s', '', 'g') AS h FROM tb_document_chunks WHERE heading IS NOT NULL), hg AS (SELECT service_code, document_id, {_BIGRAMS.format("h")} AS b FROM h), hs AS (SELECT service_code, document_id, list(b) AS bs FROM hg GROUP BY 1, 2),
+  g AS (SELECT v.*, {_BIGRAMS.format("solid")} AS b, coalesce(bs, []) AS bs FROM v LEFT JOIN hs USING (service_code, document_id)),
+  d AS (SELECT *, CASE WHEN s = '' THEN 'empty' WHEN length(s) < 10 OR regexp_matches(s, '{layout.OCR_SPECIAL}') OR regexp_matches(s, '{layout.OCR_MATH}') OR length(regexp_replace(dense, '[^가-힣a-zA-Z]', '', 'g')) < 0.3::double * length(dense) THEN 'noise'
+    WHEN len(list_filter(bs, lambda y: len(list_distinct(list_concat(y, b))) > 0 AND len(list_intersect(y, b)) / len(list_distinct(list_concat(y, b)))::double > 0.7)) > 0 THEN 'duplicate' ELSE 'kept' END AS o FROM g)
+  SELECT service_code, document_id, count(*) AS total, count(*) FILTER (o = 'kept') AS kept, count(*) FILTER (o = 'noise') AS noise, count(*) FILTER (o = 'duplicate') AS duplicate, count(*) FILTER (o = 'empty') AS empty, 0::bigint AS drop_only, 0::bigint AS tables_only FROM d GROUP BY 1, 2""")
+def image_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of the recognised texts of every document."""
+    chunks = table(spark, d, "tb_document_chunks")
+    images = chunks.select("service_code", "document_id", F.explode("image_ocr_texts").alias("text"))
+    keys = ["service_code", "document_id"]
+    return recognition.outcome_counts(recognition.judged_images(images, chunks.select(*keys, "heading"), keys), keys)
+
+
+@query()
+def fixed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed windows of extracted texts, with the heading and pages in force."""
+    return chunking.fixed_document_chunks(_extracts(spark, d), "id", "raw_markdown")
+
+
 @query("""WITH b AS (SELECT service_code, document_id, id, seq, nullif(heading_path, '') AS h, start_page AS p FROM tb_document_chunks WHERE chunk_type <> 'image'),
   i AS (SELECT service_code, document_id, id, seq, nullif(heading_path, '') AS h, start_page AS p FROM tb_document_chunks WHERE chunk_type = 'image'),
   a AS (SELECT i.*, (SELECT max(seq) FROM b WHERE b.service_code = i.service_code AND b.document_id = i.document_id AND b.h = i.h) AS same, (SELECT min(seq) FROM b WHERE b.service_code = i.service_code AND b.document_id = i.document_id AND i.h IS NULL AND b.p > i.p) AS later FROM i),
@@ -689,14 +812,14 @@ def answer_plan(spark: SparkSession, d: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------------------------------------------
 
 
-def _run(spark: SparkSession, df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    return windows.run_available(df, work_folder(spark, name), work_folder(spark, f"{name}-progress"), mode)
+def _run(spark: SparkSession, df: DataFrame, name: str, mode: str = "update", keys: tuple[str, ...] = ()) -> DataFrame:
+    return windows.run_available(df, work_folder(spark, name), work_folder(spark, f"{name}-progress"), mode, list(keys))
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2""")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Events per hour and type, as a stream."""
-    out = _run(spark, windows.tumbling(windows.read_stream(spark, d, "events"), "ts", "1 hour", ["event_type"], "value"), "tumbling")
+    out = _run(spark, windows.tumbling(windows.read_stream(spark, d, "events"), "ts", "1 hour", ["event_type"], "value"), "tumbling", keys=("window", "event_type"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"), "least", "most")
 
 
@@ -704,7 +827,7 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
   SELECT start, event_type, count(*) AS n FROM w GROUP BY 1, 2""")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     """Events per hour that begins every quarter, as a stream."""
-    out = _run(spark, windows.sliding(windows.read_stream(spark, d, "events"), "ts", "1 hour", "15 minutes", ["event_type"]), "sliding")
+    out = _run(spark, windows.sliding(windows.read_stream(spark, d, "events"), "ts", "1 hour", "15 minutes", ["event_type"]), "sliding", keys=("window", "event_type"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
@@ -712,7 +835,7 @@ def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
   b AS (SELECT user_id, ts, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of users with a gap of half an hour, as a stream."""
-    out = _run(spark, windows.sessions(windows.read_stream(spark, d, "events"), "ts", "30 minutes", ["user_id"]), "sessions")
+    out = _run(spark, windows.sessions(windows.read_stream(spark, d, "events"), "ts", "30 minutes", ["user_id"]), "sessions", "complete")
     return out.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
@@ -727,4 +850,4 @@ def stream_traces(spark: SparkSession, d: str) -> DataFrame:
     """Requests and errors per day and endpoint, as a stream of trace files."""
     stream = windows.read_stream(spark, d, "trace_record").select(F.col("trace_ts").cast("timestamp").alias("at"), F.coalesce("endpoint", F.lit("?")).alias("endpoint"), "error")
     w = stream.withWatermark("at", windows.WATERMARK).groupBy(F.window("at", "1 day"), "endpoint").agg(F.count("*").alias("requests"), F.count("error").alias("errors"))
-    return _run(spark, w, "traces").select(F.col("window.start").alias("day"), "endpoint", "requests", "errors")
+    return _run(spark, w, "traces", keys=("window", "endpoint")).select(F.col("window.start").alias("day"), "endpoint", "requests", "errors")

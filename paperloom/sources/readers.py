@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.layout import IMAGE_TAG
+
 TRACE_SCHEMA = (
     "trace_id string, timestamp timestamp, endpoint string, "
     "request struct<query:string,service_code:string,document_id:string,start_page:int,end_page:int,include_keywords:array<string>,exclude_keywords:array<string>,top_k:int>, "
@@ -52,7 +54,25 @@ def pdf_pages(content: Column, unknown: int = 200) -> Column:
 
 def image_tags(markdown: Column) -> Column:
     """Paths of the image tags of a markdown text, in order."""
-    return F.regexp_extract_all(markdown, F.lit(r"!\[image \d+\]\(([^)]+)\)"), F.lit(1))
+    return F.regexp_extract_all(markdown, F.lit(IMAGE_TAG), F.lit(1))
+
+
+def converted_well(json: Column) -> Column:
+    """Whether a converter's JSON has headings and no bare text chunks, which it leaves where the layout failed."""
+    return F.coalesce(json.contains('"type": "heading"') & ~json.contains('"type": "text chunk"'), F.lit(False))
+
+
+def natural_key(name: Column) -> Column:
+    """Array by which names sort with their numbers as numbers: page2 before page10."""
+    parts = F.split(F.lower(name), r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
+    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 40, "0")).otherwise(p))
+
+
+def recognition_files(spark: SparkSession, path: str) -> DataFrame:
+    """Results of text recognition below a folder of ``<document>_images`` folders: document, image, data (the JSON as text), in natural order by ``image_key``."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_ocr.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("data"))
+    named = files.select(F.regexp_extract("p", "([^/]+)_images/[^/]+$", 1).alias("document"), F.regexp_extract("p", "([^/]+)_ocr[.]json$", 1).alias("image"), "data").where("document <> ''")
+    return named.withColumn("image_key", natural_key(F.col("image")))
 
 
 def since(df: DataFrame, at: str, now: str, days: int) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.traces import SIGNALS
+from paperloom.session import cut
 
 
 def append_traces(df: DataFrame, path: str, at: str = "timestamp") -> None:
@@ -13,9 +15,27 @@ def append_traces(df: DataFrame, path: str, at: str = "timestamp") -> None:
     df.withColumn("dt", F.date_format(at, "yyyy-MM-dd")).write.mode("append").partitionBy("dt").json(path)
 
 
-def replace_documents(df: DataFrame, path: str, keys: tuple[str, ...] = ("service_code", "document_id")) -> None:
-    """Write rows so that each document that ``df`` has replaces all of its earlier rows; others stay."""
-    df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+BUCKETS = 256  # directories of a table of documents
+
+
+def replace_documents(df: DataFrame, path: str, keys: tuple[str, ...] = ("service_code", "document_id"), buckets: int = BUCKETS) -> None:
+    """Write rows so that each document that ``df`` has replaces all of its earlier rows; others stay.
+
+    Documents lie in buckets by the hash of their key; only the buckets that
+    ``df`` touches are read and written anew. They are put beside the table
+    first, so that nothing is read from what is overwritten.
+    """
+    spark = df.sparkSession
+    new = df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:  # no table yet
+        old = None
+    if old is not None:
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        kept = old.where(F.col("bucket").isin(touched)).join(new.select(*keys).distinct(), list(keys), "left_anti")
+        new = cut(new.unionByName(kept.select(*new.columns)))
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:

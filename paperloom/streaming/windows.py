@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +38,32 @@ def once(stream: DataFrame, at: str, keys: list[str], watermark: str = WATERMARK
     return stream.withWatermark(at, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(df: DataFrame, target: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def run_available(df: DataFrame, target: str, checkpoint: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a streaming query over what is there now and return the table it wrote.
 
     Progress is kept in ``checkpoint``, so a run that was cut off goes on where
-    it stopped. Windows that the watermark has not closed stay in the state
-    unless ``mode`` is complete.
+    it stopped. In mode append, windows that the watermark has not closed stay
+    in the state. In mode update, every batch writes the windows that it changed
+    to a folder of its own, and the newest row of each of ``keys`` counts; closed
+    windows leave the state. Mode complete keeps all windows in the state and
+    writes all of them in every batch: for sessions, which have no update mode,
+    and comparisons only.
     """
-    if mode == "complete":
-        def write(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(target)
+    spark = df.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(target if mode == "complete" else f"{target}/batch={number}")
 
-        query = df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-    else:
-        query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", target).start()
+    stream = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = (stream.format("parquet").option("path", target) if mode == "append" else stream.foreachBatch(write)).start()
     query.awaitTermination()
-    return df.sparkSession.read.parquet(target)
+    if mode == "append":
+        return spark.read.parquet(target)
+    try:
+        rows = spark.read.parquet(target)
+    except AnalysisException:  # nothing has come yet
+        return spark.createDataFrame([], df.schema)
+    if mode == "complete":
+        return rows
+    rest = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_b")).select(*keys, "_b.*").select(*df.columns)

@@ -104,6 +104,6 @@ def test_image_gates(spark):
     assert got == ["not_exists", "file_size", "too_small", "icon_size", "aspect_h", "aspect_v", "too_large", "flat_color", "ok", "ok"]
 
 
-@pytest.mark.parametrize(("text", "verdict"), [(None, "empty"), ("짧다", "too_short"), ("!@#$%^&*()!!", "special_only"), ("1 + 2 = 3 (4)", "math_noise"), ("12345678 9 가", "low_lang_ratio"), ("충분히 긴 한국어 문장", "passed")])
+@pytest.mark.parametrize(("text", "verdict"), [(None, "empty"), ("짧다", "too_short"), ("!@#$%^&*()!!", "special_only"), ("1 + 2 = 3 (4)", "low_lang_ratio"), ("x_{1}^{2} (3)", "math_noise"), ("12 + 34 = 46 .", "low_lang_ratio"), ("12345678 9 가", "low_lang_ratio"), ("충분히 긴 한국어 문장", "passed")])
 def test_ocr_verdict(spark, text, verdict):
     assert one(spark, text, layout.ocr_verdict) == verdict

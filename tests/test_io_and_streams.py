@@ -47,6 +47,19 @@ def test_texts_and_days(spark, tmp_path):
     assert [r["at"].day for r in readers.since(df, "at", "2025-03-10 00:00:00", 6).collect()] == [9, 5]
 
 
+def test_update_mode_keeps_the_newest_row_of_a_window(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "p"))
+    schema = "k string, ts timestamp, v int"
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: {(r["window"]["start"].hour, r["k"]): r["total"] for r in windows.run_available(windows.tumbling(spark.readStream.schema(schema).parquet(source), "ts", "1 hour", ["k"], "v"), target, progress, "update", ["window", "k"]).collect()}
+    t = lambda h, m=0: dt.datetime(2025, 3, 1, h, m)
+    write([("a", t(1), 1), ("b", t(1, 30), 2)])
+    first = run()
+    write([("a", t(1, 40), 4), (None, t(5), 8)])
+    second = run()
+    assert sorted(first.values()) == [1, 2] and sorted(second.values()) == [2, 5, 8] and run() == second
+
+
 def test_late_rows_and_restart(spark, tmp_path):
     source = str(tmp_path / "in")
     write = lambda rows: spark.createDataFrame(rows, "k string, ts timestamp, v int").coalesce(1).write.mode("append").parquet(source)

@@ -308,7 +308,7 @@ def test_answer_plan(spark):
     row = ready.first()
     assert row["query"] == "보험료 [PHONE_MASKED]" and row["pii_kinds"] == ["EMAIL", "PHONE"] and row["route"]["query_type"] == "simple_fact"
     given = answer.contexts(answer.retrieve(ready, chunks, k=1), chunks, 500)
-    asked = spark.createDataFrame([(5, ("보험료 기간", ["기간"], None))], "query_id long, request struct<query:string,include_keywords:array<string>,exclude_keywords:array<string>>")
+    asked = spark.createDataFrame([(5, ("보험료 제2조", ["기간"], None))], "query_id long, request struct<query:string,include_keywords:array<string>,exclude_keywords:array<string>>")
     assert [r["row_id"] for r in answer.retrieve(answer.prepare(asked), chunks, k=2).collect()] == [2]  # words asked for are a condition
     good = answer.answer(ready, given, lambda q, c: c).first()
     bad = answer.answer(ready, given, lambda q, c: F.lit("제2조에 따라 120만원")).first()
