@@ -12,7 +12,7 @@ items of the suite have (``RARITIES``), as long as its bound stays at ``ENOUGH``
 or above, and all of them otherwise; what is not counted lowers the bound and
 drops no case. The bound is the fewest counted q-grams that any stretch of half
 the item's words keeps when k words anywhere in it are changed or left out; k is
-one word in ``EDITED``. Stretches with more changed words are found, too, unless
+two words, and one more in ``EDITED``. Stretches with more changed words are found, too, unless
 nearly all counted q-grams of the shortest of them are hit. A region goes to the
 alignment only if its equal runs of ``RUN`` characters cover as much of the item
 as every alignment that is accepted does, which loses nothing.
@@ -40,7 +40,7 @@ from paperloom.session import spread
 
 Q = 7  # characters of a counted q-gram
 RUN = 5  # characters of the shortest run of equal characters in an alignment
-EDITED = 7  # k: one word in so many of a stretch may be changed or left out, and two at least
+EDITED = 11  # k: two words of a stretch, and one more in so many, may be changed or left out
 WINDOW = 60_000  # characters of the documents whose q-grams are counted at a time
 BAND = 96  # diagonals of a band: words left out, or a layout line of half of that put in, keep a stretch in one
 PART = 0.5  # share of an item's words that makes a case
@@ -48,7 +48,7 @@ SLACK = 0.06  # how much of that share may lie in changed words at the ends of a
 AGREE = 0.82  # share of a stretch's characters that must be equal
 SHORT = 12  # items of fewer characters count where they stand whole and unchanged
 RARITIES = (4, 8, 16, 32, 64)  # most places in the suite of a counted q-gram, the first that leaves an item ``ENOUGH``
-ENOUGH = 26
+ENOUGH = 32
 BLOCK_CHARS = 1_000_000  # characters of the items that one pass takes; their index has some 60 bytes for each
 
 # Letters of other scripts that look like Latin letters.
@@ -109,7 +109,7 @@ def fewest_grams(words: np.ndarray, counted: np.ndarray) -> int:
     between = lambda a, b: upto[np.clip(b, 0, grams)] - upto[np.clip(a, 0, grams)]
     lost = between(first[:-1] - Q + 1, first[1:])
     w = needed_words(total)
-    k = min(w, max(2, math.ceil(w / EDITED)))
+    k = min(w, 2 + w // EDITED)
     starts = np.arange(total - w + 1)
     held = np.maximum(between(first[starts], first[starts + w] - Q + 1), 0)
     worst = np.sort(np.lib.stride_tricks.sliding_window_view(lost, w), axis=1)[:, w - k :].sum(axis=1)
