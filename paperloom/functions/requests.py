@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.rx import rx, strip
 
-# The limits of a request.
+# The limits of a request, and entities of HTML in the order in which they are read.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 QUERY_CHARS, MAX_PAGE, MAX_KEYWORDS, ANSWER_TOP, RETRIEVE_TOP = 2000, 99_999, 20, 20, 100
 
 
@@ -58,7 +59,10 @@ def html_table(html: Column) -> Column:
 
 
 def _cell_text(cell: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(cell, r"(?s)<[^>]+>", ""), rx(r"\s+"), " "))
+    text = F.regexp_replace(cell, r"(?s)<[^>]+>", "")
+    for entity, character in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return strip(F.regexp_replace(text, rx(r"\s+"), " "))
 
 
 def score_signal(score: Column) -> Column:

@@ -15,3 +15,9 @@ def serving_rows(extracts: DataFrame, key: str = "id", text: str = "raw_markdown
     chunks = chunking.adaptive_chunks(rows, key, "text").withColumn("heading_path", F.array_join("heading_path", " > "))
     body = chunking.embed_text(F.col("heading_path"), F.col("content"), F.lit("adaptive"))
     return chunks.withColumn("embed_text", body).withColumn("char_count", F.length("content"))
+
+
+def serving_table(chunks: DataFrame) -> DataFrame:
+    """Rows of the serving table from stored chunks: the text that is embedded as content, the chunk's id as chunk_id and point id."""
+    body = chunking.embed_text(F.col("heading_path"), F.col("content"), F.col("chunk_strategy"))
+    return chunks.withColumn("content", body).withColumn("char_count", F.length("content")).withColumn("chunk_id", F.col("id")).withColumn("qdrant_point_id", F.col("id")).drop("id", "seq")

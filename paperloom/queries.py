@@ -78,10 +78,8 @@ _EDGE_L, _EDGE_R = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 def _sql_mask(column: str) -> list[str]:
     """SQL of the masked text after each pattern, for an engine whose word bounds know Latin letters only."""
     steps = [f"coalesce({column}, '')"]
-    bodies = {
-        "RRN": r"\d{6}[-\s]?[1-8]\d{6}", "CARD": r"\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{1,7}", "ACCOUNT": r"\d{3}[-\s]\d{2,6}[-\s]\d{6,}",
-        "PHONE": r"01[016-9][-\s]?\d{3,4}[-\s]?\d{4}", "EMAIL": r"[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]",
-    }
+    bodies = {kind: p.removeprefix(r"\b").removesuffix(r"\b") for kind, p in guards.PII_PATTERNS}
+    bodies["EMAIL"] = r"[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]"  # with its word bounds written out
     for kind, body in bodies.items():
         sql = steps[-1]
         for _ in range(2):  # twice, as two matches may share the character between them
@@ -115,9 +113,12 @@ def guard_injection(spark: SparkSession, d: str) -> DataFrame:
     return _requests(spark, d).select("dt", "line_no", safe.alias("s")).select("dt", "line_no", *flags, F.col("s.cleaned").alias("cleaned"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?i)(시발|씨발|개새끼|병신|좆|fuck|shit)') AS profane,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<\|im_(start|end)\|>', '', 'g'), '\[INST\]|\[/INST\]', '', 'g'), '<\|endoftext\|>', '', 'g'), '(?im)^\s*(system|assistant)\s*:\s*', '', 'g') AS cleaned
-  FROM documents WHERE text IS NOT NULL""")
+_CLEANED = "text"
+for _pattern, _flags in guards.LEAK_PATTERNS:
+    _CLEANED = f"regexp_replace({_CLEANED}, '(?{_flags or 's'}){_pattern}', '', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '(?i){guards.PROFANITY}') AS profane, {_CLEANED} AS cleaned FROM documents WHERE text IS NOT NULL")
 def guard_output(spark: SparkSession, d: str) -> DataFrame:
     """Documents taken as answers: role tokens removed, profanity flagged."""
     out = guards.sanitize_output(F.col("text"))
@@ -650,13 +651,6 @@ def provenance(spark: SparkSession, d: str) -> DataFrame:
     return _unsupported(spark, d)[2].where("kind = 'reference' and name like '제%조%'").select("answer_id", "name")
 
 
-@query()
-def claim_records(spark: SparkSession, d: str) -> DataFrame:
-    """Statements with references and the chunks that have one of them."""
-    answers, sources = _answers(spark, d)
-    return verify.claim_records(answers, sources, ["service_code", "document_id"], "id", "id")
-
-
 _APPX = facts.APPENDIX.replace(r"\d", r"\p{Nd}").replace(r"\s", r"[\s\p{Z}]")
 _APPX_NO = "coalesce(" + ", ".join(f"nullif(regexp_extract(m, '{_APPX}', {g}), '')" for g in (1, 2, 3, 4)) + ")"
 _APPX_NAME = f"CASE WHEN {_APPX_NO} IS NULL THEN left(m, 2) WHEN left(m, 2) = '부칙' THEN '부칙 제' || {_APPX_NO}::int || '조' ELSE left(m, 2) || ' ' || {_APPX_NO}::int END"
@@ -713,6 +707,17 @@ def failure_class(spark: SparkSession, d: str) -> DataFrame:
 _CLAIMS = r"""string_split(regexp_replace(regexp_replace(content, '([.!?다요음])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))"""
 
 
+@query(f"""WITH sref AS ({_sql_refs("id, service_code, document_id", "content", "tb_document_chunks")}), c AS (SELECT id, service_code, document_id, unnest({_CLAIMS}) AS claim, generate_subscripts({_CLAIMS}, 1) AS pos FROM tb_document_contents),
+  cl AS (SELECT id, service_code, document_id, trim(claim, ' ' || chr(10) || chr(9)) AS claim, (row_number() OVER (PARTITION BY id ORDER BY pos) - 1)::int AS claim_no FROM c WHERE trim(claim, ' ' || chr(10) || chr(9)) <> ''),
+  cr AS ({_sql_refs("id, claim_no, claim, service_code, document_id", "claim", "cl")})
+  SELECT f.id AS answer_id, claim_no, claim, count(DISTINCT f.name)::int AS n_references, coalesce(list_sort(list(DISTINCT k.id) FILTER (k.id IS NOT NULL)), []) AS source_ids
+  FROM cr f LEFT JOIN sref k ON k.service_code = f.service_code AND k.document_id = f.document_id AND k.name = f.name GROUP BY ALL""")
+def claim_records(spark: SparkSession, d: str) -> DataFrame:
+    """Statements with references and the chunks that have one of them."""
+    answers, sources = _answers(spark, d)
+    return verify.claim_records(answers, sources, ["service_code", "document_id"], "id", "id")
+
+
 @query(_RISKS + f""", c AS (SELECT id, service_code, document_id, unnest({_CLAIMS}) AS claim, generate_subscripts({_CLAIMS}, 1) AS pos FROM tb_document_contents), cl AS (SELECT * FROM c WHERE trim(claim, ' ' || chr(10) || chr(9)) <> ''),
   cr AS ({_sql_refs("id, pos, service_code, document_id", "claim", "cl")}), cn AS ({_sql_nums("id, pos", "claim", "cl")}),
   backed AS (SELECT DISTINCT id, pos FROM cr f WHERE EXISTS (SELECT 1 FROM sref k WHERE k.service_code = f.service_code AND k.document_id = f.document_id AND k.name = f.name)),
@@ -794,6 +799,21 @@ def comparison_union(spark: SparkSession, d: str) -> DataFrame:
     return answer.compare(asked, table(spark, d, "tb_document_contents"), 10)
 
 
+@query("""SELECT id AS chunk_id, id AS qdrant_point_id, CASE WHEN chunk_strategy = 'adaptive' AND coalesce(heading_path, '') <> '' THEN heading_path || chr(10) || chr(10) || content ELSE content END AS content,
+  length(CASE WHEN chunk_strategy = 'adaptive' AND coalesce(heading_path, '') <> '' THEN heading_path || chr(10) || chr(10) || content ELSE content END)::int AS char_count FROM tb_document_chunks""")
+def serving_table(spark: SparkSession, d: str) -> DataFrame:
+    """Serving rows of the stored chunks."""
+    return ingest.serving_table(table(spark, d, "tb_document_chunks")).select("chunk_id", "qdrant_point_id", "content", "char_count")
+
+
+@query("""SELECT service_code, status_code, count(*) AS documents, round(avg(epoch_us(updated_at) - epoch_us(created_at)) / 1e6, 3) AS mean_seconds FROM tb_document_status GROUP BY ALL""")
+def status_ages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per service and status, and the mean time from their creation to their last change."""
+    s = table(spark, d, "tb_document_status")
+    seconds = F.unix_micros(F.col("updated_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
+    return s.groupBy("service_code", "status_code").agg(F.count("*").alias("documents"), F.round(F.avg(seconds) / 1e6, 3).alias("mean_seconds"))
+
+
 @query()
 def serving_rows(spark: SparkSession, d: str) -> DataFrame:
     """Serving rows of all extracted texts."""

@@ -75,6 +75,21 @@ def recognition_files(spark: SparkSession, path: str) -> DataFrame:
     return named.withColumn("image_key", natural_key(F.col("image")))
 
 
+def of_document(df: DataFrame, service_code: str, document_id: str, order: str) -> DataFrame:
+    """Rows of one document in order (chunks by seq, contents by id)."""
+    return df.where((F.col("service_code") == service_code) & (F.col("document_id") == document_id)).orderBy(order)
+
+
+def by_point(contents: DataFrame, point_id: int) -> DataFrame:
+    """Contents behind a point of the vector index."""
+    return contents.where(F.col("qdrant_point_id") == point_id)
+
+
+def markdown_of(extracts: DataFrame, service_code: str, document_id: str) -> DataFrame:
+    """Text of a document's newest extract, one row or none."""
+    return of_document(extracts, service_code, document_id, "id").select("id", "raw_markdown").orderBy(F.desc("id")).limit(1)
+
+
 def since(df: DataFrame, at: str, now: str, days: int) -> DataFrame:
     """Rows of the last ``days`` days before ``now``, newest first."""
     return df.where(F.col(at) >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAY")).orderBy(F.desc(at))

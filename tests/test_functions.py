@@ -107,3 +107,12 @@ def test_image_gates(spark):
 @pytest.mark.parametrize(("text", "verdict"), [(None, "empty"), ("짧다", "too_short"), ("!@#$%^&*()!!", "special_only"), ("1 + 2 = 3 (4)", "low_lang_ratio"), ("x_{1}^{2} (3)", "math_noise"), ("12 + 34 = 46 .", "low_lang_ratio"), ("12345678 9 가", "low_lang_ratio"), ("충분히 긴 한국어 문장", "passed")])
 def test_ocr_verdict(spark, text, verdict):
     assert one(spark, text, layout.ocr_verdict) == verdict
+
+
+def test_budget_and_entities(spark):
+    from paperloom.functions import requests
+    from paperloom.operators import context
+
+    df = spark.createDataFrame([(100, "<tr><td>a &amp; b&nbsp;&lt;c&gt;</td><td>&quot;d&quot; &#39;e&#39;</td></tr>")], "n int, h string")
+    row = df.select(context.budget(F.col("n")).alias("b"), context.budget(0, 1000, 300, 50).alias("c"), requests.html_table(F.col("h")).alias("t")).first()
+    assert (row["b"], row["c"]) == (8192 - 2048 - 256 - 100, 650) and row["t"].split("\n")[0] == "| a & b <c> | \"d\" 'e' |"

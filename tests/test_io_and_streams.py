@@ -40,6 +40,14 @@ def test_small_helpers(spark):
     assert tuple(row) == ("abc", False, ["p/q.png", "r.png"], 12, "x")
 
 
+def test_rows_of_a_document(spark):
+    df = spark.createDataFrame([(2, "A", "x", 1, 7), (1, "A", "x", 2, 8), (3, "B", "x", 1, None), (4, None, None, None, 7)], "id int, service_code string, document_id string, seq int, qdrant_point_id long")
+    assert [r["id"] for r in readers.of_document(df, "A", "x", "seq").collect()] == [2, 1] and readers.of_document(df, "A", "y", "seq").count() == 0
+    assert sorted(r["id"] for r in readers.by_point(df, 7).collect()) == [2, 4]
+    texts = spark.createDataFrame([(1, "A", "x", "old"), (5, "A", "x", "new"), (9, "B", "x", None)], "id int, service_code string, document_id string, raw_markdown string")
+    assert [r["raw_markdown"] for r in readers.markdown_of(texts, "A", "x").collect()] == ["new"] and readers.markdown_of(texts, "C", "x").count() == 0
+
+
 def test_texts_and_days(spark, tmp_path):
     (tmp_path / "a.md").write_text("# x\ny")
     assert [r["text"] for r in readers.read_texts(spark, str(tmp_path)).collect()] == ["# x\ny"]
